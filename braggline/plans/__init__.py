@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fractions",)
+MODULES = ("fractions", "metadata")
 
 
 def _load():

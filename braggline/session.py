@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)

@@ -27,14 +27,14 @@ VIEWS = {
 select o_orderkey as frame, o_custkey as series, o_orderkey % 17 = 0 as excluded,
   p10 / 10.0e0 as pressure, 290.0e0 + o_orderkey % 30 as temperature, o_orderdate as stamp,
   concat('run', cast(o_custkey % 7 as string), '/', case
-    when o_orderpriority = '1-URGENT' then concat('scan', lpad(cast(o_custkey % 50 as string), 3, '0'), '/P', cast(o_orderkey as string), '_', coalesce(concat(cast(cast(floor(p10 / 10) as bigint) as string), 'p', cast(p10 % 10 as string), 'GPa'), 'noP'), '.tif')
-    when o_orderpriority = '2-HIGH' then concat('Scan_', cast(o_custkey % 50 as string), '/P', cast(o_orderkey as string), '_', coalesce(concat(cast(p10 * 100 as string), 'MPa'), 'noP'), '.tif')
-    when o_orderpriority = '3-MEDIUM' then concat(coalesce(concat(cast(p10 as string), ' kbar'), 'noP'), '/scan-', cast(o_custkey % 50 as string), '/P', cast(o_orderkey as string), '.tif')
+    when o_orderpriority = '1-URGENT' then concat('scan', lpad(cast(o_custkey % 50 as string), 3, '0'), '/P', cast(o_orderkey as string), '_', coalesce(cast(cast(floor(p10 / 10) as bigint) as string) || 'p' || cast(p10 % 10 as string) || 'GPa', 'noP'), '.tif')
+    when o_orderpriority = '2-HIGH' then concat('Scan_', cast(o_custkey % 50 as string), '/P', cast(o_orderkey as string), '_', coalesce(cast(p10 * 100 as string) || 'MPa', 'noP'), '.tif')
+    when o_orderpriority = '3-MEDIUM' then concat(coalesce(cast(p10 as string) || ' kbar', 'noP'), '/scan-', cast(o_custkey % 50 as string), '/P', cast(o_orderkey as string), '.tif')
     else concat('P', cast(o_orderkey as string), '.tif') end) as filename
 from (select *, case when o_orderstatus = 'P' then null else cast(floor(o_totalprice / 1000) as bigint) end as p10 from {orders}) t""",
     # One row per fitted peak.
     "peaks": """
-select l_orderkey as frame, l_orderkey * 10 + l_linenumber as peak_id, l_suppkey as series,
+select l_orderkey as frame, concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as peak_id, l_suppkey as series,
   1.0e0 + (l_partkey % 2000) * 3.0e-3 as center, l_extendedprice as amplitude,
   0.02e0 + l_discount as fwhm, 0.001e0 + l_tax * 0.05e0 as fwhm_err,
   l_extendedprice * (1 - l_discount) as area, case when l_returnflag = 'R' then 2 else 0 end as flag,
@@ -69,7 +69,7 @@ select user_id as frame, (user_id % 15) * 0.5e0 + min(value) * 1.0e-5 as pos_x,
 from {events} group by user_id""",
     # Residual-peak observations of a series, ordered by week.
     "observations": """
-select l_orderkey * 10 + l_linenumber as obs, l_suppkey as series,
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as obs, l_suppkey as series,
   cast(floor(date_diff('day', date '1992-01-01', cast(l_shipdate as date)) / 7) as bigint) as frame,
   1.0e0 + (l_partkey % 2000) * 3.0e-3 as center, l_extendedprice as amplitude, 0.02e0 + l_discount as fwhm
 from {lineitem}""",
