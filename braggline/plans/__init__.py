@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fractions", "metadata")
+MODULES = ("fractions", "metadata", "signal")
 
 
 def _load():
