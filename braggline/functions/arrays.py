@@ -94,31 +94,6 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(norm > 0, array_dot(left, right) / norm).otherwise(F.lit(0.0))
 
 
-def lag_autocorrelation(values: Column) -> Column:
-    """Positive-lag autocorrelation fingerprint, standardised twice.
-
-    The row is standardised, correlated with itself without wrap-around,
-    divided by lag zero, and the positive lags are standardised again.
-    """
-    def standardised(v: Column, floor: Column) -> Column:
-        return let(F.struct(array_mean(v).alias("m"), array_std(v).alias("s")),
-                   lambda p: F.when(p["s"] > floor, F.transform(v, lambda x: (x - p["m"]) / p["s"])))
-
-    def correlate(z: Column) -> Column:
-        n = F.size(z)
-        zero = array_dot(z, z)
-        return F.transform(F.sequence(F.lit(1), n - 1), lambda k: array_dot(
-            F.slice(z, F.lit(1), n - k), F.slice(z, k + 1, n - k)) / zero)
-
-    complete = ~F.exists(values, lambda x: x.isNull())
-    peak = F.greatest(F.lit(1.0), F.array_max(F.transform(values, F.abs)))
-    floor = F.lit(2.220446049250313e-16) * peak
-    return F.when((F.size(values) >= 3) & complete,
-                  let(standardised(values, floor),
-                      lambda z: F.when(z.isNotNull(), let(
-                          correlate(z), lambda c: standardised(c, F.lit(1.0e-12))))))
-
-
 def to_double_array(values: Column) -> Column:
     """Ingest an array column: cast to double and turn NaN into null."""
     return F.transform(values, lambda x: F.nanvl(x.cast("double"), F.lit(None).cast("double")))

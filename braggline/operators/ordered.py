@@ -72,6 +72,21 @@ def with_running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], val
             .drop(CHUNK, "_amount", "_offset", *[f"_k_{k}" for k in [*by, CHUNK]]))
 
 
+def with_running_max_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
+                            width: float, amount: str, name: str) -> DataFrame:
+    """Add the maximum of ``amount`` over all earlier rows of the group."""
+    by, order = list(by), list(order)
+    chunked = with_chunk(df, value, width)
+    before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    tops = (chunked.groupBy(*by, CHUNK).agg(F.max(amount).alias("_top"))
+            .withColumn("_carry", F.max("_top").over(before)).drop("_top"))
+    inside = (Window.partitionBy(*by, CHUNK).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (chunked.join(tops, [*by, CHUNK])
+            .withColumn(name, F.greatest(F.max(amount).over(inside), F.col("_carry")))
+            .drop(CHUNK, "_carry"))
+
+
 def with_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
               width: float, name: str = "rank") -> DataFrame:
     """Add a 0-based position in ``order`` within ``by`` (nulls of ``value`` last)."""

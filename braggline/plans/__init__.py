@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fractions", "metadata", "signal")
+MODULES = ("fractions", "metadata", "signal", "crystal", "correlations")
 
 
 def _load():

@@ -40,6 +40,11 @@ select l_orderkey as frame, concat(cast(l_orderkey as string), '-', cast(l_linen
   l_extendedprice * (1 - l_discount) as area, case when l_returnflag = 'R' then 2 else 0 end as flag,
   l_tax as rel_misfit, case when l_tax = 0 then '' else p_type end as phase
 from {lineitem} join {part} on l_partkey = p_partkey""",
+    # Fitted peaks of the frames that also have a pattern.
+    "pattern_peaks": """
+select l_suppkey as frame, concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as peak_id,
+  1.0e0 + (l_partkey % 1000) * 3.15e-3 as center, 0.05e0 + l_discount as width, l_extendedprice as area,
+  case when l_returnflag = 'R' then 2 else 0 end as flag from {lineitem}""",
     # One row per phase line, drawn from the whole part table.
     "reflections": """
 select p_type as phase, cast(p_size as bigint) as ord, 0.8e0 + p_size * 0.04e0 as d,
