@@ -111,3 +111,12 @@ def sorted_stream(df: DataFrame, keys: Sequence[str], order: Sequence, step,
     keys = list(keys)
     return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
             .mapInPandas(step, schema))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition ahead of a slow kernel only when there are fewer partitions than cores.
+
+    A large scan already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

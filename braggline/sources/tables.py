@@ -78,6 +78,12 @@ select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-'
   cast(floor(date_diff('day', date '1992-01-01', cast(l_shipdate as date)) / 7) as bigint) as frame,
   1.0e0 + (l_partkey % 2000) * 3.0e-3 as center, l_extendedprice as amplitude, 0.02e0 + l_discount as fwhm
 from {lineitem}""",
+    # Points of given tracks, one per track and position of its series.
+    "track_points": """
+select l_suppkey as series, concat(cast(l_suppkey as string), '-', cast(l_partkey % 40 as string)) as track,
+  cast(floor(date_diff('day', date '1992-01-01', cast(l_shipdate as date)) / 60) as bigint) as position,
+  min(1.0e0 + (l_partkey % 2000) * 3.0e-3) as center, max(l_extendedprice) as amplitude, max(0.02e0 + l_discount) as fwhm
+from {lineitem} group by 1, 2, 3""",
     # Arrivals of a live run.
     "arrivals": """
 select event_id, cast(ts as timestamp) as ts, user_id, event_type, value,
