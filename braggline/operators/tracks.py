@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -51,20 +52,19 @@ class Linker:
             for ri, row in enumerate(rows):
                 gap = abs(row["center"] - expected)
                 if gap <= self.tolerance * max(t["fwhm"], row["fwhm"], 1e-9):
-                    rank = 0.0
-                    if self.similarity is not None:
-                        score = self.similarity(t["row"], row)
-                        if not (math.isfinite(score) and score >= self.min_similarity):
-                            continue
-                        rank = -score
-                    pairs.append((gap, rank, ti, ri))
-        pairs.sort()
+                    pairs.append((gap, ti, ri))
         taken: dict[int, int] = {}
-        used = set()
-        for _, _, ti, ri in pairs:
-            if ri not in taken and ti not in used:
-                taken[ri] = ti
-                used.add(ti)
+        used: set[int] = set()
+        for _, tied in groupby(sorted(pairs), key=lambda pair: pair[0]):
+            # The evidence is only scored for pairs that are still free.
+            still = [(0.0, ti, ri) for _, ti, ri in tied if ti not in used and ri not in taken]
+            if self.similarity is not None:
+                scored = [(-self.similarity(self.open[ti]["row"], rows[ri]), ti, ri) for _, ti, ri in still]
+                still = sorted(c for c in scored if math.isfinite(c[0]) and -c[0] >= self.min_similarity)
+            for _, ti, ri in still:
+                if ti not in used and ri not in taken:
+                    taken[ri] = ti
+                    used.add(ti)
         ids = []
         for ri, row in enumerate(rows):
             if ri in taken:

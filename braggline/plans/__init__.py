@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fractions", "metadata", "signal", "crystal", "correlations", "shapes", "series")
+MODULES = ("fractions", "metadata", "signal", "crystal", "correlations", "shapes", "series", "identification")
 
 
 def _load():

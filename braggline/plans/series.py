@@ -93,7 +93,11 @@ def link_tracks_predicted(spark, folder):
 @query("build_roi_tracks")
 def build_roi_tracks(spark, folder):
     from ..operators.roi_tracks import build_tracks
-    peaks = co.prepare_peaks(view(spark, folder, "pattern_peaks").withColumn("series", F.lit(0)), 1.0, 4.15, 0.05)
+    # The strongest peak of each radial cell, as a fitted pattern would have.
+    cell = view(spark, folder, "pattern_peaks").groupBy("frame", F.floor(F.col("center") * 8).alias("cell")).agg(
+        F.max_by(F.struct("peak_id", "center", "width", "area", "flag"), F.struct("area", "peak_id")).alias("p"))
+    strongest = cell.select("frame", "p.*").withColumn("series", F.floor(F.col("frame") / 50))
+    peaks = co.prepare_peaks(strongest, 1.0, 4.15, 0.05)
     return build_tracks(peaks, patterns(spark, folder).select("frame", "clean"), "clean", radial_axis(), ["series"], max_gap=2)
 
 
@@ -122,14 +126,7 @@ def track_jaccard(spark, folder):
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("jaccard", 8).alias("jaccard"))
 
 
-CLUSTERS = SETS.replace("with points", "with recursive points", 1) + """
-, lab(node, root) as (select id, id from folded union select e.b, l.root from lab l join ed e on e.a = l.node where e.b > l.root)
-, comp as (select node, min(root) as cluster from lab group by node)
-, clusters as (select s.track, c.cluster from sets s join folded f on s.items = f.items join comp c on c.node = f.id)
-"""
-
-
-@query("cluster_tracks", CLUSTERS + "select track, cluster from clusters")
+@query("cluster_tracks")
 def cluster_tracks(spark, folder):
     return tr.cluster_tracks(crowd(spark, folder), 0.6)
 
