@@ -102,9 +102,9 @@ def with_island(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     limit = gap if isinstance(gap, Column) else F.lit(float(gap))
     starts = F.when(F.col(f"_p_{value}").isNull()
                     | (F.col(value) - F.col(f"_p_{value}") > limit), 1).otherwise(0)
-    out = with_running_sum(prev, by, order, value, width, starts, "_island")
-    return (out.withColumn(name, (F.col("_island") - 1).cast("long"))
-            .drop("_island", f"_p_{value}"))
+    out = with_running_sum(prev, by, order, value, width, starts, "_island_sum")
+    return (out.withColumn(name, (F.col("_island_sum") - 1).cast("long"))
+            .drop("_island_sum", f"_p_{value}"))
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fractions", "metadata", "signal", "crystal", "correlations", "shapes", "series", "identification")
+MODULES = ("fractions", "metadata", "signal", "crystal", "correlations", "shapes", "series", "identification", "live", "exports")
 
 
 def _load():
