@@ -76,7 +76,7 @@ def read_metadata_csv(spark: SparkSession, path: str, separator: str = ",") -> D
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """``filename, phase`` rows of a label CSV whose phases are ``;`` or ``,`` lists."""
     rows = spark.read.option("header", True).csv(path)
-    names = F.filter(F.transform(F.split("phases", "[;,]"), F.trim), lambda p: p != "")
+    names = F.filter(F.transform(F.split("phases", "[;,]"), lambda p: F.trim(p)), lambda p: p != "")
     return rows.select(F.trim("filename").alias("filename"), F.explode(names).alias("phase"))
 
 
