@@ -84,7 +84,7 @@ def greedy_one_to_one(pairs: DataFrame, by: Sequence[str], left_id: str, right_i
     keys = [*by, "_island"]
     islands = with_island(pairs, by, [position, left_id, right_id], position, chunk,
                           2.0 * reach, "_island")
-    ordered = islands.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = spread(islands, *keys).sortWithinPartitions(*keys, *order)
     columns = ordered.columns
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,18 +105,19 @@ def greedy_one_to_one(pairs: DataFrame, by: Sequence[str], left_id: str, right_i
     return ordered.mapInPandas(take, ordered.schema).drop("_island")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over a fixed number of partitions ahead of a Python kernel.
+
+    Kernel rows cost milliseconds but few bytes, so partitions must not be merged
+    by size, which adaptive execution does unless the number is given.
+    """
+    spark = df.sparkSession
+    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(count, *keys)
+
+
 def sorted_stream(df: DataFrame, keys: Sequence[str], order: Sequence, step,
                   schema: T.StructType | str) -> DataFrame:
     """Run ``step`` over sorted rows, key by key, with state carried across batches."""
     keys = list(keys)
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
-            .mapInPandas(step, schema))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition ahead of a slow kernel only when there are fewer partitions than cores.
-
-    A large scan already has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(step, schema)

@@ -3,7 +3,7 @@
 A group (a series, a scan, a frame) can hold a large share of all rows.  Each
 helper cuts a group into chunks that are a pure function of the ordering value,
 runs the window inside ``(group, chunk)``, and carries what crosses a chunk edge
-through a summary with one row per chunk.
+through a summary with one row per chunk.  Group keys must not be null.
 """
 
 from __future__ import annotations
@@ -22,13 +22,6 @@ def with_chunk(df: DataFrame, value: str, width: float) -> DataFrame:
                                            F.lit(2 ** 62)))
 
 
-def _eq(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
                   width: float, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<col>`` of the row before, in ``order`` within ``by``.
@@ -40,17 +33,13 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     key = F.struct(*[F.col(c) for c in order])
     payload = F.struct(*[F.col(c) for c in columns])
     last = (chunked.groupBy(*by, CHUNK).agg(F.max_by(payload, key).alias("_last"))
-            .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy(CHUNK)))
-            .select(*[F.col(k).alias(f"_k_{k}") for k in [*by, CHUNK]], "_carry"))
-    cond = F.lit(True)
-    for k in [*by, CHUNK]:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+            .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy(CHUNK))).drop("_last"))
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
-    out = chunked.join(last, cond, "left").withColumn("_row", F.row_number().over(inside))
+    out = chunked.join(last, [*by, CHUNK], "left").withColumn("_row", F.row_number().over(inside))
     for c in columns:
         out = out.withColumn(prefix + c, F.when(F.col("_row") == 1, F.col(f"_carry.{c}"))
                              .otherwise(F.lag(c).over(inside)))
-    return out.drop(CHUNK, "_carry", "_row", *[f"_k_{k}" for k in [*by, CHUNK]])
+    return out.drop(CHUNK, "_carry", "_row")
 
 
 def with_running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
@@ -60,16 +49,12 @@ def with_running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], val
     chunked = with_chunk(df.withColumn("_amount", amount), value, width)
     before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = (chunked.groupBy(*by, CHUNK).agg(F.sum("_amount").alias("_total"))
-              .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-              .select(*[F.col(k).alias(f"_k_{k}") for k in [*by, CHUNK]], "_offset"))
-    cond = F.lit(True)
-    for k in [*by, CHUNK]:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+              .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total"))
     inside = (Window.partitionBy(*by, CHUNK).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (chunked.join(totals, cond, "left")
+    return (chunked.join(totals, [*by, CHUNK], "left")
             .withColumn(name, F.sum("_amount").over(inside) + F.col("_offset"))
-            .drop(CHUNK, "_amount", "_offset", *[f"_k_{k}" for k in [*by, CHUNK]]))
+            .drop(CHUNK, "_amount", "_offset"))
 
 
 def with_running_max_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
@@ -97,14 +82,28 @@ def with_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str
 
 def with_island(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
                 width: float, gap: Column | float, name: str = "island") -> DataFrame:
-    """Gaps and islands: a new island starts where ``value`` moves on by more than ``gap``."""
-    prev = with_previous(df, by, order, value, width, [value], "_p_")
+    """Gaps and islands: a new island starts where ``value`` moves on by more than ``gap``.
+
+    One summary per chunk holds its first and last value and the islands that
+    start inside it; that decides both the start at its edge and the offset.
+    """
+    by, order = list(by), list(order)
     limit = gap if isinstance(gap, Column) else F.lit(float(gap))
-    starts = F.when(F.col(f"_p_{value}").isNull()
-                    | (F.col(value) - F.col(f"_p_{value}") > limit), 1).otherwise(0)
-    out = with_running_sum(prev, by, order, value, width, starts, "_island_sum")
-    return (out.withColumn(name, (F.col("_island_sum") - 1).cast("long"))
-            .drop("_island_sum", f"_p_{value}"))
+    chunked = with_chunk(df, value, width)
+    inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
+    step = F.col(value) - F.lag(value).over(inside)
+    marked = chunked.withColumn("_start", F.when(step > limit, 1).otherwise(0))
+    chunks = Window.partitionBy(*by).orderBy(CHUNK)
+    before = chunks.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = (marked.groupBy(*by, CHUNK)
+               .agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_start").alias("_inner"))
+               .withColumn("_edge", F.when(F.col("_lo") - F.lag("_hi").over(chunks) > limit, 1).otherwise(0))
+               .withColumn("_base", F.sum(F.col("_edge") + F.col("_inner")).over(before) - F.col("_inner"))
+               .select(*by, CHUNK, "_base"))
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (marked.join(offsets, [*by, CHUNK], "left")
+            .withColumn(name, (F.sum("_start").over(running) + F.col("_base")).cast("long"))
+            .drop(CHUNK, "_start", "_base"))
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),

@@ -271,7 +271,7 @@ def fit_row(x: np.ndarray, y: np.ndarray, *, min_snr: float = 5.0, min_prominenc
 
 
 def fit_peaks(patterns: DataFrame, channel: str, axis: Sequence[float], **knobs) -> DataFrame:
-    """Fit every pattern row on its own; narrow, so it scales with the partitions."""
+    """Fit every pattern row on its own."""
     x = np.asarray(axis, float)
     columns = [c.split()[0] for c in PEAK_SCHEMA.split(", ")]
 
@@ -308,5 +308,5 @@ def fit_series(patterns: DataFrame, channel: str, axis: Sequence[float], path: s
             yield pd.DataFrame(out, columns=["frame", "peak", *columns])
 
     wanted = list(dict.fromkeys([path, "frame", channel, *order]))
-    return (patterns.select(*wanted).repartition(path).sortWithinPartitions(path, *order)
+    return (spread(patterns.select(*wanted), path).sortWithinPartitions(path, *order)
             .mapInPandas(kernel, "frame bigint, peak int, " + PEAK_SCHEMA))

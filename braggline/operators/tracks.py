@@ -159,23 +159,19 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """
     frequency = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("f"))
     ranked = (sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).join(frequency, "item")
-              .groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("r")))
-    keep = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("p")).select(
-        "id", "n", F.col("p.item").alias("item"))
+              .groupBy("id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "item"))),
+                                                  lambda s: s["item"]).alias("items")))
+    keep = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = ranked.withColumn("item", F.explode(F.slice("items", F.lit(1), keep)))
     # One join key per size the partner may have keeps unequal sizes apart in hot items.
     size = F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / threshold + 1e-9).cast("int")))
-    small = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "item", size.alias("nb"))
-    large = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "item")
-    pairs = (small.join(large, ["item", "nb"])
-             .where((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-             .where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
+    small = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"), "item", size.alias("nb"))
+    large = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"), "item")
+    # The sets travel with the keys, so a pair is settled where it meets and few pairs are shuffled.
+    met = small.join(large, ["item", "nb"]).where((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
     both = F.size(F.array_intersect("ia", "ib"))
-    scored = pairs.join(left, "a").join(right, "b").withColumn(
-        "jaccard", both / (F.size("ia") + F.size("ib") - both))
-    return scored.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    scored = met.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

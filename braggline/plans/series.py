@@ -102,7 +102,7 @@ def build_roi_tracks(spark, folder):
 
 
 SETS = """
-with points as (select o_orderkey::string as track, l_quantity::bigint as frame, sum(l_extendedprice) as amplitude from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)
+with points as (select o_orderkey::string as track, l_suppkey as frame, sum(l_extendedprice) as amplitude from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)
 , sets as (select track, list(distinct frame order by frame) as items from points group by track)
 , folded as (select items, min(track) as id from sets group by items)
 , it as (select id, items, unnest(items) as i from folded)
@@ -114,7 +114,7 @@ with points as (select o_orderkey::string as track, l_quantity::bigint as frame,
 def crowd(spark, folder):
     orders = base(spark, folder, "orders").select("o_orderkey")
     return (base(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("o_orderkey").cast("string").alias("track"), F.col("l_quantity").cast("long").alias("frame"))
+            .groupBy(F.col("o_orderkey").cast("string").alias("track"), F.col("l_suppkey").alias("frame"))
             .agg(F.sum("l_extendedprice").alias("amplitude")))
 
 
