@@ -8,11 +8,15 @@ from ..sources.tables import RADIAL_START, RADIAL_STEP, cte, patterns, radial_ax
 from .registry import query
 
 
-NUDGE = 1e-9  # decides decimal ties the same way in both engines
+NUDGE = 1e-9  # decides decimal ties of means of cents the same way in both engines
 
 
 def rnd(df, digits, *names):
-    return df.select(*[F.round(F.col(c) + NUDGE, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def rnd_mean(df, name):
+    return df.withColumn(name, F.round(F.col(name) + NUDGE, 5))
 
 
 @query("group_peaks", cte("peaks") + """
@@ -191,25 +195,25 @@ def cake_for_frame(spark, folder):
 
 @query("integrate_mean", cte("pixels") + "select frame, rbin, round(avg(intensity) + 1e-9, 5) as mean, count(*) as n from pixels group by 1, 2")
 def integrate_mean(spark, folder):
-    return rnd(rd.integrate(view(spark, folder, "pixels")), 5, "mean")
+    return rnd_mean(rd.integrate(view(spark, folder, "pixels")), "mean")
 
 
 @query("integrate_sector", cte("pixels") + "select frame, rbin, round(avg(intensity) + 1e-9, 5) as mean, count(*) as n from pixels where abin * 10 - 180 between -60 and 95 group by 1, 2")
 def integrate_sector(spark, folder):
     pixels = view(spark, folder, "pixels").withColumn("azim", F.col("abin") * 10 - 180)
-    return rnd(rd.integrate(pixels, sector=rd.azimuth_range("-60, 95")), 5, "mean")
+    return rnd_mean(rd.integrate(pixels, sector=rd.azimuth_range("-60, 95")), "mean")
 
 
 @query("integrate_cake", cte("pixels") + "select frame, rbin, abin, round(avg(intensity) + 1e-9, 5) as y from pixels group by 1, 2, 3")
 def integrate_cake(spark, folder):
-    return rnd(rd.cake(view(spark, folder, "pixels")), 5, "y")
+    return rnd_mean(rd.cake(view(spark, folder, "pixels")), "y")
 
 
 @query("integrate_band", cte("pixels") + """
 , r as (select frame, rbin, intensity as v, row_number() over (partition by frame, rbin order by intensity) - 1 as k, count(*) over (partition by frame, rbin) as n from pixels)
 select frame, rbin, round(coalesce(avg(v) filter (where k >= ceil(0.45 * (n - 1)) and k <= floor(0.55 * (n - 1))), median(v)) + 1e-9, 5) as robust from r group by 1, 2""")
 def integrate_band(spark, folder):
-    return rnd(rd.band_mean(view(spark, folder, "pixels")), 5, "robust")
+    return rnd_mean(rd.band_mean(view(spark, folder, "pixels")), "robust")
 
 
 CLIP = "".join(f"""
@@ -220,7 +224,7 @@ CLIP = "".join(f"""
 @query("integrate_sigma_clip", cte("pixels") + ", p0 as (select * from pixels)" + CLIP + """
 select frame, rbin, round(avg(intensity) + 1e-9, 5) as sigmaclip from p2 group by 1, 2""")
 def integrate_sigma_clip(spark, folder):
-    return rnd(rd.sigma_clip(view(spark, folder, "pixels"), k=1.5, rounds=2), 5, "sigmaclip")
+    return rnd_mean(rd.sigma_clip(view(spark, folder, "pixels"), k=1.5, rounds=2), "sigmaclip")
 
 
 @query("sum_by_pressure", cte("pixels") + """
