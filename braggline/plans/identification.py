@@ -168,7 +168,8 @@ def mixtures(spark, folder):
 @query("scoring_pairs")
 def scoring_pairs(spark, folder):
     phases = view(spark, folder, "phases").select("phase", "p_max")
-    library = with_rank(phases.withColumn("_o", F.lit(0.0)), [], ["_o", "phase"], "_o", 1.0, "slot").drop("_o")
+    hashed = phases.withColumn("_h", F.pmod(F.xxhash64("phase"), F.lit(64)))
+    library = with_rank(hashed, [], ["_h", "phase"], "_h", 1.0, "slot").drop("_h")
     return sm.scoring_pairs(mixtures(spark, folder), library)
 
 

@@ -231,12 +231,12 @@ def integrate_sigma_clip(spark, folder):
 , f as (select frame, (frame % 10) / 2 as pressure from pixels group by frame)
 , s as (select pressure, rbin, abin, sum(intensity) as c, bool_or(intensity < 950) as bad from pixels p join f on p.frame = f.frame group by 1, 2, 3)
 , i as (select pressure, rbin, avg(c) as intensity, sqrt(sum(c)) / count(*) as sigma from s where not bad group by 1, 2)
-select pressure, rbin, round(intensity, 4) as intensity, round(sigma, 6) as sigma from i""")
+select pressure, rbin, round(intensity + 1e-9, 4) as intensity, round(sigma, 6) as sigma from i""")
 def sum_by_pressure(spark, folder):
     pixels = view(spark, folder, "pixels")
     frames = pixels.select("frame").distinct().withColumn("pressure", (F.col("frame") % 10) / 2)
     marked = pixels.withColumn("intensity", F.when(F.col("intensity") < 950, -F.col("intensity")).otherwise(F.col("intensity")))
     out = rd.floor_sigma(rd.sum_by_pressure(marked, frames), ["pressure"])
-    return rnd(rnd(out.select("pressure", "rbin", "intensity", "sigma"), 4, "intensity"), 6, "sigma")
+    return out.select("pressure", "rbin", F.round(F.col("intensity") + NUDGE, 4).alias("intensity"), F.round("sigma", 6).alias("sigma"))
 
 
