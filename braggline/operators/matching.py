@@ -125,11 +125,12 @@ def phase_layers(bins: DataFrame, lines: DataFrame, *, rel_tol: float = 0.01, va
                         .otherwise(F.col("intensity_raw"))).drop("_top"))
 
 
-def predicted_lines(lines: DataFrame, phases: DataFrame, frames: DataFrame, d_expr: Column,
-                    by: Sequence[str] = ()) -> DataFrame:
-    """Predicted d of every line of the phases present in each frame.
+def predicted_lines(states: DataFrame, lines: DataFrame, scale: Column, max_lines: int = 12) -> DataFrame:
+    """Predicted d of the strongest lines of each phase at the state of each frame.
 
-    ``frames`` carries ``frame, phase`` and the state columns ``d_expr`` needs.
+    ``states`` is ``frame, phase`` with the columns ``scale`` needs (pressure,
+    temperature, equation of state); a line follows its phase's lattice scale.
     """
-    return (frames.join(phases, ["phase", *by]).join(lines, ["phase", *by])
-            .withColumn("pred_d", d_expr))
+    strongest = normalize_reflections(lines, max_lines=max_lines).select("phase", "ord", "d", "w")
+    return states.withColumn("_scale", scale).join(strongest, "phase").withColumn(
+        "pred_d", F.col("d") * F.col("_scale")).drop("_scale")

@@ -307,3 +307,41 @@ def nearest_line(spark, folder):
     lines = view(spark, folder, "reflections").select("phase", F.col("d").alias("line_d"))
     out = nearest_join(obs, lines, ["phase"], "d", "line_d", 0.5)
     return out.select("peak_id", "phase", F.round("d", 9).alias("d"), F.round("gap", 9).alias("gap")).distinct()
+
+
+@query("track_labels", cte("track_points") + """
+select track, count(*) as n_points, round(arg_min(2 * pi() / center, position), 8) as d0, min(position)::double as p_min, max(position)::double as p_max,
+  round(regr_slope(2 * pi() / center, position), 8) as dd_dp from track_points group by track having count(*) >= 3""")
+def track_labels(spark, folder):
+    points = view(spark, folder, "track_points").select(
+        "track", axis.radial_to_d(F.col("center"), "q").alias("d"), F.col("position").cast("double").alias("pressure"))
+    out = matching.track_labels(points).where("n_points >= 3")
+    return out.withColumn("d0", F.round("d0", 8)).withColumn("dd_dp", F.round("dd_dp", 8))
+
+
+STATES = """
+, st as (select f.frame, p.phase, pressure, temperature, alpha_v from frames f join (select distinct frame, phase from peaks where phase <> '') p on p.frame = f.frame join phases h on h.phase = p.phase)
+, nl as (select phase, ord, d, row_number() over (partition by phase order by w desc, ord) as r, w / max(w) over (partition by phase) as wn from reflections)
+"""
+
+
+@query("thermal_line_tracks", cte("frames", "phases", "peaks", "reflections") + STATES + """
+select frame, st.phase, ord, round(2 * pi() / (d * pow(1 + alpha_v * (temperature - 298), 1.0 / 3)), 8) as center from st join nl on nl.phase = st.phase where r <= 6 and wn >= 0.01""")
+def thermal_line_tracks(spark, folder):
+    scale = eos.thermal_scale(F.col("alpha_v"), F.lit(None).cast("double"), F.col("temperature"))
+    out = matching.predicted_lines(states(spark, folder), view(spark, folder, "reflections"), scale, 6)
+    return out.select("frame", "phase", "ord", F.round(axis.d_to_radial(F.col("pred_d"), "q"), 8).alias("center"))
+
+
+@query("pressure_line_tracks")
+def pressure_line_tracks(spark, folder):
+    law = F.struct(F.col("eos_type").alias("type"), F.col("k0").alias("K0"), F.col("k0p").alias("K0p"), F.col("k0pp").alias("K0pp"))
+    scale = eos.linear_scale(law, F.coalesce("pressure", F.lit(0.0)))
+    out = matching.predicted_lines(states(spark, folder), view(spark, folder, "reflections"), scale, 6)
+    return out.select("frame", "phase", "ord", axis.d_to_radial(F.col("pred_d"), "q").alias("center"))
+
+
+def states(spark, folder):
+    present = view(spark, folder, "peaks").where("phase <> ''").select("frame", "phase").distinct()
+    frames = view(spark, folder, "frames").select("frame", "pressure", "temperature")
+    return present.join(frames, "frame").join(view(spark, folder, "phases"), "phase")

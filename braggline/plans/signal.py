@@ -247,3 +247,16 @@ def analysis_summary(spark, folder):
 select f.frame, count(p.frame) as n_good from frames f left join peaks p on p.frame = f.frame and p.flag = 0 group by f.frame""")
 def good_peak_counts(spark, folder):
     return review.good_peak_counts(view(spark, folder, "frames"), view(spark, folder, "peaks"))
+
+
+POLYGON = [(3.5, 2.25), (30.25, 5.5), (24.75, 40.5), (10.5, 30.25)]
+
+
+@query("polygon_mask", cte("pixels") + """
+, ed as (select * from (values (3.5e0, 2.25e0, 30.25e0, 5.5e0), (30.25e0, 5.5e0, 24.75e0, 40.5e0), (24.75e0, 40.5e0, 10.5e0, 30.25e0), (10.5e0, 30.25e0, 3.5e0, 2.25e0)) t(x0, y0, x1, y1))
+, c as (select abin, rbin, sum(case when rbin >= least(y0, y1) and rbin < greatest(y0, y1) and abin < x0 + (rbin - y0) * ((x1 - x0) / (y1 - y0)) then 1 else 0 end) % 2 = 1 as inside from (select distinct abin, rbin from pixels), ed group by 1, 2)
+select frame, count(*) filter (where inside) as n_masked, count(*) as n_pixels from pixels p join c on p.abin = c.abin and p.rbin = c.rbin group by frame""")
+def polygon_mask(spark, folder):
+    inside = bg.in_polygon(F.col("abin"), F.col("rbin"), POLYGON)
+    return view(spark, folder, "pixels").groupBy("frame").agg(
+        F.count_if(inside).alias("n_masked"), F.count(F.lit(1)).alias("n_pixels"))
