@@ -94,7 +94,9 @@ EOS_SQL = """
 
 
 def compressed(spark, folder):
-    df = view(spark, folder, "peaks").join(view(spark, folder, "phases"), "phase").withColumn("r", 1.0 - F.col("fwhm"))
+    # The label is settled once per phase, before it meets the peaks.
+    phases = view(spark, folder, "phases").withColumn("eos_type", eos.normal_type(F.col("eos_type")))
+    df = view(spark, folder, "peaks").join(phases, "phase").withColumn("r", 1.0 - F.col("fwhm"))
     return df.withColumn("p", eos.pressure(F.col("eos_type"), F.col("k0"), F.col("k0p"), F.col("k0pp"), F.col("r")))
 
 
