@@ -71,15 +71,17 @@ def assign(docs: DataFrame, key: str, root: Node, name: str = "shard", seed: str
     nodes, kids, depth = levels(root)
     if len(nodes) > 100_000:
         raise ValueError("the tree is part of every row's expression; split one this large by regions first")
-    child = lambda i: F.struct(F.lit(nodes[i].name).alias("name"), F.lit(float(nodes[i].weight)).alias("weight"), F.lit(i).alias("node"))
-    below = F.array(*[F.array(*[child(i) for i in (kids[n] or [n])]) for n in range(len(nodes))])
+    # Three literal arrays over the nodes; an expression per node would make the plan grow with the tree.
+    names = F.expr("array(" + ", ".join(f"'{n.name}'" for n in nodes) + ")")
+    weights = F.expr("array(" + ", ".join(f"{float(n.weight)!r}D" for n in nodes) + ")")
+    below = F.expr("array(" + ", ".join("array(" + ", ".join(map(str, kids[i] or [i])) + ")" for i in range(len(nodes))) + ")")
     out = docs.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("null"))).withColumn("__node", F.lit(0))
     for _ in range(depth):
-        draws = F.transform(F.element_at(below, F.col("__node") + 1), lambda c: F.struct(
-            (-F.log(unit_hash(seed, c["name"], F.col("__key"))) / c["weight"]).alias("draw"), c["node"].alias("node")))
+        draws = F.transform(F.get(below, F.col("__node")), lambda i: F.struct(
+            (-F.log(unit_hash(seed, F.get(names, i), F.col("__key"))) / F.get(weights, i)).alias("draw"), i.alias("node")))
         out = out.withColumn("__node", F.array_min(draws)["node"])
-    shards = F.array(*[F.lit(n.shard).cast("int") for n in nodes])
-    return out.withColumn(name, F.element_at(shards, F.col("__node") + 1)).drop("__key", "__node")
+    shards = F.expr("array(" + ", ".join("cast(null as int)" if n.shard is None else str(n.shard) for n in nodes) + ")")
+    return out.withColumn(name, F.get(shards, F.col("__node"))).drop("__key", "__node")
 
 
 def slots(rows: DataFrame, group: str, order: list[str], chunk_rows: int = 100_000, n_rows: int | None = None,
