@@ -174,7 +174,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("jaccard") >= threshold).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` with the smallest member as the component, by alternating stars.
 
     ``edges`` is ``a, b``.  Every round writes a checkpoint, so a lost executor
@@ -197,14 +197,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     now = checkpointed(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
     seen = mark(now)
-    for _ in range(max_rounds):
+    while True:
         now = checkpointed(star(star(now, True), False))
         again = mark(now)
         if again == seen:
             break
         seen = again
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
