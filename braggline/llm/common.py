@@ -87,3 +87,15 @@ def dense_rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def rows_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in the one-column table ``ids``, with all their columns.
+
+    An id that ``ids`` holds more than once has several rows, of which one stays.
+    """
+    wanted = ids.toDF("__id").groupBy("__id").agg((F.count(F.lit(1)) > 1).alias("__again"))
+    found = docs.join(wanted, docs[key].eqNullSafe(F.col("__id"))).drop("__id")
+    single = found.where("not __again").drop("__again")
+    again = found.where("__again").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return single.unionByName(again)

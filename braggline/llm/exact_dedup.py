@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import SPACE
+from .common import SPACE, rows_of
 
 SLOTS = 4
 MAX_MOVES = 200
@@ -237,11 +237,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; rows repeated in full count once."""
-    decided = deduplicate(docs, key, text).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    single = decided.select(F.col("doc_id").alias("__keep"), (F.col("n") > 1).alias("__again"))
-    found = docs.join(single, F.col(key).eqNullSafe(F.col("__keep"))).drop("__keep")
-    first = found.where("not __again").drop("__again")
-    # An id met more than once has rows of equal text; those differ from each other at most in other columns.
-    again = found.where("__again").drop("__again").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return first.unionByName(again)
+    """The documents that stay, with all their columns; an id met more than once counts once."""
+    return rows_of(docs, key, deduplicate(docs, key, text).where("kept").select("doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, exact_dedup, mixing, sharding, simhash, warc
 from .common import table
 
 QUERIES = {}
@@ -21,6 +21,21 @@ def query(name, sql=None):
     return add
 
 
+@query("op1_mixing", r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  (('0x' || substr(md5(concat_ws(':', 'mix', doc_id::varchar)), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as spot from documents),
+s as (select source, sum(size)::bigint as source_size, ([5::double, 2::double, 1::double])[1 + (row_number() over (order by source nulls last) - 1) % 3] as weight from d group by source),
+f as (select *, source_size * 3 as cap, coalesce(sum(source_size * 3) over (order by source_size * 3 / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as caps,
+  sum(weight) over (order by source_size * 3 / weight, source nulls last rows between current row and unbounded following) as rest, sum(source_size) over () as total from s),
+l as (select max((total - caps) / rest) as level from f),
+t as (select source, source_size, case when source_size > 0 then least(level * weight, cap::double) else 0::double end as target from f, l),
+w as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
+c as (select d.*, w.source_size, w.target, w.whole, sum(size) over (partition by d.source order by spot, doc_id, size rows unbounded preceding) as until from d join w on d.source is not distinct from w.source)
+select doc_id, size, source_size, target, ((whole + case when until - size / 2.0::double <= target - whole * source_size and target - whole * source_size > 0 then 1 else 0 end) * size)::bigint as taken from c""")
+def op1(spark, folder):
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op3_cuckoo_dedup", r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 n as (select doc_id, length(t) as len, sha256(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as sha from d),
@@ -30,11 +45,32 @@ def op3(spark, folder):
     return exact_dedup.deduplicate(table(spark, folder, "documents"))
 
 
+@query("op4_simhash")
+def op4(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op7_shard_tree")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
 
 
+@query("op9_warc", r"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(h) as sha from p),
+b as (select *, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda c:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 5 * g::int, 5))::bigint >> (15 - 5 * c)::int) & 31)::int, 1)), '')), '') as payload_digest,
+  min(page_id) over (partition by sha) as first_id from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to from b""")
+def op9(spark, folder):
+    done = warc.round_trip(spark, table(spark, folder, "pages"))
+    return done.select(
+        F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
+        F.coalesce("response.payload_digest", "original.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), F.col("original.page_id").alias("refers_to"))
+
+
 @query("op10_bpe")
 def op10(spark, folder):
     done = bpe.encode(spark, table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_text=True)
