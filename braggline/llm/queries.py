@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, simhash, warc
+from . import bpe, embedding_dedup, exact_dedup, mixing, sharding, simhash, warc
 from .common import table
 
 QUERIES = {}
@@ -50,6 +50,11 @@ def op4(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_grid_join")
+def op5(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op7_shard_tree")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
