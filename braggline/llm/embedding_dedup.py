@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,11 @@ RUN = 128          # vectors compared at once without looking further
 CHUNK = 16         # partner blocks in one group of work
 
 
-def unit_rows(values: list[list[float]], width: int) -> np.ndarray:
+def unit_rows(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Vectors as rows of unit length in double precision, short ones filled up with zeros."""
-    out = np.zeros((len(values), width))
-    for row, v in zip(out, values):
-        row[:len(v)] = v
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else pc.list_value_length(column).to_numpy()
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = pc.list_flatten(column).to_numpy()
     out /= np.abs(out).max(axis=1, keepdims=True)  # no square may overflow or vanish
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
@@ -56,7 +57,7 @@ def principal_axes(folded: DataFrame, width: int, leading: int) -> np.ndarray:
         total = np.zeros((width, width))
         seen = 0
         for batch in batches:
-            u = unit_rows(batch.column("v").to_pylist(), width)
+            u = unit_rows(batch.column("v"), width)
             total += u.T @ u
             seen += len(u)
         if seen:
@@ -75,7 +76,7 @@ def in_grid_order(folded: DataFrame, width: int, epsilon: float, leading: int, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = unit_rows(batch.column("v").to_pylist(), width) @ axes
+            place = unit_rows(batch.column("v"), width) @ axes
             cells = np.floor(place / epsilon).astype(np.int32)
             lists = lambda a, t: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel(), t))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("v"), lists(place, pa.float64()), lists(cells, pa.int32())],
@@ -173,7 +174,7 @@ def block_links(ordered: DataFrame, pairs: DataFrame, width: int, threshold: flo
         for _, group in by_key(batches, keys):
             b = group.column("b").to_numpy()
             starts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-            work = Work(unit_rows(group.column("v").to_pylist(), width), np.array(group.column("p").to_pylist()), group.column("copies").to_numpy(), threshold, epsilon)
+            work = Work(unit_rows(group.column("v"), width), pc.list_flatten(group.column("p")).to_numpy().reshape(group.num_rows, -1), group.column("copies").to_numpy(), threshold, epsilon)
             home_end = starts[1] if b[0] == -1 else 0
             if group.column("itself")[0].as_py():
                 work.join(0, home_end, 0, home_end)

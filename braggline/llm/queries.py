@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, sharding, simhash, warc
+from . import bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, sharding, simhash, toxicity, warc
 from .common import table
 
 QUERIES = {}
@@ -36,6 +36,13 @@ def op1(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op2_nbsvm")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~toxicity.held_out())
+    return toxicity.score(spark, docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op3_cuckoo_dedup", r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 n as (select doc_id, length(t) as len, sha256(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as sha from d),
@@ -55,11 +62,23 @@ def op5(spark, folder):
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query("op6_license_scan")
+def op6(spark, folder):
+    return licenses.scan(spark, table(spark, folder, "documents"))
+
+
 @query("op7_shard_tree")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
 
 
+@query("op8_language_codes")
+def op8(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = langid.predict(spark, docs.select("doc_id", "text"), langid.train(docs, ~langid.held_out()))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
+
+
 @query("op9_warc", r"""
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(h) as sha from p),
