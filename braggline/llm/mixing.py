@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import WORD, dense_rank_rows, unit_hash
+from .common import WORD, dense_rank_rows, fresh, unit_hash
 
 #: Rows of one source that are ordered in one piece.
-PIECE_ROWS = 20_000
+PIECE_ROWS = 2_000
 
 
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -101,6 +101,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFram
 
     Rows that repeat an id are repeated as often as the one of them taken most.
     """
-    times = mix(docs, key=key, **options).where("times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").cast("int").alias("__times"))
-    found = docs.join(times, docs[key].eqNullSafe(F.col("__id")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    spot, number, copy = fresh(docs, "__id"), fresh(docs, "__times"), fresh(docs, "__copy")
+    times = mix(docs, key=key, **options).where("times > 0").groupBy(F.col("doc_id").alias(spot)).agg(F.max("times").cast("int").alias(number))
+    found = docs.join(times, F.col(key).eqNullSafe(F.col(spot)))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*docs.columns)
