@@ -89,13 +89,22 @@ def dense_rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with as many ``_`` before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def rows_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is in the one-column table ``ids``, with all their columns.
 
     An id that ``ids`` holds more than once has several rows, of which one stays.
     """
-    wanted = ids.toDF("__id").groupBy("__id").agg((F.count(F.lit(1)) > 1).alias("__again"))
-    found = docs.join(wanted, docs[key].eqNullSafe(F.col("__id"))).drop("__id")
-    single = found.where("not __again").drop("__again")
-    again = found.where("__again").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    spot, more, row = fresh(docs, "__id"), fresh(docs, "__again"), fresh(docs, "__row")
+    wanted = ids.toDF(spot).groupBy(spot).agg((F.count(F.lit(1)) > 1).alias(more))
+    found = docs.join(wanted, F.col(key).eqNullSafe(F.col(spot))).drop(spot)
+    single = found.where(~F.col(more)).drop(more)
+    again = found.where(F.col(more)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return single.unionByName(again)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, joined_bytes, slices, texts, unit_hash
+from .common import fresh, id_crc, joined_bytes, slices, texts, unit_hash
 
 BUCKETS = 1 << 15
 #: Bound of the training sample: about so many texts of each language.
@@ -193,12 +193,13 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
     names = F.array(*[F.lit(x) for x in model.languages]) if model.languages else F.array(F.lit(UNKNOWN))
-    out = docs.withColumn("__near", nearest(F.col(text)))
-    near = F.col("__near")
+    spot = fresh(docs, "__near")
+    out = docs.withColumn(spot, nearest(F.col(text)))
+    near = F.col(spot)
     return out.withColumn(name, F.struct(
         F.when(letter, F.get(names, near["place"])).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
         F.when(letter, near["score"]).otherwise(F.lit(0.0)).alias("score"),
-        (letter & (near["score"] < CLEAR)).alias("ambiguous"))).drop("__near")
+        (letter & (near["score"] < CLEAR)).alias("ambiguous"))).drop(spot)
 
 
 def held_out(column: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

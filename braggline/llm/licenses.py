@@ -112,10 +112,11 @@ class Index:
         matches = []
         for t in np.unique(found[:, 0]).tolist():
             diagonals = np.unique(found[found[:, 0] == t, 1]).tolist()
+            band = min(BAND, len(self.templates[t]) // 2)  # a short template may follow upon itself
             group: list[int] = []
             for d in [*diagonals, None]:
-                if group and (d is None or d - group[0] > BAND):
-                    matched = align(self.templates[t], ids, group[0] - BAND, group[-1] + BAND)
+                if group and (d is None or d - group[0] > band):
+                    matched = align(self.templates[t], ids, group[0] - band, group[-1] + band)
                     if matched and matched[0] >= coverage * len(self.templates[t]):
                         matches.append((t, matched[0] / len(self.templates[t]), matched[1], matched[2]))
                     group = []

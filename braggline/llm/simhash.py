@@ -71,11 +71,11 @@ def neighbours(radius: int) -> list[tuple[int, ...]]:
 
 def compare(home: np.ndarray, partner: np.ndarray, radius: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Linked rows of ``[home, partner]``: every pair of home rows and every home row with every partner."""
-    rows = np.concatenate((home, partner))
+    rows = np.concatenate((home, partner)).view(np.uint64)  # numpy counts the bits of the absolute value of signed numbers
     links = Links(len(rows))
     step = max(1, block // max(1, len(rows)))
     for start in range(0, len(home), step):
-        part = home[start:start + step]
+        part = rows[start:min(start + step, len(home))]
         near = np.bitwise_count(part[:, None] ^ rows[None, start:]) <= radius
         left, right = np.nonzero(near)
         other = left < right

@@ -117,7 +117,7 @@ class _Stream(io.RawIOBase):
             if not self.zip:
                 self.left, self.at = self.raw[self.at:self.at + 65536], self.at + 65536
                 continue
-            piece = self.unpack.unconsumed_tail or self.raw[self.at:(end := self.at + 65536)]
+            piece = self.unpack.unconsumed_tail or self.raw[self.at:(end := min(self.at + 65536, len(self.raw)))]
             if not self.unpack.unconsumed_tail:
                 self.at = end
             self.left = self.unpack.decompress(piece, 1 << 20)
