@@ -136,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     model = (texts_of.mapInArrow(features, "grams binary, toxic int, draw double").repartition(1).sortWithinPartitions("draw", "toxic")
              .mapInArrow(learned, "weight binary, offset double")).first()
+    if model is None:  # no labelled text at all
+        return fit([], np.zeros(0, np.int64))
     return np.frombuffer(model["weight"], "<f4").astype(np.float64), model["offset"]
 
 

@@ -178,7 +178,7 @@ def test_scan_finds_spans(spark, no_docs):
     found = sorted(got[2], key=lambda r: r.first_char)
     assert [r.license for r in found] == ["MIT", "All-Rights-Reserved"] and 0.9 < found[0].coverage < 1
     assert texts[2][found[1].first_char:found[1].end_char] == "All rights reserved"
-    assert {(r.end_word - r.first_word) for r in got[6]} == {6}
+    assert {(r.end_word - r.first_word) for r in got[6]} == {7}
     assert licenses.scan(spark, no_docs).count() == 0
     assert licenses.scan(spark, docs, templates=[]).count() == 0
 
