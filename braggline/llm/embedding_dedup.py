@@ -102,7 +102,7 @@ def interval_pairs(ordered: DataFrame, n_blocks: int, leading: int, epsilon: flo
     span = 1
     while span < n_blocks:
         span *= fan
-    pairs = boxes.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    pairs = boxes.sparkSession.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
     while span > 1:
         span //= fan
         kids = level(span)
