@@ -1,4 +1,4 @@
-"""Tolerance, nearest-neighbour and one-to-one joins without a cross join."""
+"""Tolerance and nearest-neighbour joins without a cross join."""
 
 from __future__ import annotations
 
@@ -71,40 +71,6 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_valu
         F.when(take_left, lgap).otherwise(rgap).alias("gap"))
 
 
-def greedy_one_to_one(pairs: DataFrame, by: Sequence[str], left_id: str, right_id: str,
-                      order: Sequence[str], position: str, reach: float,
-                      chunk: float) -> DataFrame:
-    """Keep pairs in ``order``, each left and right id at most once per ``by``.
-
-    ``position`` is the left item's coordinate and ``reach`` bounds how far a
-    pair can stretch; items further apart than twice that cannot compete, so the
-    pairs fall into islands.  An island is streamed in order through its task
-    with only the used ids in memory.
-    """
-    keys = [*by, "_island"]
-    islands = with_island(pairs, by, [position, left_id, right_id], position, chunk,
-                          2.0 * reach, "_island")
-    ordered = spread(islands, *keys).sortWithinPartitions(*keys, *order)
-    columns = ordered.columns
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used_left, used_right = None, set(), set()
-        for batch in batches:
-            keep = []
-            for key, left, right in zip(zip(*[batch[k] for k in keys]),
-                                        batch[left_id], batch[right_id]):
-                if key != current:
-                    current, used_left, used_right = key, set(), set()
-                free = left not in used_left and right not in used_right
-                keep.append(free)
-                if free:
-                    used_left.add(left)
-                    used_right.add(right)
-            yield batch.loc[keep, columns]
-
-    return ordered.mapInPandas(take, ordered.schema).drop("_island")
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over a fixed number of partitions ahead of a Python kernel.
 

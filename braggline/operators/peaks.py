@@ -16,6 +16,12 @@ from .ordered import with_running_max_before, with_running_sum
 
 MAX_GROUP = 12
 QUALITY_SPAN = 2.0
+#: How far a fit may move a center (in widths) and change a width (as factors), and the share of a bound that counts as reached.
+CENTER_ROOM = 0.5
+WIDTH_ROOM = (0.2, 5.0)
+BOUND_SLACK = 1e-3
+#: Points a peak needs to be judged on its own.
+MIN_POINTS = 5
 PEAK_SCHEMA = ("center double, amplitude double, fwhm double, eta double, area double, chi2 double, "
                "chi2_local double, rel_misfit double, flag int, center_err double, amplitude_err double, fwhm_err double")
 
@@ -199,8 +205,9 @@ def fit_joint(x: np.ndarray, y: np.ndarray, group: np.ndarray, sigma: float, *,
     centred = xs - xs.mean()
     start = np.column_stack([seed, np.full(k, 0.5)])
     c, a, w = seed.T
-    low = np.column_stack([c - w / 2, np.zeros(k), 0.2 * w, np.zeros(k)])
-    high = np.column_stack([c + w / 2, 5 * a + 1e-9, 5 * w, np.ones(k)])
+    shift, (thin, wide) = CENTER_ROOM * w, WIDTH_ROOM
+    low = np.column_stack([c - shift, np.zeros(k), thin * w, np.zeros(k)])
+    high = np.column_stack([c + shift, 5 * a + 1e-9, wide * w, np.ones(k)])
 
     def residual(p):
         shape, partials = profile_terms(xs, p[:-2].reshape(k, 4))
@@ -218,27 +225,33 @@ def fit_joint(x: np.ndarray, y: np.ndarray, group: np.ndarray, sigma: float, *,
     r = residual(p)[0] * noise
     chi2 = float((r / noise) @ (r / noise) / max(xs.size - p.size, 1))
     esd = np.sqrt(np.clip(np.diag(np.linalg.pinv(jac.T @ jac)) * chi2, 0, None))[:-2].reshape(k, 4)
-    fitted = p[:-2].reshape(k, 4)
-    owner = np.argmax(profile_terms(xs, fitted)[0], axis=1)
-    rows = []
-    for j, (center, height, width, eta) in enumerate(fitted):
-        near = np.abs(xs - center) <= QUALITY_SPAN * max(width, 1e-9)
-        span = near & (owner == j)
-        span = span if span.sum() >= 5 else near if near.sum() >= 5 else np.ones_like(near)
-        part = r[span]
-        local = float((part / noise) @ (part / noise) / max(part.size - 4, 1))
-        rel = float(np.sqrt(np.mean(part ** 2)) / height) if height > 0 else np.inf
-        flag = FLAG_OK if converged else FLAG_NO_CONVERGENCE
-        flag |= FLAG_LOW_AMPLITUDE * (height < 2 * noise)
-        flag |= FLAG_BAD_CHI2 * (local > max_chi2 and rel > max_rel)
-        flag |= FLAG_CENTER_DRIFT * (abs(center - group[j, 0]) >= 0.4995 * max(group[j, 2], 1e-9))
-        flag |= FLAG_WIDTH_BOUND * (width <= 0.2002 * group[j, 2] or width >= 4.995 * group[j, 2])
-        eta = min(max(eta, 0.0), 1.0)
-        area = height * width * (eta * np.pi / 2 + (1 - eta) * np.sqrt(np.pi / (4 * LN2)))
-        rows.append({"center": center, "amplitude": height, "fwhm": width, "eta": eta, "area": area, "chi2": chi2,
-                     "chi2_local": local, "rel_misfit": rel, "flag": int(flag), "center_err": esd[j, 0],
-                     "amplitude_err": esd[j, 1], "fwhm_err": esd[j, 2]})
-    return rows
+    return judged(p[:-2].reshape(k, 4), group, (low, high), esd, xs, r, noise, chi2, converged, max_chi2, max_rel)
+
+
+def judged(fitted: np.ndarray, seeds: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], esd: np.ndarray, xs: np.ndarray, misfit: np.ndarray,
+           noise: float, chi2: float, converged: bool, max_chi2: float, max_rel: float) -> list[dict]:
+    """Quality of all peaks of a group at once; a peak answers for the points where its profile is the highest."""
+    center, height, width = fitted[:, 0], fitted[:, 1], fitted[:, 2]
+    eta = np.clip(fitted[:, 3], 0, 1)
+    close = np.abs(xs - center[:, None]) <= QUALITY_SPAN * np.maximum(width, 1e-9)[:, None]
+    own = close & (profile_terms(xs, fitted)[0].argmax(axis=1) == np.arange(len(fitted))[:, None])
+    enough = lambda rows: rows.sum(axis=1, keepdims=True) >= MIN_POINTS
+    points = np.where(enough(own), own, np.where(enough(close), close, True))
+    count, squares = points.sum(axis=1), points @ (misfit * misfit)
+    local = squares / noise ** 2 / np.maximum(count - 4, 1)
+    with np.errstate(divide="ignore"):
+        rel = np.where(height > 0, np.sqrt(squares / count) / np.maximum(height, 1e-300), np.inf)
+    low, high = bounds
+    # A parameter counts as stopped by its bound from a slack before it.
+    drift = np.abs(center - seeds[:, 0]) >= (1 - BOUND_SLACK) * (high[:, 0] - low[:, 0]) / 2
+    stopped = (width <= (1 + BOUND_SLACK) * low[:, 2]) | (width >= (1 - BOUND_SLACK) * high[:, 2])
+    flags = sum(np.where(bad, code, 0) for bad, code in (
+        (not converged, FLAG_NO_CONVERGENCE), (height < 2 * noise, FLAG_LOW_AMPLITUDE), ((local > max_chi2) & (rel > max_rel), FLAG_BAD_CHI2),
+        (drift, FLAG_CENTER_DRIFT), (stopped, FLAG_WIDTH_BOUND))) + np.full(len(fitted), FLAG_OK)
+    table = {"center": center, "amplitude": height, "fwhm": width, "eta": eta,
+             "area": height * width * (eta * np.pi / 2 + (1 - eta) * np.sqrt(np.pi / (4 * LN2))), "chi2": np.full(len(fitted), chi2),
+             "chi2_local": local, "rel_misfit": rel, "flag": flags.astype(int), "center_err": esd[:, 0], "amplitude_err": esd[:, 1], "fwhm_err": esd[:, 2]}
+    return [dict(zip(table, row)) for row in zip(*(v.tolist() for v in table.values()))]
 
 
 def failed(seed: np.ndarray) -> dict:

@@ -57,29 +57,34 @@ def label_blobs(a: np.ndarray, r: np.ndarray, n_azim: int) -> np.ndarray:
 
 def blob_rows(cells: pd.DataFrame, n_azim: int, bin_a: float, bin_r: float, min_pixels: int, max_azim: float,
               max_radial: int) -> list[tuple]:
-    out = []
-    labels = label_blobs(cells["abin"].to_numpy(), cells["rbin"].to_numpy(), n_azim)
-    for _, blob in cells.groupby(labels):
-        if len(blob) < min_pixels or blob["rbin"].max() - blob["rbin"].min() + 1 > max_radial:
-            continue
-        value = blob["excess"].to_numpy()
-        k = int(np.argmax(value))
-        offset = (blob["abin"].to_numpy() - blob["abin"].iloc[k] + n_azim // 2) % n_azim - n_azim // 2
-        if (offset.max() - offset.min() + 1) * bin_a > max_azim:
-            continue
-        weight = np.clip(value, 0, None)
-        total = weight.sum() or 1.0
-        radial, angle = blob["radial"].to_numpy(), np.radians(blob["azim"].to_numpy())
-        q = float(weight @ radial / total)
-        degrees = offset * bin_a
-        middle = weight @ degrees / total
-        sigma = blob["sigma"].iloc[k]
-        out.append((q, math.degrees(math.atan2(weight @ np.sin(angle), weight @ np.cos(angle))), float(value[k]),
-                    float(value.sum()), float(value[k] / sigma) if sigma > 0 else math.inf,
-                    max(2.3548 * math.sqrt(weight @ (radial - q) ** 2 / total), bin_r),
-                    max(2.3548 * math.sqrt(weight @ (degrees - middle) ** 2 / total), bin_a), len(blob),
-                    float(radial[k])))
-    return out
+    """Spots of one cake: sums over the labelled cells, positions told from each blob's brightest cell."""
+    if cells.empty:
+        return []
+    cells = cells.reset_index(drop=True).assign(blob=label_blobs(cells["abin"].to_numpy(), cells["rbin"].to_numpy(), n_azim))
+    top = cells.loc[cells.groupby("blob")["excess"].idxmax()].set_index("blob")
+    half = n_azim // 2
+    cells["turn"] = bin_a * ((cells["abin"] - cells["blob"].map(top["abin"]) + half) % n_azim - half)
+    cells["weight"] = cells["excess"].clip(lower=0)
+    total = cells.groupby("blob")["weight"].sum().replace(0, 1.0)
+
+    def mean(values: pd.Series) -> pd.Series:
+        """Weighted mean per blob."""
+        return (values * cells["weight"]).groupby(cells["blob"]).sum() / total
+
+    def width(values: pd.Series, least: float) -> pd.Series:
+        """Full width at half maximum about the weighted mean, one bin at least."""
+        off = values - cells["blob"].map(mean(values))
+        return (2.3548 * np.sqrt(mean(off * off))).clip(lower=least)
+
+    angle = np.radians(cells["azim"])
+    by = cells.groupby("blob")
+    out = pd.DataFrame({
+        "q": mean(cells["radial"]), "azim": np.degrees(np.arctan2(mean(np.sin(angle)), mean(np.cos(angle)))), "peak": top["excess"], "sum": by["excess"].sum(),
+        "snr": (top["excess"] / top["sigma"].where(top["sigma"] > 0)).fillna(math.inf), "q_width": width(cells["radial"], bin_r), "azim_width": width(cells["turn"], bin_a),
+        "n": by.size(), "q_peak": top["radial"]})
+    spans = (by["rbin"].max() - by["rbin"].min() + 1 <= max_radial) & (by["turn"].max() - by["turn"].min() + bin_a <= max_azim)
+    kept = out[(out["n"] >= min_pixels) & spans]
+    return list(kept.itertuples(index=False, name=None))
 
 
 def detect_spots(cakes: DataFrame, *, n_azim: int, bin_a: float, bin_r: float, min_pixels: int = 2,

@@ -49,17 +49,33 @@ def band_candidates(spark, folder):
     return out.select("frame", "phase", "line", "obs", F.round("gap", 9).alias("gap"))
 
 
-@query("match_one_to_one")
+# Greedy matching as a fold over the sorted pairs of a group.
+GREEDY = """list_reduce(list_transform(list_sort(list(struct_pack({fields}))), lambda p: [p]),
+  lambda kept, p: case when len(list_filter(kept, lambda q: {same})) > 0 then kept else list_concat(kept, p) end)"""
+
+
+@query("match_one_to_one", cte("peaks", "reflections") + LINES + """
+, c as (select l.frame, l.phase, l.line, o.obs, abs(pred_d - o.d) as gap from lf l join obs o on o.frame = l.frame
+  where abs(pred_d - o.d) < 2 * sqrt(pow(greatest(0.01 * pred_d, 1e-9), 2) + pow(coalesce(d_err, 0), 2)))
+, m as (select frame, phase, unnest(""" + GREEDY.format(
+    fields="gap := gap, line := line, obs := obs", same="q.line = p[1].line or q.obs = p[1].obs") + """) as k from c group by 1, 2)
+select frame, phase, k.line as line, k.obs as obs, round(k.gap, 9) as gap from m""")
 def match_one_to_one(spark, folder):
     lines = lines_of_frames(spark, folder).select("frame", "phase", "line", "pred_d")
-    return idn.match_one_to_one(lines, observed(spark, folder), 0.01, 0.1).select("frame", "phase", "line", "obs", "gap")
+    return idn.match_one_to_one(lines, observed(spark, folder), 0.01).select("frame", "phase", "line", "obs", F.round("gap", 9).alias("gap"))
 
 
-@query("attribute_peaks")
+@query("attribute_peaks", cte("peaks", "reflections") + LINES + """
+, c as (select l.frame, l.phase, case when l.phase = 'ECONOMY' then 0 else 1 end as phase_rank, l.line, o.obs, abs(o.d - pred_d) / o.d as gap
+  from lf l join obs o on o.frame = l.frame where abs(o.d - pred_d) / o.d < 0.01)
+, m as (select frame, unnest(""" + GREEDY.format(
+    fields="gap := gap, phase_rank := phase_rank, line := line, obs := obs, phase := phase",
+    same="q.obs = p[1].obs or (q.line = p[1].line and q.phase = p[1].phase)") + """) as k from c group by 1)
+select frame, k.obs as obs, k.phase as phase, k.line as line, round(k.gap, 9) as gap from m""")
 def attribute_peaks(spark, folder):
     rank = F.when(F.col("phase") == "ECONOMY", 0).otherwise(1)
     lines = lines_of_frames(spark, folder).select("frame", "phase", "line", "pred_d").withColumn("phase_rank", rank)
-    return idn.attribute_peaks(observed(spark, folder).select("frame", "obs", "d"), lines, 0.01).select("frame", "obs", "phase", "line", "gap")
+    return idn.attribute_peaks(observed(spark, folder).select("frame", "obs", "d"), lines, 0.01).select("frame", "obs", "phase", "line", F.round("gap", 9).alias("gap"))
 
 
 @query("identify")

@@ -66,7 +66,7 @@ def test_greedy_join_equals_kernel(spark):
     rng = np.random.default_rng(3)
     pred = pd.DataFrame({"frame": np.repeat(range(6), 8), "phase": "A", "line": list(range(8)) * 6, "pred_d": np.round(rng.uniform(1, 3, 48), 2)})
     obs = pd.DataFrame({"frame": np.repeat(range(6), 9), "obs": list(range(9)) * 6, "d": np.round(rng.uniform(1, 3, 54), 2), "d_err": 0.0})
-    got = idn.match_one_to_one(spark.createDataFrame(pred), spark.createDataFrame(obs), 0.05, 0.4).toPandas()
+    got = idn.match_one_to_one(spark.createDataFrame(pred), spark.createDataFrame(obs), 0.05).toPandas()
     for f in range(6):
         p, o = pred[pred["frame"] == f], obs[obs["frame"] == f]
         tol = np.repeat((2 * np.maximum(0.05 * p["pred_d"].to_numpy(), 1e-9))[:, None], 9, axis=1)
