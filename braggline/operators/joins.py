@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import CHUNK, with_chunk, with_island
+from .ordered import CHUNK, grouped, with_chunk
 
 
 def interval_join(intervals: DataFrame, points: DataFrame, by: Sequence[str], low: Column,
@@ -48,7 +48,7 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_valu
                          F.lit(0).alias("_side"),
                          F.lit(None).cast(left.select(F.struct(*names)).schema[0].dataType).alias("_row"),
                          F.col(right_value).cast("double").alias("_r"))
-    both = with_chunk(lrows.unionByName(rrows), "_x", width)
+    both, by = grouped(with_chunk(lrows.unionByName(rrows), "_x", width), by)
     summary = both.groupBy(*by, CHUNK).agg(F.min("_r").alias("_rmin"), F.max("_r").alias("_rmax"))
     up = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*by).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)

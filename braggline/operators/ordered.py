@@ -3,7 +3,7 @@
 A group (a series, a scan, a frame) can hold a large share of all rows.  Each
 helper cuts a group into chunks that are a pure function of the ordering value,
 runs the window inside ``(group, chunk)``, and carries what crosses a chunk edge
-through a summary with one row per chunk.  Group keys must not be null.
+through a summary with one row per chunk.  A null group key is a group of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+GROUP = "_group"
+
+
+def grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Put the group keys into one struct: it is never null, and null fields are equal to each other in joins."""
+    return (df.withColumn(GROUP, F.struct(*by)), [GROUP]) if by else (df, [])
 
 
 def with_chunk(df: DataFrame, value: str, width: float) -> DataFrame:
@@ -28,7 +34,8 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
 
     ``value`` is the leading order column; ``width`` its chunk width.
     """
-    by, order = list(by), list(order)
+    df, by = grouped(df, list(by))
+    order = list(order)
     chunked = with_chunk(df, value, width)
     key = F.struct(*[F.col(c) for c in order])
     payload = F.struct(*[F.col(c) for c in columns])
@@ -39,13 +46,14 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     for c in columns:
         out = out.withColumn(prefix + c, F.when(F.col("_row") == 1, F.col(f"_carry.{c}"))
                              .otherwise(F.lag(c).over(inside)))
-    return out.drop(CHUNK, "_carry", "_row")
+    return out.drop(CHUNK, GROUP, "_carry", "_row")
 
 
 def with_running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
                      width: float, amount: Column, name: str) -> DataFrame:
     """Add the inclusive running sum of ``amount`` in ``order`` within ``by``."""
-    by, order = list(by), list(order)
+    df, by = grouped(df, list(by))
+    order = list(order)
     chunked = with_chunk(df.withColumn("_amount", amount), value, width)
     before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = (chunked.groupBy(*by, CHUNK).agg(F.sum("_amount").alias("_total"))
@@ -54,13 +62,14 @@ def with_running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], val
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (chunked.join(totals, [*by, CHUNK], "left")
             .withColumn(name, F.sum("_amount").over(inside) + F.col("_offset"))
-            .drop(CHUNK, "_amount", "_offset"))
+            .drop(CHUNK, GROUP, "_amount", "_offset"))
 
 
 def with_running_max_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
                             width: float, amount: str, name: str) -> DataFrame:
     """Add the maximum of ``amount`` over all earlier rows of the group."""
-    by, order = list(by), list(order)
+    df, by = grouped(df, list(by))
+    order = list(order)
     chunked = with_chunk(df, value, width)
     before = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     tops = (chunked.groupBy(*by, CHUNK).agg(F.max(amount).alias("_top"))
@@ -69,7 +78,7 @@ def with_running_max_before(df: DataFrame, by: Sequence[str], order: Sequence[st
               .rowsBetween(Window.unboundedPreceding, -1))
     return (chunked.join(tops, [*by, CHUNK])
             .withColumn(name, F.greatest(F.max(amount).over(inside), F.col("_carry")))
-            .drop(CHUNK, "_carry"))
+            .drop(CHUNK, GROUP, "_carry"))
 
 
 def with_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
@@ -87,7 +96,8 @@ def with_island(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     One summary per chunk holds its first and last value and the islands that
     start inside it; that decides both the start at its edge and the offset.
     """
-    by, order = list(by), list(order)
+    df, by = grouped(df, list(by))
+    order = list(order)
     limit = gap if isinstance(gap, Column) else F.lit(float(gap))
     chunked = with_chunk(df, value, width)
     inside = Window.partitionBy(*by, CHUNK).orderBy(*order)
@@ -103,7 +113,7 @@ def with_island(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (marked.join(offsets, [*by, CHUNK], "left")
             .withColumn(name, (F.sum("_start").over(running) + F.col("_base")).cast("long"))
-            .drop(CHUNK, "_start", "_base"))
+            .drop(CHUNK, GROUP, "_start", "_base"))
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),

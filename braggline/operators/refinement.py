@@ -52,7 +52,8 @@ def frame_results(histograms: DataFrame, groups: DataFrame, members: DataFrame)
     """Replicate each histogram's result to the frames it stands for.
 
     ``members`` is ``group_id, frame``.  A name without a group falls back to the
-    number behind the word frame.
+    number behind the word frame.  A name tied between groups stands for no frame: it
+    has one row with ``ambiguous`` set and a null frame.
     """
     mapped = match_groups(histograms, groups)
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
@@ -62,7 +63,9 @@ def frame_results(histograms: DataFrame, groups: DataFrame, members: DataFrame)
     rest = (histograms.join(mapped.select("name"), "name", "left_anti")
             .withColumn("frame", number).where(F.col("frame").isNotNull())
             .withColumn("group_size", F.lit(1).cast("long")))
-    return by_group.drop("group_id").unionByName(rest)
+    clear = by_group.drop("group_id").unionByName(rest).withColumn("ambiguous", F.lit(False))
+    tied = histograms.join(mapped.where("ambiguous").select("name", "ambiguous"), "name")
+    return clear.unionByName(tied, allowMissingColumns=True)
 
 
 def explode_phases(results: DataFrame, phase_map: Mapping[str, str]) -> DataFrame:

@@ -111,9 +111,9 @@ def eos_pressure(spark, folder):
 def eos_compression(spark, folder):
     df = compressed(spark, folder)
     law = F.struct(F.col("eos_type").alias("type"), F.col("k0").alias("K0"), F.col("k0p").alias("K0p"), F.col("k0pp").alias("K0pp"))
-    r = eos.compression(F.col("eos_type"), F.col("k0"), F.col("k0p"), F.col("k0pp"), F.col("p"))
-    return df.select("peak_id", eos.normal_type(F.col("eos_type")).alias("kind"), F.round(r, 7).alias("r"),
-                     F.round(eos.linear_scale(law, F.col("p")), 7).alias("scale"))
+    df = df.withColumn("_r", eos.compression(F.col("eos_type"), F.col("k0"), F.col("k0p"), F.col("k0pp"), F.col("p")))
+    return df.select("peak_id", eos.normal_type(F.col("eos_type")).alias("kind"), F.round("_r", 7).alias("r"),
+                     F.round(eos.scale_of(F.col("_r"), law, F.col("p")), 7).alias("scale"))
 
 
 @query("thermal_and_validity", cte("phases", "peaks", "frames") + """

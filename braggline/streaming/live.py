@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tracks import Linker
+from ..session import checkpointed
 
 MAX_RETRIES = 3
 
@@ -76,8 +77,10 @@ class AppendSink:
 
     A replayed batch overwrites its own folder, so the table holds every frame
     once.  ``frame`` numbers follow arrival: the offset of a batch is the row
-    count of the batches before it, and rows in a batch keep the given order.
-    Failed rows are retried by the batches that follow and given up after three.
+    count of the batches before it, and rows in a batch keep the given order.  Of
+    the good arrivals of one name the first in ``order`` is stored.  The arrivals of
+    names without a good one are kept and tried again with the next batch, three
+    times in all; then they are given up.
     """
 
     def __init__(self, path: str, order: str, integrate: Callable[[DataFrame], DataFrame] | None = None,
@@ -85,40 +88,64 @@ class AppendSink:
         self.path, self.order = path.rstrip("/"), order
         self.integrate, self.analyze, self.analyze_every = integrate, analyze, max(1, analyze_every)
 
-    def stored(self, spark) -> DataFrame | None:
+    def table(self, spark, name: str) -> DataFrame | None:
+        """A table below the sink's folder, or None if nothing was written yet; other errors are errors."""
         from pyspark.errors import AnalysisException
         try:
-            return spark.read.option("recursiveFileLookup", "false").parquet(self.path + "/frames")
-        except AnalysisException:
-            return None
+            return spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def stored(self, spark) -> DataFrame | None:
+        return self.table(spark, "frames")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from ..operators.ordered import with_rank
         spark = batch.sparkSession
-        rows = self.integrate(batch) if self.integrate else batch
+        incoming = checkpointed(self.with_waiting(batch, batch_id))
         before = self.stored(spark)
         offset = 0
         if before is not None:
             before = before.where(F.col("batch") < batch_id)
-            rows = rows.join(before.select("display"), "display", "left_anti")
+            incoming = incoming.join(before.select("display"), "display", "left_anti")
             offset = before.count()
-        rows = rows.dropDuplicates(["display"])
+        rows = incoming.drop("_tries")
+        rows = self.integrate(rows) if self.integrate else rows
         if "ok" in rows.columns:
-            self.keep_failures(rows.where(~F.col("ok")), batch_id)
-            rows = rows.where("ok")
+            rows = checkpointed(rows)  # integrated once, read for both outcomes
+            good = rows.where(F.coalesce("ok", F.lit(False)))
+            lost = incoming.join(good.select("display"), "display", "left_anti")
+            (lost.withColumn("_tries", F.col("_tries") + 1).write.mode("overwrite").parquet(f"{self.path}/failures/batch={batch_id}"))
+            rows = good
+        first = rows.groupBy("display").agg(F.min_by(F.struct(*rows.columns), F.struct(F.col(self.order).isNull(), F.col(self.order))).alias("_row"))
+        rows = first.select("_row.*")
         ordered = with_rank(rows.withColumn("_o", F.col(self.order).cast("double")), [], ["_o", "display"], "_o", 3600.0, "frame").drop("_o")
         (ordered.withColumn("frame", F.col("frame") + offset)
          .write.mode("overwrite").parquet(f"{self.path}/frames/batch={batch_id}"))
         if self.analyze is not None and (batch_id + 1) % self.analyze_every == 0:
             self.analyze(self.path)
 
-    def keep_failures(self, failed: DataFrame, batch_id: int) -> None:
-        failed.select("display").write.mode("overwrite").parquet(f"{self.path}/failures/batch={batch_id}")
+    def with_waiting(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The arrivals of a batch and those that failed in the batch before and may be tried again."""
+        now = batch.withColumn("_tries", F.lit(0))
+        failed = self.table(batch.sparkSession, "failures")
+        if failed is None:
+            return now
+        earlier = failed.where(F.col("batch") < batch_id)
+        waiting = earlier.where(F.col("batch") == earlier.agg(F.max("batch")).scalar()).drop("batch")
+        tries = waiting.groupBy("display").agg(F.max("_tries").alias("_before"))
+        again = now.join(tries, "display", "left").withColumn("_tries", F.coalesce("_before", "_tries")).drop("_before")
+        # A name that was given up stays so, also if it arrives again.
+        gone = earlier.where(F.col("_tries") >= MAX_RETRIES).select("display").distinct()
+        return again.unionByName(waiting, allowMissingColumns=True).join(gone, "display", "left_anti")
 
     def given_up(self, spark) -> DataFrame:
-        """Names that failed in three or more batches."""
-        tries = spark.read.parquet(self.path + "/failures").groupBy("display").agg(F.count_distinct("batch").alias("tries"))
-        return tries.where(F.col("tries") >= MAX_RETRIES)
+        """Names that failed three times."""
+        failed = self.table(spark, "failures")
+        tries = failed.where(F.col("_tries") >= MAX_RETRIES)
+        return tries.groupBy("display").agg(F.max("_tries").alias("tries"))
 
 
 def run_live(stream: DataFrame, sink: AppendSink, checkpoint: str, *, once: bool = True, poll: str = "5 seconds"):

@@ -296,3 +296,38 @@ def test_elapsed_seconds(spark):
     df = frame(spark, [(0, "2024-01-01T00:00:10"), (1, "bad"), (2, "2024-01-01T00:00:00")], "frame int, stamp string")
     got = [r.elapsed for r in meta.elapsed_seconds(df, "stamp").orderBy("frame").collect()]
     assert got == [10.0, None, 0.0]
+
+
+def test_null_group_keys_lose_no_rows(spark):
+    from braggline.operators import joins, ordered
+    rows = spark.createDataFrame([(None, 1.0), (None, 5.0), (1, 2.0), (1, 9.0), (None, 12.0)], "g int, v double")
+    top = ordered.with_running_max_before(rows, ["g"], ["v"], "v", 4.0, "v", "m").collect()
+    assert sorted((r.g or 0, r.v, r.m or 0) for r in top) == [(0, 1.0, 0), (0, 5.0, 1.0), (0, 12.0, 5.0), (1, 2.0, 0), (1, 9.0, 2.0)]
+    total = ordered.with_running_sum(rows, ["g"], ["v"], "v", 4.0, F.col("v"), "s").collect()
+    assert sorted((r.g or 0, r.s) for r in total) == [(0, 1.0), (0, 6.0), (0, 18.0), (1, 2.0), (1, 11.0)]
+    near = joins.nearest_join(rows, rows.withColumnRenamed("v", "w"), ["g"], "v", "w", 2.0).collect()
+    assert len(near) == 5 and all(r.gap == 0 for r in near)
+
+
+def test_matching_with_wide_errors_uses_every_peak_once(spark):
+    lines = spark.createDataFrame([(1, "p", i, d) for i, d in enumerate((2.0, 2.35, 2.7, 3.05))], "frame int, phase string, line int, pred_d double")
+    seen = spark.createDataFrame([(1, "o0", 2.18, 0.3), (1, "o1", 2.52, 0.3)], "frame int, obs string, d double, d_err double")
+    assert sorted((r.line, r.obs) for r in idn.match_one_to_one(lines, seen, 0.01).collect()) == [(1, "o0"), (2, "o1")]
+
+
+def test_tied_histograms_are_told(spark):
+    from braggline.operators import refinement
+    histograms = spark.createDataFrame([("alphabeta gammadelta", 1.0, {"A": 0.5}), ("frame 7", 2.0, {"A": 1.0})], "name string, rwp double, phases map<string,double>")
+    groups = spark.createDataFrame([(1, "alphabeta", []), (2, "gammadelt", [])], "group_id int, label string, patterns array<string>")
+    members = spark.createDataFrame([(1, 10), (2, 20)], "group_id int, frame long")
+    got = sorted((r.name, r.frame, r.ambiguous) for r in refinement.frame_results(histograms, groups, members).collect())
+    assert got == [("alphabeta gammadelta", None, True), ("frame 7", 7, False)]
+
+
+def test_exact_quantiles_above_the_sketch_size(spark):
+    from braggline.operators import ordered
+    values = np.random.default_rng(3).gamma(2.0, size=4000)
+    frame = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(values)], "g int, v double")
+    got = {r.g: (r.q0, r.q1) for r in ordered.exact_quantiles(frame, "v", [0.1, 0.95], ["g"], accuracy=200).collect()}
+    for g in (0, 1):
+        assert np.allclose(got[g], np.quantile(values[g::2], [0.1, 0.95]))

@@ -67,6 +67,31 @@ def test_failed_frames_are_given_up_after_three_batches(spark, tmp_path):
     assert [r.display for r in sink.given_up(spark).collect()] == ["bad"]
 
 
+def test_a_good_arrival_beats_a_failed_one_and_failures_are_tried_again(spark, tmp_path):
+    schema = "display string, t double, ok boolean"
+    healed = {"late": 0}
+
+    def integrate(rows):
+        healed["late"] += 1
+        return rows.withColumn("ok", F.col("ok") | ((F.col("display") == "late") & (F.lit(healed["late"]) >= 3)))
+
+    sink = live.AppendSink(str(tmp_path / "out"), "t", integrate)
+    sink(spark.createDataFrame([("a", 1.0, False), ("a", 2.0, True), ("late", 3.0, False), ("never", 1.0, False)], schema), 0)
+    sink(spark.createDataFrame([("b", 4.0, True), ("b", 5.0, True)], schema), 1)
+    sink(spark.createDataFrame([], schema), 2)
+    sink(spark.createDataFrame([("never", 9.0, True)], schema), 3)
+    got = {r.display: (r.frame, r.t) for r in sink.stored(spark).collect()}
+    assert got == {"a": (0, 2.0), "b": (1, 4.0), "late": (2, 3.0)}
+    assert [r.display for r in sink.given_up(spark).collect()] == ["never"]
+
+
+def test_a_broken_table_is_an_error(spark, tmp_path):
+    (tmp_path / "out" / "frames").mkdir(parents=True)
+    (tmp_path / "out" / "frames" / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception):
+        live.AppendSink(str(tmp_path / "out"), "t")(spark.createDataFrame([("a", 1.0, True)], "display string, t double, ok boolean"), 0)
+
+
 def test_open_tracks_match_batch(spark, tmp_path):
     rows = [(s, f"{s}-{p:02d}", p, float(p), 2.0 + 0.01 * p + s, 1.0, 0.1, p // 5) for s in (1, 2) for p in range(15) if p not in (6, 7)]
     df = spark.createDataFrame(rows, "series long, obs string, position long, axis double, center double, amplitude double, fwhm double, _part int")
