@@ -241,6 +241,28 @@ def unknown_diagram(points: DataFrame, clusters: DataFrame, stored: DataFrame |
     return rows.join(stored.select("cluster").distinct(), "cluster", "full")
 
 
+def unknown_series(observations: DataFrame, by: Sequence[str], d: Column, threshold: float = 0.6, **linking) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole step over unexplained peaks: linked points with their cluster, the clusters, their fingerprints.
+
+    Observations are linked into tracks, tracks seen together are clustered, each
+    cluster is summed up, and ``d`` of its tracks is told at the frame most of them share.
+    Clusters form within a series; ``linking`` goes to ``link_tracks``.
+    """
+    name = F.concat_ws("/", *[F.col(k).cast("string") for k in by], "track")
+    linked = link_tracks(observations, by, **linking)
+    points = checkpointed(linked.select(*by, name.alias("track"), F.concat_ws("/", *[F.col(k).cast("string") for k in by], F.lpad(F.col("position").cast("string"), 12, "0")).alias("frame"),
+                                        "obs", "position", "axis", "center", "amplitude", "fwhm"))
+    clusters = checkpointed(cluster_tracks(points, threshold))
+    crowd = points.join(clusters, "track").groupBy("cluster", "frame").agg(F.count_distinct("track").alias("n"), F.first("position").alias("position"))
+    shared = crowd.groupBy("cluster").agg(F.max_by(F.struct("frame", "position"), F.struct("n", -F.col("position"))).alias("ref"))
+    summary = (points.join(clusters, "track").groupBy("cluster").agg(
+        F.count_distinct("track").alias("n_tracks"), F.count(F.lit(1)).alias("n_obs"), F.min("position").alias("first_position"),
+        F.max("position").alias("last_position"), F.sum("amplitude").alias("amplitude_sum"))
+        .join(shared, "cluster").select("*", F.col("ref.frame").alias("ref_frame")).drop("ref"))
+    marks = fingerprints(points, clusters, summary, d)
+    return unknown_diagram(points, clusters), summary, marks
+
+
 def fingerprints(points: DataFrame, clusters: DataFrame, summary: DataFrame, d: Column) -> DataFrame:
     """d-spacings of each cluster's tracks at its reference frame."""
     rows = points.join(clusters, "track").join(summary.select("cluster", F.col("ref_frame").alias("frame")), ["cluster", "frame"])

@@ -56,7 +56,13 @@ def reusable_runs(spark, folder):
     return files.reusable(runs, "7", "5-LOW").select("config", "inputs_hash", "created_at")
 
 
-@query("screen_structures")
+@query("screen_structures", """
+with e as (select lpad(p_partkey::string, 12, '0') || '.cif' as file, p_type as formula, p_size as spacegroup, p_retailprice as volume, p_partkey % 250 as n_sites from part)
+, k as (select formula, spacegroup, unnest(list_reduce(list_transform(list_sort(list(struct_pack(file := file, v := volume))), lambda p: [p]),
+  lambda kept, p: case when len(list_filter(kept, lambda q: abs(q.v - p[1].v) <= 0.005 * greatest(q.v, p[1].v, 1e-9))) > 0 then kept else list_concat(kept, p) end)) as one
+  from e where n_sites <= 200 group by 1, 2)
+select e.*, case when n_sites > 200 then 'too_big' when k.formula is null then 'duplicate' end as reason
+from e left join k on k.formula = e.formula and k.spacegroup = e.spacegroup and k.one.file = e.file""")
 def screen_structures(spark, folder):
     entries = base(spark, folder, "part").select(
         F.concat(F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(".cif")).alias("file"), F.col("p_type").alias("formula"),

@@ -126,7 +126,15 @@ def track_jaccard(spark, folder):
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("jaccard", 8).alias("jaccard"))
 
 
-@query("cluster_tracks")
+# The closure of the edges, whose smallest member names a cluster.
+CLUSTERS = SETS.replace("with points", "with recursive points") + """
+, reach(node, root) as (select id, id from folded union select r.node, e.b from reach r join ed e on e.a = r.root)
+, comp as (select node, min(root) as cluster from reach group by 1)
+, cl as (select s.track, c.cluster from sets s join folded f on f.items = s.items join comp c on c.node = f.id)
+"""
+
+
+@query("cluster_tracks", CLUSTERS + "select track, cluster from cl")
 def cluster_tracks(spark, folder):
     return tr.cluster_tracks(crowd(spark, folder), 0.6)
 

@@ -331,3 +331,36 @@ def test_exact_quantiles_above_the_sketch_size(spark):
     got = {r.g: (r.q0, r.q1) for r in ordered.exact_quantiles(frame, "v", [0.1, 0.95], ["g"], accuracy=200).collect()}
     for g in (0, 1):
         assert np.allclose(got[g], np.quantile(values[g::2], [0.1, 0.95]))
+
+
+def test_unknown_lines_become_clusters(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for first, centers in ((0, (2.0, 2.6)), (5, (3.1, 4.0))):  # two pairs seen together, ten frames each
+        rows += [(7, f"{c}-{p}", p, float(p), c + 0.002 * p, 10.0, 0.05) for c in centers for p in range(first, first + 10)]
+    rows += [(7, f"noise{i}", int(p), float(p), float(c), 1.0, 0.05) for i, (p, c) in enumerate(zip(rng.integers(0, 15, 3), (5.0, 5.5, 6.0)))]
+    frame = spark.createDataFrame(rows, "series long, obs string, position long, axis double, center double, amplitude double, fwhm double")
+    diagram, summary, marks = tracks.unknown_series(frame, ["series"], 2 * math.pi / F.col("center"), min_points=3)
+    got = sorted((r.n_tracks, r.n_obs, r.first_position, r.last_position) for r in summary.collect())
+    assert got == [(2, 20, 0, 9), (2, 20, 5, 14)]
+    assert diagram.count() == 40 and marks.count() == 4
+
+
+def test_residual_step_leaves_unexplained_peaks(spark):
+    from braggline.functions.profiles import pseudo_voigt  # noqa: F401
+    axis_values = [1.0 + 0.01 * i for i in range(400)]
+    x = np.array(axis_values)
+
+    def shape(c, a):
+        return a * (0.5 / (1 + (2 * (x - c) / 0.1) ** 2) + 0.5 * np.exp(-math.log(2) * (2 * (x - c) / 0.1) ** 2))
+
+    y = shape(2.0, 100.0) + shape(3.5, 60.0)
+    patterns = spark.createDataFrame([(1, (y + np.random.default_rng(1).normal(0, 0.2, x.size)).tolist())], "frame long, clean array<double>")
+    peaks = spark.createDataFrame([(1, "a", 2 * math.pi / 2.0, 2.0, 100.0, 0.1, 0.5), (1, "b", 2 * math.pi / 3.5, 3.5, 60.0, 0.1, 0.5)],
+                                  "frame long, obs string, d double, center double, amplitude double, fwhm double, eta double")
+    lines = spark.createDataFrame([(1, "p", 0, 2 * math.pi / 2.001, 0), (1, "absent", 0, 2 * math.pi / 3.501, 1)], "frame long, phase string, line int, pred_d double, phase_rank int")
+    found = spark.createDataFrame([(1, "p", 0.9, 3), (1, "absent", 0.1, 3)], "frame long, phase string, confidence double, n_matched int")
+    told, rest = idn.residual_step(patterns, "clean", peaks, lines, found, axis_values, min_snr=10.0)
+    assert {r.obs: r.phase for r in told.collect()} == {"a": "p", "b": None}
+    left = [r.center for r in rest.where("flag = 0").collect()]
+    assert len(left) == 1 and abs(left[0] - 3.5) < 0.01
