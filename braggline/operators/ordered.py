@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 CHUNK = "_chunk"
 GROUP = "_group"
 
@@ -89,6 +91,24 @@ def with_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str
     return out.withColumn(name, (F.col("_pos") - 1).cast("long")).drop("_pos")
 
 
+def with_running_sum_by_range(df: DataFrame, order: Sequence[Column], amount: Column, name: str) -> DataFrame:
+    """Add the inclusive running sum of ``amount`` over the whole table in ``order``.
+
+    The chunks are ranges that Spark samples from the data, as many as the session has
+    shuffle partitions, so they are even however the values lie.  They are checkpointed,
+    as another sampling might cut elsewhere.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(df.withColumn("_amount", amount).repartitionByRange(count, *order).withColumn(CHUNK, F.spark_partition_id()))
+    # One row per chunk in this window, bounded by the number of partitions.
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(CHUNK).agg(F.sum("_amount").alias("_total")).select(
+        CHUNK, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (placed.join(totals, CHUNK).withColumn(name, F.sum("_amount").over(inside) + F.col("_offset"))
+            .drop(CHUNK, "_amount", "_offset"))
+
+
 def with_island(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
                 width: float, gap: Column | float, name: str = "island") -> DataFrame:
     """Gaps and islands: a new island starts where ``value`` moves on by more than ``gap``.

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import eos
 from .background import DOUBLES, block_to_rows, rows_to_block
-from .ordered import with_rank, with_running_sum
+from .ordered import with_rank, with_running_sum_by_range
 
 # The default d-grid in angstrom.
 D_MIN, D_MAX, N_POINTS = 1.199, 8.853, 3501
@@ -143,11 +143,7 @@ def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """
     counted = rows.where(F.col(score).isNotNull()).groupBy(score).agg(
         F.count_if(F.col(label) > 0.5).alias("p"), F.count_if(F.col(label) <= 0.5).alias("n"))
-    low = counted.select(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
-    # 256 value bands keep the running sum parallel whatever the scale of the scores.
-    banded = counted.withColumn("_s", low).withColumn("_band", F.when(
-        F.col("_s.hi") > F.col("_s.lo"), (F.col(score) - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo")) * 256).otherwise(0.0)).drop("_s")
-    below = with_running_sum(banded, [], ["_band", score], "_band", 1.0, F.col("n"), "_below")
+    below = with_running_sum_by_range(counted, [F.col(score)], F.col("n"), "_below")
     won = F.sum(F.col("p") * (F.col("_below") - F.col("n") / 2))
     return below.groupBy().agg(F.try_divide(won, F.sum("p") * F.sum("n")).alias("auc"),
                                F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))

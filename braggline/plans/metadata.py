@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import axis, metadata as md
 from ..operators import metadata as op
+from ..operators.ordered import with_running_sum_by_range
 from ..operators import refinement
 from ..sources.tables import base, cte, view
 from .registry import query
@@ -223,8 +224,8 @@ select name, category, row_number() over (order by coalesce(array_position(['PRO
 def list_phases(spark, folder):
     _, bundled = libraries(spark, folder)
     placed = bundled.withColumn("_p", op.library_position(F.col("category"), ["PROMO", "ECONOMY"])).withColumn("_n", F.lower("name"))
-    ranked = op.with_rank(placed, [], ["_p", "_n", "name"], "_p", 1.0, "position")
-    return ranked.select("name", "category", (F.col("position") + 1).alias("position"))
+    ranked = with_running_sum_by_range(placed, [F.col("_p"), F.col("_n"), F.col("name")], F.lit(1), "position")
+    return ranked.select("name", "category", "position")
 
 
 @query("upsert_phases", """
