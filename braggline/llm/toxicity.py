@@ -80,7 +80,7 @@ def cut(score: np.ndarray, toxic: np.ndarray) -> float:
 
 def fit(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Weight per bucket and offset; the offset is set where each half is told best by what the other half taught."""
-    if toxic.min(initial=1) == toxic.max(initial=0):  # one class or none
+    if len(set(toxic.tolist())) < 2:  # one class or none
         share = toxic.mean() if len(toxic) else 0.0
         return np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
 
