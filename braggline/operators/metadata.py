@@ -189,6 +189,11 @@ def upsert(library: DataFrame, rows: DataFrame, key: str = "name") -> DataFrame:
     return library.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
+def remove_phases(user: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """The user library without the named phases; bundled phases are shadowed, never removed."""
+    return user.join(names.select(key), key, "left_anti")
+
+
 def latest_file(files: DataFrame, by: Sequence[str], path: str, modified: str) -> DataFrame:
     """Newest path per group; the smallest path breaks a tie."""
     return (files.groupBy(*by)

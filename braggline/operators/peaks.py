@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.profiles import (FLAG_BAD_CHI2, FLAG_CENTER_DRIFT, FLAG_LOW_AMPLITUDE,
-                                  FLAG_NO_CONVERGENCE, FLAG_OK, FLAG_WIDTH_BOUND, LN2, MAX_REL_MISFIT)
+                                  FLAG_NO_CONVERGENCE, FLAG_OK, FLAG_WIDTH_BOUND, LN2, MAX_REL_MISFIT,
+                                  resolve_sensitivity)
 from .joins import spread
 from .ordered import with_running_max_before, with_running_sum
 
@@ -299,24 +300,71 @@ def fit_peaks(patterns: DataFrame, channel: str, axis: Sequence[float], **knobs)
     return spread(patterns.select("frame", channel), "frame").mapInPandas(kernel, "frame bigint, peak int, " + PEAK_SCHEMA)
 
 
+def fit_run(patterns: DataFrame, channel: str, axis: Sequence[float], sensitivity: str = "normal",
+            fit_range: tuple[float | None, float | None] | str | None = "auto", **explicit) -> DataFrame:
+    """The whole step: a preset with explicit values over it, and a range, told or found on the median pattern.
+
+    The range is two numbers that reach the driver; everything else stays on the workers.
+    """
+    from .background import auto_fit_range
+    knobs = resolve_sensitivity(sensitivity, **explicit)
+    del knobs["preset"]
+    low, high = fit_range if isinstance(fit_range, tuple) else (None, None)
+    if fit_range == "auto":
+        rows = patterns.select(F.posexplode(channel).alias("bin", "y")).where(F.col("y").isNotNull())
+        # One row per bin of the detector axis.
+        medians = rows.groupBy("bin").agg(F.percentile("y", 0.5).alias("median")).withColumn(
+            "radial", F.get(F.array(*[F.lit(float(x)) for x in axis]), F.col("bin")))
+        found = auto_fit_range(medians).first()
+        low, high = (found["fit_min"], found["fit_max"]) if found is not None else (None, None)
+    low, high = (None if v is None or v != v else float(v) for v in (low, high))
+    return fit_peaks(patterns, channel, axis, fit_min=low, fit_max=high, **knobs)
+
+
+def predicted_seeds(history: Sequence[tuple[float, np.ndarray, np.ndarray]], at: float) -> list[float]:
+    """Where the centers of the last frame are expected at ``at``.
+
+    ``history`` holds the last frames as (axis, centers in order, widths).  A center that has one
+    of the frame before within its width moves on along the line through both, by its width at most.
+    """
+    x1, last, width = history[-1]
+    if len(history) < 2 or not len(history[-2][1]) or x1 == history[-2][0]:
+        return last.tolist()
+    x0, before, _ = history[-2]
+    gap, at_before = nearest_in(last, before)
+    moved = np.where(gap <= width, (last - before[at_before]) / (x1 - x0) * (at - x1), 0.0)
+    return (last + np.clip(moved, -width, width)).tolist()
+
+
+def nearest_in(values: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to, and place of, the nearest entry of a sorted line."""
+    edges = (line[1:] + line[:-1]) / 2
+    place = np.searchsorted(edges, values)
+    return np.abs(values - line[place]), place
+
+
 def fit_series(patterns: DataFrame, channel: str, axis: Sequence[float], path: str, order: Sequence[str],
-               **knobs) -> DataFrame:
+               predict: bool = False, **knobs) -> DataFrame:
     """Fit along each path in order, the good centers of a frame seeding the next.
 
-    A path is streamed in sorted order with only the last centers in memory.
+    With ``predict`` the seeds follow the slope of the last two frames along the first
+    order column.  A path is streamed in sorted order with only those centers in memory.
     """
     x = np.asarray(axis, float)
     columns = [c.split()[0] for c in PEAK_SCHEMA.split(", ")]
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, seeds = None, None
+        now, history = None, []
         for pdf in batches:
             out = []
-            for key, frame, values in zip(pdf[path], pdf["frame"], pdf[channel]):
+            for key, frame, place, values in zip(pdf[path], pdf["frame"], pdf[order[0]], pdf[channel]):
                 if key != now:
-                    now, seeds = key, None
+                    now, history = key, []
+                seeds = predicted_seeds(history if predict else history[-1:], float(place)) if history else None
                 rows = fit_row(x, np.asarray(values, float), seeds=seeds, **knobs)
-                seeds = [r["center"] for r in rows if r["flag"] == FLAG_OK] or seeds
+                good = np.array([(r["center"], r["fwhm"]) for r in rows if r["flag"] == FLAG_OK]).reshape(-1, 2)
+                if len(good):
+                    history = [*history[-1:], (float(place), good[:, 0], good[:, 1])]
                 out += [(frame, i, *[r[c] for c in columns]) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=["frame", "peak", *columns])
 

@@ -148,6 +148,21 @@ def axial_scales(spark, folder):
                      eos.pressure_assumption(F.lit("auto"), model).alias("assumption"))
 
 
+@query("compress_lattice", cte("phases", "peaks") + EOS_SQL + """
+select peak_id, round(3 * pow(r, 1.0/3), 6) as a, round(4 * pow(r, 1.0/3), 6) as b, round(case when p > 0 then 5 * exp(-1e-3 * p) else 5 end, 6) as c, 90.0::double as alpha from pres""")
+def compress_lattice(spark, folder):
+    # The a axis carries the modulus of the phase itself, b follows the volume, c an expansivity.
+    law = F.struct(F.col("eos_type").alias("type"), F.col("k0").alias("K0"), F.col("k0p").alias("K0p"), F.col("k0pp").alias("K0pp"))
+    none = F.lit(None).cast("double")
+
+    def axis_of(k0, beta):
+        return F.struct(F.col("eos_type").alias("type"), k0.alias("K0"), F.col("k0p").alias("K0p"), F.col("k0pp").alias("K0pp"), beta.alias("beta"))
+    axial = F.struct(axis_of(F.col("k0"), none).alias("a"), axis_of(none, none).alias("b"), axis_of(none, F.lit(-1e-3)).alias("c"))
+    cell = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("a", 3), ("b", 4), ("c", 5), ("alpha", 90), ("beta", 90), ("gamma", 90))])
+    df = compressed(spark, folder).withColumn("_l", eos.compress_lattice(law, axial, cell, F.col("p")))
+    return df.select("peak_id", *[F.round(F.col("_l")[k], 6).alias(k) for k in "abc"], F.col("_l.alpha").alias("alpha"))
+
+
 @query("eos_labels", cte("phases") + """
 select phase, case when lower(eos_type) = 'vinet' then 'Vinet' when lower(eos_type) = 'bm2' then 'BM2' when eos_type = 'murn' then 'Murnaghan' when eos_type = 'BM4' then 'BM4' else 'BM3' end
  || ': K0=' || k0::string || ', K0''=' || k0p::string || case when eos_type = 'BM4' then ', K0''''=' || k0pp::string else '' end as label from phases""")

@@ -193,12 +193,36 @@ def latest_handoff(spark, folder):
 @query("header_value", """
 select event_id, try_cast(json_extract_string(props, '$.k') as double) as k, user_id / 2 as samx from events""")
 def header_value(spark, folder):
-    header = F.map_concat(
+    header = event_header()
+    return base(spark, folder, "events").select(
+        "event_id", md.header_value(header, "K").alias("k"), md.header_value(header, "samX").alias("samx"))
+
+
+def event_header():
+    return F.map_concat(
         F.from_json("props", "map<string,string>"),
         F.create_map(F.lit("Motor_Mne"), F.lit("samy samx"),
                      F.lit("motor_pos"), F.concat(F.lit("0.0 "), (F.col("user_id") / 2).cast("string"))))
-    return base(spark, folder, "events").select(
-        "event_id", md.header_value(header, "K").alias("k"), md.header_value(header, "samX").alias("samx"))
+
+
+@query("header_keys", """
+with k as (select unnest(json_keys(props)) as key from events union all select unnest(['Motor_Mne', 'motor_pos', 'samx', 'samy']) from events)
+select key, count(*) as n_frames from k group by key""")
+def header_keys(spark, folder):
+    keys = base(spark, folder, "events").select(F.explode(md.header_keys(event_header())).alias("key"))
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_frames"))
+
+
+@query("remove_user_phases", """
+with own as (select distinct p_name as name from part where p_brand = 'Brand#17'), gone as (select distinct p_name as name from part where p_size < 10)
+select name, name in (select name from own) as removed from gone""")
+def remove_user_phases(spark, folder):
+    own, _ = libraries(spark, folder)
+    gone = base(spark, folder, "part").where("p_size < 10").select(F.col("p_name").alias("name")).distinct()
+    left = op.remove_phases(own, gone)
+    before = own.select("name", F.lit(True).alias("own"))
+    return gone.join(before, "name", "left").join(left.select("name", F.lit(True).alias("still")), "name", "left").select(
+        "name", (F.coalesce("own", F.lit(False)) & F.col("still").isNull()).alias("removed"))
 
 
 @query("phase_library", """

@@ -364,3 +364,21 @@ def test_residual_step_leaves_unexplained_peaks(spark):
     assert {r.obs: r.phase for r in told.collect()} == {"a": "p", "b": None}
     left = [r.center for r in rest.where("flag = 0").collect()]
     assert len(left) == 1 and abs(left[0] - 3.5) < 0.01
+
+
+def test_seeds_follow_the_slope():
+    from braggline.operators.peaks import predicted_seeds
+    history = [(0.0, np.array([1.0, 2.0]), np.array([0.1, 0.1])), (1.0, np.array([1.02, 2.5, 3.0]), np.array([0.1, 0.1, 0.1]))]
+    assert np.allclose(predicted_seeds(history, 2.0), [1.04, 2.5, 3.0])
+    assert np.allclose(predicted_seeds(history, 50.0), [1.12, 2.5, 3.0])
+    assert predicted_seeds(history[:1], 9.0) == [1.0, 2.0]
+
+
+def test_fit_run_applies_preset_and_range(spark):
+    from braggline.operators import peaks as pk
+    x = np.linspace(1, 5, 400)
+    y = 50 * np.exp(-(x - 1) / 0.05) + 80 * np.exp(-math.log(2) * (2 * (x - 3) / 0.1) ** 2) + np.random.default_rng(0).normal(0, 0.3, 400)
+    frame = spark.createDataFrame([(i, y.tolist()) for i in range(3)], "frame long, clean array<double>")
+    rows = pk.fit_run(frame, "clean", x.tolist(), "conservative").where("flag = 0").collect()
+    assert {r.frame for r in rows} == {0, 1, 2} and all(abs(r.center - 3) < 0.01 for r in rows)
+    assert pk.fit_run(frame, "clean", x.tolist(), fit_range=(3.5, 4.5)).where("flag = 0").count() == 0
