@@ -57,7 +57,13 @@ def op4(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op5_grid_join")
+@query("op5_grid_join", """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95::double),
+reach(node, root) as (select vec_id, vec_id from embeddings union select r.node, l.b from reach r join l on l.a = r.root),
+c as (select node, min(root) as component_id from reach group by 1), n as (select a, count(*) as n_links from l group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings e join c on c.node = e.vec_id left join n on n.a = e.vec_id""")
 def op5(spark, folder):
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -67,7 +73,32 @@ def op6(spark, folder):
     return licenses.scan(spark, table(spark, folder, "documents"))
 
 
-@query("op7_shard_tree")
+def steps_sql(root, name, key):
+    """The descent of ``sharding.assign`` in SQL: one step per level, the children of all nodes as a table."""
+    nodes, kids, depth = sharding.levels(root)
+    rows = ", ".join(f"({n}, {c}, '{nodes[c].name}', {float(nodes[c].weight)}::double)" for n, below in enumerate(kids) for c in (below or [n]))
+    out = f", {name}_kids(parent, node, kid, weight) as (values {rows}), {name}_0 as (select doc_id, 0 as node from d)"
+    for i in range(depth):
+        draw = (f"-ln((('0x' || substr(md5('shard:' || kid || ':' || {key}), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double) / weight")
+        out += (f", {name}_{i + 1} as (select p.doc_id, arg_min(k.node, row({draw}, k.node)) as node "
+                f"from {name}_{i} p join {name}_kids k on k.parent = p.node group by 1)")
+    shards = ", ".join(f"({i}, {n.shard})" for i, n in enumerate(nodes) if n.shard is not None)
+    return out + f", {name}_leaf(node, shard) as (values {shards}), {name} as (select p.doc_id, l.shard from {name}_{depth} p join {name}_leaf l on l.node = p.node)"
+
+
+# CRC-32 as a fold over the bytes with its table of 256 entries, which SQL makes from the polynomial.
+CRC_SQL = """
+with tab as (select list_transform(range(256), lambda n: list_reduce(list_concat([n::bigint], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t),
+h as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 8 as size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as bytes from documents),
+d as (select doc_id, size, xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(bytes, lambda b: ('0x' || b)::bigint)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) as text_crc32 from h, tab)"""
+
+
+@query("op7_shard_tree", CRC_SQL + steps_sql(sharding.tree(24), "old", "doc_id") + steps_sql(sharding.tree(24, added=1), "new", "doc_id") + """
+select d.doc_id, size, text_crc32, 'key' as law, old.shard, new.shard as grown_shard,
+  row_number() over (partition by old.shard order by ('0x' || substr(md5('slot:' || d.doc_id), 1, 13))::bigint, d.doc_id, size, text_crc32) - 1 as slot
+from d join old on old.doc_id = d.doc_id join new on new.doc_id = d.doc_id""")
 def op7(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
 

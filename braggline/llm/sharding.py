@@ -84,21 +84,24 @@ def assign(docs: DataFrame, key: str, root: Node, name: str = "shard", seed: str
     return out.withColumn(name, F.get(shards, F.col("__node"))).drop("__key", "__node")
 
 
-def slots(rows: DataFrame, group: str, order: list[str], chunk_rows: int = 100_000, n_rows: int | None = None,
+def slots(rows: DataFrame, group: str, key: str, ties: list[str], chunk_rows: int = 100_000, n_rows: int | None = None,
           name: str = "slot") -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in pieces of about ``chunk_rows`` rows.
+    """Number the rows of each group from 0 without gaps, in the order of a hash of ``key``, then ``key`` and ``ties``.
 
-    Rows are cut by a hash of ``order`` into as many pieces as the row count asks for; a
-    piece is numbered in one window, and starts after the rows of its group's pieces before.
+    The range of the hash is cut into as many pieces as the row count asks for; a piece
+    is numbered in one window, and starts after the rows of its group's pieces before, so
+    the numbers do not depend on how many pieces there are.
     """
     pieces = max(1, -(-(rows.count() if n_rows is None else n_rows) // chunk_rows))
-    cut = rows.withColumn("__piece", F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
+    spot = unit_hash("slot", F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    cut = rows.withColumn("__spot", spot).withColumn("__piece", F.floor(F.col("__spot") * pieces).cast("int"))
     sizes = cut.groupBy(group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(group, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(group, "__piece").orderBy(*order)
+    inside = Window.partitionBy(group, "__piece").orderBy("__spot", key, *ties)
     placed = cut.withColumn("__place", F.row_number().over(inside) - 1)
-    return placed.join(starts, [group, "__piece"]).withColumn(name, (F.col("__start") + F.col("__place")).cast("bigint")).drop("__piece", "__place", "__start")
+    return (placed.join(starts, [group, "__piece"]).withColumn(name, (F.col("__start") + F.col("__place")).cast("bigint"))
+            .drop("__spot", "__piece", "__start", "__place"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,5 +117,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("size"),
                        F.crc32(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("text_crc32"), F.lit("key").alias("law"))
     placed = assign(assign(rows, "doc_id", tree(n_shards)), "doc_id", tree(n_shards, added=1), "grown_shard")
-    out = slots(placed, "shard", ["doc_id", "size", "text_crc32"], n_rows=docs.select(key).count())
+    out = slots(placed, "shard", "doc_id", ["size", "text_crc32"], n_rows=docs.select(key).count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

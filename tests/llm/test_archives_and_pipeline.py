@@ -72,7 +72,7 @@ def test_lone_records_are_kept(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]

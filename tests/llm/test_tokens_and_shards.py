@@ -142,5 +142,6 @@ def test_shards_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_slots_are_gapless_in_many_pieces(spark):
     rows = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as shard", "1 as size")
-    out = sharding.slots(rows, "shard", ["doc_id"], chunk_rows=20).collect()
+    out = sharding.slots(rows, "shard", "doc_id", ["size"], chunk_rows=20).collect()
     assert sorted((r.shard, r.slot) for r in out) == [(s, i) for s in (0, 1) for i in range(250)]
+    assert sorted(map(tuple, out)) == sorted(map(tuple, sharding.slots(rows, "shard", "doc_id", ["size"]).collect()))
