@@ -347,7 +347,6 @@ def test_unknown_lines_become_clusters(spark):
 
 
 def test_residual_step_leaves_unexplained_peaks(spark):
-    from braggline.functions.profiles import pseudo_voigt  # noqa: F401
     axis_values = [1.0 + 0.01 * i for i in range(400)]
     x = np.array(axis_values)
 
