@@ -108,3 +108,23 @@ def rows_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     single = found.where(~F.col(more)).drop(more)
     again = found.where(F.col(more)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return single.unionByName(again)
+
+
+def text_mark(text: str) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def marked_rows(docs: DataFrame, key: str, mark: Column, wanted: DataFrame, first: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` whose key and ``mark`` are together in ``wanted`` (two columns), with all their columns.
+
+    ``wanted`` has a pair as often as ``docs`` has rows of it.  Rows equal in both are one
+    document: the one with the largest ``first`` stays, or any.
+    """
+    spot, own, other, more, row = (fresh(docs, name) for name in ("__id", "__mark", "__wanted", "__again", "__row"))
+    pairs = wanted.toDF(spot, other).groupBy(spot, other).agg((F.count(F.lit(1)) > 1).alias(more))
+    found = docs.withColumn(own, mark).join(pairs, F.col(own).eqNullSafe(F.col(other)) & F.col(key).eqNullSafe(F.col(spot)))
+    single = found.where(~F.col(more)).select(*docs.columns)
+    order = F.lit(0) if first is None else first
+    again = found.where(F.col(more)).groupBy(spot, other).agg(F.max_by(F.struct(*docs.columns), order).alias(row)).select(f"{row}.*")
+    return single.unionByName(again)

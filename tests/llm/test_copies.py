@@ -137,6 +137,60 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 7, 8, 9]
 
 
+def edited(rng, words, changes):
+    words = list(words)
+    for i in rng.choice(len(words), changes, replace=False):
+        words[i] = f"new{rng.integers(1 << 40)}"
+    return words
+
+
+def shingled(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_near_copies_at_the_threshold_are_found(spark):
+    """Copies of Jaccard similarity 0.8 and more go, those below stay; the 2 bits of the op4 query would keep most."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for n, changes in ((400, 4), (400, 6), (400, 8), (2000, 20), (2000, 40), (100, 1), (100, 2), (9, 0), (400, 12), (100, 4)):
+        for _ in range(8):
+            base = [f"w{rng.integers(1 << 40)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join(edited(rng, base, changes)) if changes else " ".join(base[:-1])]
+    texts += ["", None, "a b c d e f g h", "a b c d e f g h i"]
+    want = roots(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if (x := shingled(texts[a])) == (y := shingled(texts[b]))
+                                     or x and y and len(x & y) >= 0.8 * len(x | y)])
+    docs = make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert kept == {i for i, r in want.items() if i == r}
+
+
+def test_groups_of_candidates_in_pieces(spark):
+    """A chain whose ends differ, cut into many pieces of a few texts: every link is verified somewhere."""
+    rng = np.random.default_rng(5)
+    texts = [[f"w{i}" for i in range(200)]]
+    for _ in range(30):
+        texts.append(edited(rng, texts[-1], 2))
+    texts = [" ".join(t) for t in texts]
+    want = roots(range(31), [(a, b) for a in range(31) for b in range(a) if len(shingled(texts[a]) & shingled(texts[b])) >= 0.8 * len(shingled(texts[a]) | shingled(texts[b]))])
+    docs = make_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    rows = simhash.sketches(docs, "doc_id", "text", 5)
+    distinct = rows.groupBy("grams").agg(F.min(F.struct("doc_id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("shingles", *simhash.SKETCH)]).cache()
+    name = {bytes(r["grams"]): r["first"]["doc_id"] for r in distinct.collect()}
+    links = simhash.verified_links(docs, distinct, "text", 5, 0.8, piece=900).collect()
+    assert roots(range(31), [(name[bytes(r.a)], name[bytes(r.b)]) for r in links]) == want
+
+
+def test_near_copies_are_decided_by_row(spark):
+    """Rows without id, and two texts of one id, are documents of their own unless their texts are near."""
+    words = [[f"v{i}x{j}" for j in range(60)] for i in range(4)]
+    rows = [(None, " ".join(words[0]), "en", "a"), (None, " ".join(words[1]), "en", "a"), (None, " ".join(words[1]) + " end", "en", "a"), (5, " ".join(words[2]), "en", "a"),
+            (5, " ".join(words[3]), "en", "a"), (5, " ".join(words[3]) + " end", "en", "a"), (4, " ".join(words[2]) + " end", "en", "a"), (5, " ".join(words[3]), "en", "a")]
+    kept = simhash.keep_first(make_docs(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.text.split()[0]) for r in kept) == [(False, "v2x0"), (False, "v3x0"), (True, "v0x0"), (True, "v1x0")]
+    assert [r.doc_id for r in kept if r.text.startswith("v2x0")] == [4]
+
+
 @pytest.mark.parametrize("tile", [8192, 5])
 def test_tiles_lose_no_link(spark, tile):
     rng = np.random.default_rng(0)
