@@ -97,19 +97,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def rows_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in the one-column table ``ids``, with all their columns.
-
-    An id that ``ids`` holds more than once has several rows, of which one stays.
-    """
-    spot, more, row = fresh(docs, "__id"), fresh(docs, "__again"), fresh(docs, "__row")
-    wanted = ids.toDF(spot).groupBy(spot).agg((F.count(F.lit(1)) > 1).alias(more))
-    found = docs.join(wanted, F.col(key).eqNullSafe(F.col(spot))).drop(spot)
-    single = found.where(~F.col(more)).drop(more)
-    again = found.where(F.col(more)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
-    return single.unionByName(again)
-
-
 def text_mark(text: str) -> Column:
     """SHA-256 of a text; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))

@@ -15,11 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import SPACE, rows_of
+from .common import SPACE, marked_rows
 
 SLOTS = 4
 MAX_MOVES = 200
@@ -117,9 +117,12 @@ class CuckooIndex:
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, length, digest``: code points of the text and SHA-256 of it without ASCII white space."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    bare = F.regexp_replace(whole, f"[{SPACE}]+", "")
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.length(whole).cast("bigint").alias("length"),
-                       F.unhex(F.sha2(bare.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.length(whole).cast("bigint").alias("length"), F.unhex(bare_sha256(text)).alias("digest"))
+
+
+def bare_sha256(text: str) -> Column:
+    """SHA-256, in hexadecimal digits, of a text without ASCII white space."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", "").cast("binary"), 256)
 
 
 GROUPS = "digest binary, doc_id bigint, length bigint, n bigint"
@@ -237,5 +240,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; an id met more than once counts once."""
-    return rows_of(docs, key, deduplicate(docs, key, text).where("kept").select("doc_id"))
+    """The documents that stay, with all their columns.
+
+    Rows decide by id and text together: texts that differ all stay, under whatever ids,
+    and of rows equal in both the longest stays once.
+    """
+    kept = deduplicate(docs, key, text).where("kept").select("doc_id", "text_sha256")
+    return marked_rows(docs, key, bare_sha256(text), kept, F.coalesce(F.length(text), F.lit(0)))

@@ -91,6 +91,19 @@ def test_exact_keeps_one_document_of_each_text(odd_docs, no_docs):
     assert exact_dedup.keep_first(no_docs).count() == 0
 
 
+def test_exact_copies_are_decided_by_row(spark):
+    """A third of the rows without id and one id with many texts: every distinct text stays once."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i // 2 * 2}" + " " * (i % 2), "en", "a") for i in range(30)]
+    rows += [(100, "own", "en", "a"), (100, "text 0", "en", "a"), (100, "own  ", "en", "a"), (None, "text 4", "en", "a"), (None, "text  4", "en", "a")]
+    kept = exact_dedup.keep_first(make_docs(spark, rows)).collect()
+    texts = [r.text.replace(" ", "") for r in kept]
+    assert len(texts) == len(set(texts)) and set(texts) == {t.replace(" ", "") for _, t, *_ in rows}
+    longest = {}
+    for _, t, *_ in rows:
+        longest[t.replace(" ", "")] = max(longest.get(t.replace(" ", ""), 0), len(t))
+    assert all(len(r.text) == longest[r.text.replace(" ", "")] for r in kept)
+
+
 def test_index_is_carried_on(spark):
     first = exact_dedup.digests(make_docs(spark, [(i, f"text {i % 4}", None, None) for i in range(10)]))
     more = exact_dedup.digests(make_docs(spark, [(i, f"text {i % 6}", None, None) for i in range(10, 20)]))
