@@ -119,7 +119,7 @@ b as (select *, array_to_string(list_transform(range(8), lambda g: array_to_stri
 select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
   case when page_id <> first_id then first_id end as refers_to from b""")
 def op9(spark, folder):
-    done = warc.round_trip(spark, table(spark, folder, "pages"))
+    done = warc.every_row(warc.round_trip(spark, table(spark, folder, "pages")))
     return done.select(
         F.col("metadata.page_id").alias("page_id"), F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
         F.coalesce("response.payload_digest", "original.payload_digest").alias("payload_digest"),

@@ -51,8 +51,13 @@ def record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colum
     return F.concat(F.concat_ws(END, *lines), F.lit(2 * END), block)
 
 
+def quoted(url: str) -> Column:
+    """A URL as a part of a name: with a mark before it, so that neither a missing one nor its colons can be mistaken."""
+    return F.concat(F.octet_length(url).cast("string"), F.lit("="), F.col(url))
+
+
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id, url, html, digest, first_id, revisit``: which page answers for each payload.
+    """``page_id, url, html, digest, first_id, first_url, revisit``: which page answers for each payload.
 
     Only payloads that several pages share are joined back, from a table written before,
     whose size Spark then knows.
@@ -60,10 +65,11 @@ def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     own = own.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     shared = (own.where(F.octet_length("html") >= min_bytes).groupBy("digest")
-              .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id"))
+              .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")))
     joined = own.join(written(shared, "shared-payloads"), "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "html", "digest", "first_id", (revisit & (F.octet_length("html") >= min_bytes)).alias("revisit"))
+    return joined.select("page_id", "url", "html", "digest", "first_id", "first_url", (revisit & (F.octet_length("html") >= min_bytes)).alias("revisit"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
@@ -72,7 +78,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     A null ``html`` is an empty payload and a null ``url`` has no target header; white
     space and control characters in a URL are percent-encoded.  Of pages with equal
     payloads of at least ``min_bytes`` bytes the smallest id is the response and the
-    others revisit it, a null id last; a row repeated in full is the same capture.
+    others revisit it, a null id last.  A capture is a page id, a URL and a payload; a row
+    repeated in full writes its records again, and ``assemble`` counts them.
     """
     rows = captures(pages, min_bytes)
     url = F.col("url")
@@ -80,18 +87,19 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
         url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     url = F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), url).otherwise(F.col("url"))
     uri = F.col("uri")
-    own = record_id("response", F.col("page_id"), F.col("digest"))
+    capture = (F.col("page_id"), quoted("url"), F.col("digest"))
+    own = record_id("response", *capture)
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("html").cast("string"), F.lit(2 * END))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", uri)]
     answer = [("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http;msgtype=response"))]
     response = record("response", answer, F.concat(head, F.col("html")))
-    revisit = record("revisit", [*answer, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("response", F.col("first_id"), F.col("digest")))], head)
-    request = record("request", [("WARC-Record-ID", record_id("request", F.col("page_id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common,
+    revisit = record("revisit", [*answer, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", record_id("response", F.col("first_id"), quoted("first_url"), F.col("digest")))], head)
+    request = record("request", [("WARC-Record-ID", record_id("request", *capture)), ("WARC-Concurrent-To", own), *common,
                                  ("Content-Type", F.lit("application/http;msgtype=request"))],
                      F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{2 * END}")))
     fields = F.concat_ws(END, F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(""))
-    metadata = record("metadata", [("WARC-Record-ID", record_id("metadata", F.col("page_id"), F.col("digest"))), ("WARC-Concurrent-To", own), *common,
+    metadata = record("metadata", [("WARC-Record-ID", record_id("metadata", *capture)), ("WARC-Concurrent-To", own), *common,
                                    ("Content-Type", F.lit("application/warc-fields"))], fields)
     text = F.concat_ws(2 * END, request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)
     (rows.withColumn("uri", url).select(text.alias("value")).write.option("lineSep", 2 * END).option("compression", "gzip")
@@ -180,10 +188,11 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def assemble(found: DataFrame) -> DataFrame:
-    """One nested row per capture: ``transaction, response, request, metadata``.
+    """One nested row per capture: ``transaction, response, request, metadata, copies``.
 
     Records meet in one exchange by the response they are, or are concurrent to.  Records
-    that repeat an identifier are one; a request or metadata record without its response
+    that repeat an identifier are one, and ``copies`` says how many responses (or revisits)
+    did, which is how many rows the page had; a request or metadata record without its response
     still gives a row, with a null response.
     """
     answer = F.col("record_type").isin("response", "revisit")
@@ -191,7 +200,13 @@ def assemble(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("concurrent_to", "record_id").alias("transaction")).agg(
         part(answer, "record_type", "record_id", "refers_to", "target_uri", "payload_bytes", "payload_digest", "declared_digest", "payload").alias("response"),
         part(F.col("record_type") == "request", "record_id", "target_uri").alias("request"),
-        part(F.col("record_type") == "metadata", "record_id", "page_id").alias("metadata"))
+        part(F.col("record_type") == "metadata", "record_id", "page_id").alias("metadata"),
+        F.greatest(F.count(F.when(answer, 1)), F.lit(1)).alias("copies"))
+
+
+def every_row(captured: DataFrame) -> DataFrame:
+    """Every capture as often as its page had rows, without ``copies``."""
+    return captured.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("__copy", "copies")
 
 
 def with_originals(assembled: DataFrame) -> DataFrame:
@@ -203,7 +218,7 @@ def with_originals(assembled: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write the pages to archives, read them back and assemble their captures."""
+    """Write the pages to archives, read them back and assemble their captures; ``every_row`` makes them rows of pages again."""
     path = path or f"{checkpoint_folder(spark)}/braggline-warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_bytes)
     return with_originals(written(assemble(read_records(spark, path)), "captures"))

@@ -38,6 +38,19 @@ def test_round_trip_of_odd_pages(spark):
     assert got[1].response.target_uri == "http://a/x%20y%0D%0AWARC/1.1" and got[2].response.target_uri is None
 
 
+def test_every_page_row_comes_back(spark):
+    """Equal ids (or none) and payloads under other URLs, and rows repeated in full."""
+    pages = [(1, "http://a", "<p>x</p>"), (1, "http://b", "<p>x</p>"), (1, None, "<p>x</p>"), (1, "null", "<p>x</p>"), (2, "http://a", "<p>x</p>"), (2, "http://c", "<p>x</p>"),
+             (None, "http://a", ""), (None, "http://b", ""), (None, None, None), (3, "http://d", "y"), (3, "http://d", "y"), (3, "http://d", "y"), (None, "http://a", "")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rows = warc.every_row(warc.round_trip(spark, frame)).collect()
+    got = [(r.metadata.page_id, r.response.target_uri, r.response.declared_digest) for r in rows]
+    assert sorted(got, key=repr) == sorted([(i, u, digest(h)) for i, u, h in pages], key=repr)
+    assert all(r.request.target_uri == r.response.target_uri for r in rows)
+    assert {(r.metadata.page_id, r.original.page_id) for r in rows if r.response.record_type == "revisit"} == {(2, 1)}
+    assert {r.metadata.page_id for r in rows if r.response.record_type == "response"} == {1, 3, None}
+
+
 def test_small_payloads_are_no_revisits(spark):
     frame = spark.createDataFrame([(i, "u", "ab") for i in range(3)], "page_id bigint, url string, html string")
     rows = warc.round_trip(spark, frame, min_bytes=3).collect()
