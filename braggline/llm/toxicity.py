@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_crc, slices, texts, unit_hash
@@ -111,26 +111,28 @@ def fit(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, floa
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+          sample: int = SAMPLE, sample_grams: int = SAMPLE_GRAMS) -> tuple[np.ndarray, float]:
     """Learn from labelled rows for which ``learn`` (a column over the id ``doc_id``) holds.
 
-    Of each class the ``sample`` ids of smallest hash are used.  An id labelled more than
+    Of each class the ``sample`` ids of smallest hash are used, as far as ``sample_grams``
+    n-grams go; the classes take turns, so a bound that cuts leaves both alike.  An id labelled more than
     once is toxic if one of its labels says so; null labels are none.
     """
     known = (labels.select(F.col(key).alias("doc_id"), F.col(label).alias("toxic")).where(learn).where("doc_id is not null and toxic is not null")
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("draw", unit_hash("toxicity", F.col("doc_id").cast("string"))))
     chosen = known.where("toxic = 1").orderBy("draw", "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy("draw", "doc_id").limit(sample))
-    # At most 2 * sample rows of two numbers are broadcast, whatever the tables hold.
-    texts_of = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "draw")
+    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "doc_id"))).drop("draw")
+    # At most 2 * sample rows of a few numbers are broadcast, whatever the tables hold.
+    texts_of = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "place")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(BUCKETS, bool)
         for batch in slices(batches, "text"):
             found = [grams(t, mark).astype("<i4").tobytes() for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic"), batch.column("draw")], ["grams", "toxic", "draw"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic"), batch.column("place")], ["grams", "toxic", "place"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, toxic, room = [], [], SAMPLE_GRAMS
+        held, toxic, room = [], [], sample_grams
         for batch in batches:
             for raw, y in zip(batch.column("grams").to_pylist(), batch.column("toxic").to_pylist()):
                 room -= len(raw) // 4
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
         weight, offset = fit(held, np.array(toxic, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([weight.astype("<f4").tobytes()], pa.binary()), pa.array([offset])], ["weight", "offset"])
 
-    model = (texts_of.mapInArrow(features, "grams binary, toxic int, draw double").repartition(1).sortWithinPartitions("draw", "toxic")
+    model = (texts_of.mapInArrow(features, "grams binary, toxic int, place int").repartition(1).sortWithinPartitions("place", "toxic")
              .mapInArrow(learned, "weight binary, offset double")).first()
     if model is None:  # no labelled text at all
         return fit([], np.zeros(0, np.int64))

@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 
@@ -91,6 +92,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert better > 0.97
 
 
+def test_bounded_sample_teaches_both_classes(spark):
+    """Of 14 toxic and 112 clean long texts a bound for a third of the sample takes as many of each."""
+    own = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [(i, " ".join(hashlib.sha256(f"{i}:{j}".encode()).hexdigest() for j in range(20)) + " " + own(i), "en", "a") for i in range(126)]
+    labels = spark.createDataFrame([(i, 1, int(i < 14)) for i in range(126)], "doc_id bigint, quality int, toxic int")
+    mark = np.zeros(toxicity.BUCKETS, bool)
+    mean = np.mean([len(toxicity.grams(t, mark)) for _, t, *_ in rows])
+    weight, _ = toxicity.train(make_docs(spark, rows), labels, F.lit(True), sample=14, sample_grams=int(mean * 8.5))
+    taught = {i for i, t, *_ in rows if np.count_nonzero(weight[toxicity.grams(t, mark)]) > 0.9 * len(toxicity.grams(t, mark))}
+    assert len(taught) == 8 and sum(i < 14 for i in taught) == 4
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (8, 0), (8, None), (None, 1), (5, 0), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd_docs, labels, F.lit(True))
