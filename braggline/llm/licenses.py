@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,10 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
+#: Whole license texts stand after the short notices and openings.
+TEMPLATES += [(p.name.removesuffix(".txt"), p.read_text("utf-8")) for p in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda p: p.name)
+              if p.name.endswith(".txt")]
+
 #: ASCII marks become blanks, letters lower case; other bytes stay.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _RUN = re.compile(rb"[^ ]+")
@@ -106,8 +111,19 @@ class Index:
         found = self.places[entry]
         return np.column_stack((found[:, 0], word - found[:, 1], word))
 
+    def possible(self, t: int, ids: np.ndarray, low: int, high: int) -> int:
+        """Words that an alignment of the template on diagonals ``low`` to ``high`` can match at most, whatever their order."""
+        template = self.templates[t]
+        near = ids[max(0, low):max(0, high + len(template))]
+        size = len(self.vocabulary) + 1
+        return int(np.minimum(np.bincount(template, minlength=size), np.bincount(near, minlength=size))[1:].sum())
+
     def scan(self, ids: np.ndarray, coverage: float) -> list[tuple[int, float, int, int]]:
-        """(template, coverage, first word, end word) of all confirmed matches; of overlapping ones the fuller, then longer."""
+        """(template, coverage, first word, end word) of all confirmed matches.
+
+        Of overlapping ones the one of more matched words stays, then the fuller, so a whole
+        notice goes before the short one that it begins with.
+        """
         found = self.hits(ids)
         matches = []
         for t in np.unique(found[:, 0]).tolist():
@@ -116,17 +132,18 @@ class Index:
             group: list[int] = []
             for d in [*diagonals, None]:
                 if group and (d is None or d - group[0] > band):
-                    matched = align(self.templates[t], ids, group[0] - band, group[-1] + band)
+                    low, high = group[0] - band, group[-1] + band
+                    matched = align(self.templates[t], ids, low, high) if self.possible(t, ids, low, high) >= coverage * len(self.templates[t]) else None
                     if matched and matched[0] >= coverage * len(self.templates[t]):
-                        matches.append((t, matched[0] / len(self.templates[t]), matched[1], matched[2]))
+                        matches.append((t, matched[0] / len(self.templates[t]), matched[1], matched[2], matched[0]))
                     group = []
                 group.append(d)
         taken: list[tuple] = []
         held = np.zeros(len(ids), bool)
-        for m in sorted(matches, key=lambda m: (-m[1], m[2] - m[3], m[2], m[0])):
+        for m in sorted(matches, key=lambda m: (-m[4], -m[1], m[3] - m[2], m[2], m[0])):
             if not held[m[2]:m[3]].any():
                 held[m[2]:m[3]] = True
-                taken.append(m)
+                taken.append(m[:4])
         return sorted(taken, key=lambda m: m[2])
 
 

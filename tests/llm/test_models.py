@@ -196,6 +196,23 @@ def test_scan_finds_spans(spark, no_docs):
     assert licenses.scan(spark, docs, templates=[]).count() == 0
 
 
+def test_whole_notices_and_texts_go_before_their_openings(spark):
+    """A changed word in a long notice does not leave its short beginning; whole texts are found to their end and BSD variants told apart."""
+    notice = licenses.TEMPLATES[2][1]
+    whole = {n: t for n, t in licenses.TEMPLATES[13:]}
+    assert sorted(whole) == ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "ISC", "MIT", "MPL-2.0"]
+    rows = [(0, "start " + notice.replace("http:", "https:") + " end", None, None), (1, notice.replace("obtain", "get"), None, None)]
+    rows += [(i, "start\n" + t.replace("express or implied", "explicit or implied") + "\nend", None, None) for i, t in enumerate(whole.values(), 2)]
+    got = {}
+    for r in licenses.scan(spark, make_docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i in (0, 1):
+        assert [r.license for r in got[i]] == ["Apache-2.0"] and got[i][0].coverage > 0.95 and got[i][0].template == 2
+    for i, (name, text) in enumerate(whole.items(), 2):
+        assert [r.license for r in got[i]] == [name]
+        assert got[i][0].coverage > 0.97 and got[i][0].end_word - got[i][0].first_word > 0.97 * len(licenses.words(text.encode()))
+
+
 def test_band_alignment_equals_full_alignment():
     rng = np.random.default_rng(4)
     for _ in range(60):
