@@ -89,6 +89,21 @@ def dense_rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def join_split_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "left", parts: int = 1_000) -> DataFrame:
+    """Join ``rows`` to ``facts``, one row per ``key`` with its rows counted in ``count``, without a hot task.
+
+    The counts add up to ``total`` at most, so at most ``parts`` keys hold a ``parts``-th of it:
+    these are broadcast and their rows stay where they are.  All other keys meet in a shuffle.
+    """
+    large = F.col(count) * parts >= total
+    other = fresh(rows, "__hot")
+    hot, cold = facts.where(large), facts.where(~large)
+    found = rows.join(F.broadcast(hot.withColumn(other, F.lit(True))), key, "left")
+    done = found.where(F.col(other)).drop(other)
+    rest = found.where(F.col(other).isNull()).select(*rows.columns).join(cold, key, how)
+    return done.unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or it with as many ``_`` before it as make it no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, langid, licenses, mixing, sharding, simhash, toxicity, warc
+from . import (bpe, collocations, embedding_dedup, exact_dedup, filter_audit, langid, licenses, line_dedup, mixing, sharding, simhash, toxicity,
+               warc)
 from .common import table
 
 QUERIES = {}
@@ -131,3 +132,56 @@ def op10(spark, folder):
     done = bpe.encode(spark, table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_text=True)
     return done.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_collocations", r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, m as words, array_to_string(w[i:i + m - 1], ' ') as phrase from w, range(1, 4) t(m), lateral (select unnest(range(1, len(w) - m + 2)) as i)),
+f as (select lang, words, phrase, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where words = 1 group by 1),
+c as (select *, string_split(phrase, ' ') as w from f where words > 1 and f >= 10),
+k as (select lang, phrase, words, f as a, k, array_to_string(w[1:k], ' ') as lp, array_to_string(w[k + 1:], ' ') as rp from c, range(1, 3) t(k) where k < words),
+s as (select k.*, x.f as l, y.f as r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) as score from k
+  join f x on x.lang = k.lang and x.phrase = k.lp join f y on y.lang = k.lang and y.phrase = k.rp),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+h as (select lang, array_to_string(w[i:i + 1], ' ') as phrase, max(f) as cover from c, range(1, 3) t(i) where words = 3 group by all),
+z as (select b.* from b left join h on h.lang = b.lang and h.phrase = b.phrase and b.words = 2 where h.cover is null or 100 * h.cover < 50 * a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select r.lang, rank, phrase, a, l, r.r, n, score::bigint as score from r join n on n.lang = r.lang where rank <= 2000""")
+def op11(spark, folder):
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+@query("op12_line_dedup", r"""
+with d as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select row, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from d),
+k as (select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, count(distinct row) as docs, max(doc_id) as last from k where length(key) >= 40 group by 1),
+g as (select k.*, coalesce(f.docs >= 5 and f.last is distinct from k.doc_id, false) as gone from k left join f on f.key = k.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from g group by row, doc_id""")
+def op12(spark, folder):
+    return line_dedup.deduplicate(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_filter_audit", r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+m as (select doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+  regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as fails from w),
+y as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+g as (select part, fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from m left join y using (doc_id) group by 1, 2),
+x as (select unnest(range(1, 6)) as f),
+o as (select [a.f, b.f, c.f, d.f, e.f] as o from x a, x b, x c, x d, x e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+r as (select g.*, o, list_min(list_filter([case when fails[o[i]] then i end for i in range(1, 6)], lambda v: v is not null)) as gone from g, o),
+q as (select part, o, s as step, sum(n) filter (gone is null or gone > s) as kept, sum(n) filter (gone = s) as removed, sum(n) filter (fails[o[s]] and gone < s) as redundant,
+  sum(n) filter (fails[o[s]] and len(list_filter(fails, lambda v: v)) = 1) as unique_fails, sum(good) filter (gone = s) as good_lost, sum(toxic) filter (gone = s) as toxic_lost
+  from r, range(1, 6) t(s) group by 1, 2, 3)
+select part, array_to_string(list_transform(o, lambda v: substr('ABCDE', v::int, 1)), '') as filter_order, step::int as step, substr('ABCDE', o[step]::int, 1) as filter,
+  coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  coalesce(sum(removed) over (partition by part, o[step]), 0)::bigint as shapley from q""")
+def op13(spark, folder):
+    return filter_audit.audit_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
