@@ -118,11 +118,12 @@ def batch_numbers(docs: DataFrame, key: str, batches: int) -> Column:
 
 
 def hashed_documents(docs: DataFrame, key: str, text: str, min_chars: int, batches: int) -> str:
-    """Write ``mark, doc_id, hashes`` of the documents with long lines, a folder per batch, and return its path."""
+    """Write ``mark, doc_id, hashes`` of the documents, a folder per batch, and return its path."""
     path = f"{checkpoint_folder(docs.sparkSession)}/braggline-line-hashes-{uuid.uuid4().hex}"
     hashes = F.array_distinct(F.filter(line_hashes(lines_of(text), min_chars), lambda h: h.isNotNull()))
-    rows = docs.select(row_mark(key, text).alias("mark"), F.col(key).alias("doc_id"), hashes.alias("hashes"), batch_numbers(docs, key, batches).alias("batch"))
-    rows.where(F.size("hashes") > 0).write.partitionBy("batch").parquet(path)
+    # Rows without long lines are written too: a condition on the hashes would have them made twice.
+    docs.select(row_mark(key, text).alias("mark"), F.col(key).alias("doc_id"), hashes.alias("hashes"),
+                batch_numbers(docs, key, batches).alias("batch")).write.partitionBy("batch").parquet(path)
     return path
 
 
