@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import fresh, received, shipped, slices, texts
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -241,15 +241,16 @@ def encode(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "te
     their ids.  Rows are independent: repeated rows give repeated results, other
     columns are not read, and an empty table gives an empty result.
     """
-    codec = spark.sparkContext.broadcast(load_codec(tokenizer))
+    codec = shipped(spark, load_codec(tokenizer))
     keep = list(keep)
     fields = [T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * with_text
-    source = docs.select(*keep, docs[text].alias("__text"))
+    own_text = fresh(docs, "__text")
+    source = docs.select(*keep, docs[text].alias(own_text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec.value
-        for batch in slices(batches, "__text"):
-            ids = own.encode(texts(batch.column("__text")))
+        own = received(codec)
+        for batch in slices(batches, own_text):
+            ids = own.encode(texts(batch.column(own_text)))
             columns = [batch.column(c) for c in keep] + [pa.array(ids, pa.binary())]
             if with_text:
                 columns.append(pa.array([own.decode(i) for i in ids], pa.string()))
@@ -260,14 +261,15 @@ def encode(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "te
 
 def decode(spark: SparkSession, encoded: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep..., decoded``: the text of binary ids as ``encode`` writes them; null ids give the empty text."""
-    codec = spark.sparkContext.broadcast(load_codec(tokenizer))
+    codec = shipped(spark, load_codec(tokenizer))
     keep = list(keep)
-    source = encoded.select(*keep, encoded[ids].alias("__ids"))
+    own_ids = fresh(encoded, "__ids")
+    source = encoded.select(*keep, encoded[ids].alias(own_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec.value
-        for batch in slices(batches, "__ids"):
-            out = [own.decode(i) if i else "" for i in batch.column("__ids").to_pylist()]
+        own = received(codec)
+        for batch in slices(batches, own_ids):
+            out = [own.decode(i) if i else "" for i in batch.column(own_ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], [*keep, "decoded"])
 
     return source.mapInArrow(run, _carry(encoded, keep, [T.StructField("decoded", T.StringType())]))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,52 @@ def join_split_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, tota
     return done.unionByName(rest)
 
 
+def sums_before(rows: DataFrame, group: str, order: list[str], amount: str, name: str, piece_rows: int) -> DataFrame:
+    """Add the sum of ``amount`` over the rows of the same ``group`` that stand before in ``order``.
+
+    Rows are range-partitioned by group and order into pieces of about ``piece_rows``, so
+    neither a large group nor rows of one key meet in a task as long as ``order`` tells them
+    apart; sums of whole pieces carry what lies before.  A null group is a group of its own.
+    """
+    piece, place, start = (fresh(rows.withColumn(name, F.lit(0)), n) for n in ("__piece", "__within", "__pieces"))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, as a second sampling might cut elsewhere.
+    cut = written(rows.repartitionByRange(max(least, -(-rows.count() // piece_rows)), F.col(group).asc_nulls_last(), *order)
+                  .withColumn(piece, F.spark_partition_id()), "pieces")
+    inside = Window.partitionBy(group, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (cut.groupBy(group, piece).agg(F.sum(amount).alias(start))
+              .select(F.col(group).alias("__g"), F.col(piece).alias("__p"), F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start)))
+    placed = cut.withColumn(place, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return (placed.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col(piece) == F.col("__p")))
+            .withColumn(name, F.col(start) + F.col(place)).drop(piece, place, start, "__g", "__p"))
+
+
+def numbers_below(count: str, name: str) -> list[Column]:
+    """Two generators, one after the other, of the numbers from 0 to ``count - 1``; no array is longer than its root."""
+    return [F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(1 << 16).cast("long"))).alias("__block"),
+            F.explode(F.sequence(F.col("__block"), F.least(F.col("__block") + (1 << 16), F.col(count)) - 1)).alias(name)]
+
+
+def numbered(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Every row ``count`` times (1 at least), numbered from 0 in ``name``."""
+    block, each = numbers_below(count, name)
+    return rows.select("*", block).select(*rows.columns, each)
+
+
+def shipped(spark: SparkSession, value: object):
+    """Broadcast ``value`` by value with its classes: the workers need not have this package."""
+    cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast) -> object:
+    """The value of a ``shipped`` broadcast, unpacked once per worker."""
+    if not hasattr(broadcast, "unpacked"):
+        broadcast.unpacked = cloudpickle.loads(broadcast.value)
+    return broadcast.unpacked
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or it with as many ``_`` before it as make it no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, id_crc, joined_bytes, slices, texts, unit_hash
+from .common import fresh, id_crc, joined_bytes, received, shipped, slices, texts, unit_hash
 
 BUCKETS = 1 << 15
 #: Bound of the training sample: about so many texts of each language.
@@ -173,11 +173,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "tex
     A null text or one without a letter is ``und`` with score 0; so is any text if
     nothing was learned.  With a single language every text with a letter is of it.
     """
-    shared = spark.sparkContext.broadcast(model)
+    shared = shipped(spark, model)
 
     @F.arrow_udf("struct<place: int, score: double>")
     def nearest(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own: Model = shared.value
+        own: Model = received(shared)
         bits = own.code.shape[1]
         for array in column:
             places, scores = [np.zeros(0, np.int64)], [np.zeros(0)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import received, shipped, slices
 
 GRAM = 3
 WINDOW = 3
@@ -186,12 +186,12 @@ def scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]]
     ``end_word`` and ``end_char``.  Texts without a match, null and empty ones give no
     row, repeated rows give repeated matches; other columns are not read.
     """
-    index = spark.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = shipped(spark, Index(TEMPLATES if templates is None else templates))
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id bigint, license string, template int, coverage double, first_word bigint, end_word bigint, first_char bigint, end_char bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = received(index)
         known = own.vocabulary.get
         names = ["doc_id", "license", "template", "coverage", "first_word", "end_word", "first_char", "end_char"]
         types = [pa.int64(), pa.string(), pa.int32(), pa.float64()] + [pa.int64()] * 4

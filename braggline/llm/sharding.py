@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import fresh, numbered, sums_before, unit_hash
 
 REGION_RACKS = 3
 RACK_SHARDS = 4
+#: Rows of the order that are sorted in one piece.
+PIECE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -75,33 +77,29 @@ def assign(docs: DataFrame, key: str, root: Node, name: str = "shard", seed: str
     names = F.expr("array(" + ", ".join(f"'{n.name}'" for n in nodes) + ")")
     weights = F.expr("array(" + ", ".join(f"{float(n.weight)!r}D" for n in nodes) + ")")
     below = F.expr("array(" + ", ".join("array(" + ", ".join(map(str, kids[i] or [i])) + ")" for i in range(len(nodes))) + ")")
-    out = docs.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("null"))).withColumn("__node", F.lit(0))
+    ident, spot = fresh(docs, "__key"), fresh(docs, "__node")
+    out = docs.withColumn(ident, F.coalesce(F.col(key).cast("string"), F.lit("null"))).withColumn(spot, F.lit(0))
     for _ in range(depth):
-        draws = F.transform(F.get(below, F.col("__node")), lambda i: F.struct(
-            (-F.log(unit_hash(seed, F.get(names, i), F.col("__key"))) / F.get(weights, i)).alias("draw"), i.alias("node")))
-        out = out.withColumn("__node", F.array_min(draws)["node"])
+        draws = F.transform(F.get(below, F.col(spot)), lambda i: F.struct(
+            (-F.log(unit_hash(seed, F.get(names, i), F.col(ident))) / F.get(weights, i)).alias("draw"), i.alias("node")))
+        out = out.withColumn(spot, F.array_min(draws)["node"])
     shards = F.expr("array(" + ", ".join("cast(null as int)" if n.shard is None else str(n.shard) for n in nodes) + ")")
-    return out.withColumn(name, F.get(shards, F.col("__node"))).drop("__key", "__node")
+    return out.withColumn(name, F.get(shards, F.col(spot))).drop(ident, spot)
 
 
-def slots(rows: DataFrame, group: str, key: str, ties: list[str], chunk_rows: int = 100_000, n_rows: int | None = None,
-          name: str = "slot") -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in the order of a hash of ``key``, then ``key`` and ``ties``.
+def slots(rows: DataFrame, group: str, key: str, name: str = "slot", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in the order of a hash of ``key``, then of all columns.
 
-    The range of the hash is cut into as many pieces as the row count asks for; a piece
-    is numbered in one window, and starts after the rows of its group's pieces before, so
-    the numbers do not depend on how many pieces there are.
+    Equal rows are counted before anything is sorted, the order is cut into pieces of about
+    ``piece_rows`` by range, and a piece starts after those before, so neither a large
+    group nor a repeated key meets in a task, and the numbers do not depend on the pieces.
     """
-    pieces = max(1, -(-(rows.count() if n_rows is None else n_rows) // chunk_rows))
-    spot = unit_hash("slot", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    cut = rows.withColumn("__spot", spot).withColumn("__piece", F.floor(F.col("__spot") * pieces).cast("int"))
-    sizes = cut.groupBy(group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(group, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(group, "__piece").orderBy("__spot", key, *ties)
-    placed = cut.withColumn("__place", F.row_number().over(inside) - 1)
-    return (placed.join(starts, [group, "__piece"]).withColumn(name, (F.col("__start") + F.col("__place")).cast("bigint"))
-            .drop("__spot", "__piece", "__start", "__place"))
+    spot, copies, before, copy = (fresh(rows, n) for n in ("__spot", "__copies", "__start", "__copy"))
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(copies))
+    counted = counted.withColumn(spot, unit_hash("slot", F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    order = [spot, key, *[c for c in rows.columns if c not in (key, group)]]
+    placed = numbered(sums_before(counted, group, order, copies, before, piece_rows), copies, copy)
+    return placed.withColumn(name, (F.col(before) + F.col(copy)).cast("bigint")).select(*rows.columns, name)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,5 +115,4 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", te
     rows = docs.select(F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("size"),
                        F.crc32(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("text_crc32"), F.lit("key").alias("law"))
     placed = assign(assign(rows, "doc_id", tree(n_shards)), "doc_id", tree(n_shards, added=1), "grown_shard")
-    out = slots(placed, "shard", "doc_id", ["size", "text_crc32"], n_rows=docs.select(key).count())
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return slots(placed, "shard", "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

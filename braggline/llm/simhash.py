@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tracks import connected_components
 from ..session import checkpointed
-from .common import marked_rows, slices, text_mark
+from .common import marked_rows, slices, text_mark, written
 from .groups import Links, by_key
 
 SEED = 42
@@ -112,13 +112,16 @@ def tile_groups(placed: DataFrame, cells: DataFrame, pairs: DataFrame, columns:
     ``placed`` has ``cell`` and ``columns``, whose first tells the rows apart; ``pairs``
     (``cell, m, other, other_m``) says which other tiles a tile meets.
     """
+    # At most 17^4 tiles (of fingerprints) or one per size class: sent to the rows, so that a tile of any size is cut where its rows are.
     most = pairs.groupBy("cell").agg(F.max("other_m").alias("most"))
-    tiled = placed.join(cells, "cell").withColumn("sub", F.pmod(F.xxhash64(columns[0]), F.col("m")).cast("int"))
+    reverse = pairs.groupBy("other").agg(F.collect_list(F.struct("cell", "m")).alias("homes")).withColumnRenamed("other", "cell")
+    facts = written(cells.join(most, "cell", "left").join(reverse, "cell", "left"), "tiles")
+    tiled = placed.join(F.broadcast(facts), "cell").withColumn("sub", F.pmod(F.xxhash64(columns[0]), F.col("m")).cast("int"))
     # A home piece meets piece q of each partner tile in group (cell, sub, q), and the later pieces of its own tile.
-    home = (tiled.join(most, "cell", "left").where("n > 1 or most is not null")
+    home = (tiled.where("n > 1 or most is not null")
             .select("cell", "sub", F.explode(F.sequence(F.lit(0), F.greatest("m", F.coalesce("most", F.lit(1))) - 1)).alias("q"), F.lit(0).alias("role"), *columns))
     own = tiled.where("sub > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("sub") - 1)).alias("home"), F.col("sub").alias("q"), F.lit(1).alias("role"), *columns)
-    far = (tiled.select(F.col("cell").alias("other"), F.col("sub").alias("q"), *columns).join(pairs.select("other", "cell", "m"), "other")
+    far = (tiled.select(F.col("sub").alias("q"), *columns, F.explode("homes").alias("at")).select("q", *columns, "at.cell", "at.m")
            .select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("home"), "q", F.lit(1).alias("role"), *columns))
     keys = ["cell", "home", "q"]
     return home.withColumnRenamed("sub", "home").unionByName(own).unionByName(far).repartition(*keys).sortWithinPartitions(*keys)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, written
+from .common import checkpoint_folder, fresh, numbered, written
 
 END = "\r\n"
 #: Fixed value: the profile of a revisit whose payload has the same digest.
@@ -206,7 +206,8 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def every_row(captured: DataFrame) -> DataFrame:
     """Every capture as often as its page had rows, without ``copies``."""
-    return captured.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("__copy", "copies")
+    columns = [c for c in captured.columns if c != "copies"]
+    return numbered(captured, "copies", fresh(captured, "__copy")).select(*columns)
 
 
 def with_originals(assembled: DataFrame) -> DataFrame:

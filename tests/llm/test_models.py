@@ -61,6 +61,21 @@ def test_sources_meet_their_targets(spark, piece):
     assert rows and sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs, piece_rows=20_000).collect()))
 
 
+@pytest.mark.parametrize("piece", [1_000_000, 20])
+def test_the_mix_takes_what_the_plan_says(spark, piece):
+    """Rows without id, repeated ids and repeated rows: the words of the mixed rows equal those taken."""
+    ten = lambda i: " ".join(f"w{i}x{j}" for j in range(10))
+    rows = [(None if i < 200 else i, ten(i), "en", "a") for i in range(250)] + [(None, ten(i), "en", "b") for i in range(200)]
+    rows += [(5, ten(i % 3), "en", "c") for i in range(90)] + [(6, "same text again", "en", "c")] * 70 + [(7, None, "en", "b"), (8, "", None, None)]
+    docs = make_docs(spark, rows)
+    planned = {r.source: (r.taken, r.target) for r in mixing.mix(docs, piece_rows=piece).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    mixed = mixing.mixed_documents(docs, piece_rows=piece)
+    assert mixed.columns == docs.columns
+    got = {r.source: r.words for r in mixed.groupBy("source").agg(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != ""))).alias("words")).collect()}
+    assert {s: got.get(s, 0) for s in planned} == {s: t for s, (t, _) in planned.items()}
+    assert all(abs(taken - target) <= 5 for taken, target in planned.values())
+
+
 def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == len(ODD_ROWS) and sum(r.size for r in rows) == sum(words(t) for _, t, *_ in ODD_ROWS)

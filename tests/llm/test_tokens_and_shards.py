@@ -5,9 +5,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braggline.llm import bpe, sharding
+from braggline.llm import bpe, common, sharding
 from braggline.llm.queries import QUERIES
 
 from .conftest import ODD_ROWS
@@ -142,6 +143,38 @@ def test_shards_of_odd_rows(spark, odd_docs, no_docs):
 
 def test_slots_are_gapless_in_many_pieces(spark):
     rows = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as shard", "1 as size")
-    out = sharding.slots(rows, "shard", "doc_id", ["size"], chunk_rows=20).collect()
+    out = sharding.slots(rows, "shard", "doc_id", piece_rows=20).collect()
     assert sorted((r.shard, r.slot) for r in out) == [(s, i) for s in (0, 1) for i in range(250)]
-    assert sorted(map(tuple, out)) == sorted(map(tuple, sharding.slots(rows, "shard", "doc_id", ["size"]).collect()))
+    assert sorted(map(tuple, out)) == sorted(map(tuple, sharding.slots(rows, "shard", "doc_id").collect()))
+
+
+def test_slots_of_repeated_and_missing_ids(spark):
+    rows = [(None, i % 4) for i in range(60)] + [(7, 1)] * 50 + [(i, 2) for i in range(40)]
+    frame = spark.createDataFrame([(k, n, 3, "x") for k, n in rows], "doc_id long, size long, shard int, __spot string")
+    out = sharding.slots(frame, "shard", "doc_id", piece_rows=10)
+    assert out.columns == frame.columns + ["slot"]
+    got = out.collect()
+    assert sorted(r.slot for r in got) == list(range(150)) and sorted((r.doc_id or -1, r["size"]) for r in got) == sorted((k or -1, n) for k, n in rows)
+
+
+def test_rows_of_one_id_do_not_meet_in_a_piece(spark):
+    from braggline.llm.common import sums_before
+    rows = spark.range(3000).select(F.lit(1).alias("g"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), "id", F.lit(2).cast("long").alias("n"))
+    out = sums_before(rows, "g", ["k", "id"], "n", "before", 100).cache()
+    assert [r.before for r in out.orderBy(F.asc_nulls_first("k"), "id").collect()] == list(range(0, 6000, 2))
+    seen = {}
+    original = common.written
+    try:
+        common.written = lambda df, what: seen.setdefault(what, original(df, what))
+        sums_before(rows, "g", ["k", "id"], "n", "before", 100)
+    finally:
+        common.written = original
+    assert max(r["count"] for r in seen["pieces"].groupBy("__piece").count().collect()) < 400
+
+
+def test_clashing_names_stay(spark):
+    frame = spark.createDataFrame([(1, "a b", "k", "n")], "doc_id long, __text string, __key string, __node string").withColumnRenamed("__text", "text")
+    placed = sharding.assign(frame, "doc_id", sharding.tree(4))
+    assert placed.columns == [*frame.columns, "shard"] and placed.first()["__key"] == "k"
+    other = frame.withColumn("__text", F.lit("mine"))
+    assert bpe.encode(spark, other, PATH, keep=("doc_id", "__text")).first()["__text"] == "mine"
