@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braggline.llm import bpe, exact_dedup, langid, mixing, simhash
-from braggline.llm.common import written
+from braggline.llm.common import fresh, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ambiguous text is still a text in a language and stays.
     """
     model = langid.train(docs, ~langid.held_out())
-    told = langid.predict(spark, docs, model, name="__language")
-    return told.where(F.col("__language.lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    name = fresh(docs, "__language")
+    told = langid.predict(spark, docs, model, name=name)
+    return told.where(F.col(f"{name}.lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked the one of smallest id stays."""
+    """Of documents that share 0.8 of their 5-word shingles, directly or through others, the one of smallest id stays."""
     return simhash.keep_first(docs)
 
 
