@@ -157,3 +157,13 @@ def inverse_d_squared(h: Column, k: Column, l: Column, lattice: Column) -> Colum
 def d_from_lattice(h: Column, k: Column, l: Column, lattice: Column) -> Column:
     inv = inverse_d_squared(h, k, l, lattice)
     return F.when(inv > 0, 1 / F.sqrt(inv))
+
+
+def strained_d(d0: Column, h: Column, k: Column, l: Column, lattice: Column, scales: Column) -> Column:
+    """A line's d after the axes of its cell were scaled; null where indices, cell or metric do not say.
+
+    ``d0`` is multiplied by the ratio of the two metric spacings, so it stays as it is at scale 1.
+    """
+    squeezed = F.struct(*[(lattice[n] * scales[n] if n in "abc" else lattice[n]).alias(n)
+                          for n in ("a", "b", "c", "alpha", "beta", "gamma")])
+    return d0 * F.try_divide(d_from_lattice(h, k, l, squeezed), d_from_lattice(h, k, l, lattice))

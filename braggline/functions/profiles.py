@@ -97,6 +97,11 @@ def pressure_window(sigma: Column, default: float, k: float = 2.0, floor: float
     return F.greatest(F.coalesce(known, F.lit(float(default))), F.lit(float(floor)))
 
 
+def prior_penalty(pressure: Column, prior: Column, window: Column) -> Column:
+    """Gaussian fall-off of a fitted pressure from a prior; 1 without prior or window."""
+    return F.coalesce(F.when(window > 0, F.exp(-0.5 * F.pow((pressure - prior) / window, 2))), F.lit(1.0))
+
+
 def confidence(recall: Column, precision: Column, matched: Column, *, min_matched: int = 3,
                prior_penalty: Column | None = None, intensity_corr: Column | None = None,
                intensity_k: float = 0.0) -> Column:

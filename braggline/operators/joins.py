@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
 from .ordered import CHUNK, grouped, with_chunk
 
 
@@ -32,14 +33,17 @@ def interval_join(intervals: DataFrame, points: DataFrame, by: Sequence[str], lo
 
 
 def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_value: str,
-                 right_value: str, width: float) -> DataFrame:
+                 right_value: str, width: float, carry: str | None = None) -> DataFrame:
     """Add the nearest right value and its distance to each left row; a tie goes left.
 
     Both sides are cut into value chunks; what lies beyond a chunk is carried in
-    through a per-chunk summary, so a hot group is spread over many tasks.
+    through a per-chunk summary, so a hot group is spread over many tasks.  ``carry`` names a
+    right column to bring along; of right rows of one value its largest is taken.
     """
     by = list(by)
     names = left.columns
+    if carry is not None:
+        return nearest_with(left, right, by, left_value, right_value, width, carry)
     lrows = left.select(*by, F.col(left_value).alias("_x"), F.lit(1).alias("_side"),
                         F.struct(*[F.col(c) for c in names]).alias("_row"),
                         F.lit(None).cast("double").alias("_r"))
@@ -70,6 +74,39 @@ def nearest_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_valu
         F.when(take_left, lgap).otherwise(rgap).alias("gap"))
 
 
+def nearest_with(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, width: float, carry: str) -> DataFrame:
+    """``nearest_join`` with a column of the nearest right row: a look-up of the nearest value in the right side, one row per value."""
+    near = nearest_join(left, right, by, left_value, right_value, width)
+    values = right.select(*by, F.col(right_value).alias("nearest"), carry).groupBy(*by, "nearest").agg(F.max(carry).alias(carry))
+    return near.join(values, [*by, "nearest"], "left")
+
+
+def greedy_pairs(pairs: DataFrame, left: Sequence[str], right: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One-to-one pairs, best first: a pair stays if neither its left nor its right side is in a better pair that stays.
+
+    A pair that is the best of both its sides is certain to stay; the pairs that share a
+    side with it go, and the rest is looked at again until nothing is left.  ``order`` tells any
+    two pairs of one side apart.  Every round is two aggregates over all groups at once, so
+    no group is collected or sorted; its pairs are checkpointed, as the next round reads them twice.
+    """
+    columns = pairs.columns
+    rank = F.struct(*order)
+    rest = pairs.withColumn("_left", F.struct(*left)).withColumn("_right", F.struct(*right))
+    kept = None
+    while True:
+        best_left = rest.groupBy("_left").agg(F.min(rank).alias("_best_left"))
+        best_right = rest.groupBy("_right").agg(F.min(rank).alias("_best_right"))
+        seen = rest.join(best_left, "_left").join(best_right, "_right")
+        seen = checkpointed(seen.withColumn("_won", (rank == F.col("_best_left")) & (rank == F.col("_best_right"))))
+        won = seen.where("_won")
+        kept = won if kept is None else kept.unionByName(won)
+        # A lost pair stays in the race while both of its sides are free.
+        rest = (seen.where("not _won").drop("_best_left", "_best_right", "_won")
+                .join(won.select("_left"), "_left", "left_anti").join(won.select("_right"), "_right", "left_anti"))
+        if rest.isEmpty():
+            return kept.select(*columns)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over a fixed number of partitions ahead of a Python kernel.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .correlations import directional_iou
+from .joins import greedy_pairs, interval_join
+from .ordered import with_rank
 from .tracks import link_tracks
 
 MIN_SIMILARITY = 0.2
@@ -36,3 +39,92 @@ def build_tracks(peaks: DataFrame, patterns: DataFrame, channel: str, axis: Sequ
     gate = mutual_similarity(axis) if min_similarity > 0 else None
     return link_tracks(rows, by, similarity=gate, min_similarity=min_similarity,
                        extra=("half_width", "profile"), **options)
+
+
+# --- tracks as paths of edges ------------------------------------------------------------------
+
+def ranked(obs: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Add ``rank``: the place of the row's ``order`` value among those of its group, whatever the gaps between them."""
+    by = list(by)
+    places = with_rank(obs.select(*by, order).where(F.col(order).isNotNull()).distinct(), by, [order], order, 4096.0, "rank")
+    return obs.join(places, [*by, order])
+
+
+def near_pairs(tails: DataFrame, heads: DataFrame, by: Sequence[str], link_tol: float, silence: int, bucket: float) -> DataFrame:
+    """Pairs of a tail and a head ``silence`` ranks later whose centers lie within ``link_tol`` of the wider width."""
+    by = list(by)
+    fields = ["obs", "axis", "center", "width", "feature"]
+    a = tails.select(*by, (F.col("rank") + silence).alias("rank"), *[F.col(c).alias(f"{c}_a") for c in fields])
+    b = heads.select(*by, "rank", *[F.col(c).alias(f"{c}_b") for c in fields])
+    reach = lambda c, w: (F.col(c) - link_tol * F.col(w) * (1 + 1e-12), F.col(c) + link_tol * F.col(w) * (1 + 1e-12))
+    keys = [*by, "rank"]
+    # The wider width decides: within reach of one side or of the other.
+    either = interval_join(a, b, keys, *reach("center_a", "width_a"), "center_b", bucket).unionByName(
+        interval_join(b, a, keys, *reach("center_b", "width_b"), "center_a", bucket)).distinct()
+    gap = F.abs(F.col("center_b") - F.col("center_a"))
+    return either.withColumn("gap", gap).where(F.col("gap") <= link_tol * F.greatest("width_a", "width_b", F.lit(1e-9)))
+
+
+def link_edges(obs: DataFrame, by: Sequence[str], similarity: Column, *, link_tol: float = 1.5, max_gap: int = 2,
+               min_similarity: float = MIN_SIMILARITY, bucket: float = 0.1) -> DataFrame:
+    """One-to-one edges between observations of neighbouring ranks, closest first.
+
+    ``obs`` is ``by, obs, rank, axis, center, width, feature``; ``similarity`` is a column of a pair's
+    ``feature_a`` and ``feature_b`` (or of its other columns with these endings) and an unknown one links nothing; 0 as
+    least similarity switches the gate off.  Ranks that follow each other are linked first; what has no
+    successor is then offered to the observations without predecessor two ranks on, and so
+    on to ``max_gap`` silent ranks.  Ties fall to the more similar pair, then to the ids.
+    """
+    by = list(by)
+    edges = None
+    for silence in range(1, max_gap + 2):
+        tails, heads = obs, obs
+        if edges is not None:
+            tails = obs.join(edges.select(F.col("obs_a").alias("obs")), "obs", "left_anti")
+            heads = obs.join(edges.select(F.col("obs_b").alias("obs")), "obs", "left_anti")
+        pairs = near_pairs(tails, heads, by, link_tol, silence, bucket).withColumn("similarity", similarity)
+        if min_similarity > 0:
+            pairs = pairs.where(F.col("similarity") >= min_similarity)
+        pairs = pairs.withColumn("_unlike", -F.coalesce("similarity", F.lit(0.0)))
+        kept = greedy_pairs(pairs, ["obs_a"], ["obs_b"], ["gap", "_unlike", "obs_a", "obs_b"]).select(
+            *by, "obs_a", "obs_b", F.lit(silence).alias("silence"), "similarity", (F.col("center_b") - F.col("center_a")).alias("center_shift"),
+            (F.col("axis_b") - F.col("axis_a")).alias("axis_gap"))
+        edges = checkpointed(kept if edges is None else edges.unionByName(kept))
+    return edges
+
+
+def path_heads(edges: DataFrame) -> DataFrame:
+    """``obs, track``: the first observation of the path that each observation of an edge lies on, by pointer jumping.
+
+    Every observation has one edge in and one out at most.  Each round doubles the steps a pointer
+    takes, so a path of n edges needs log2(n) rounds; a round is one join of small rows and ends in a checkpoint.
+    """
+    back = edges.select(F.col("obs_b").alias("obs"), F.col("obs_a").alias("track"))
+    first = edges.select(F.col("obs_a").alias("obs")).join(back.select("obs"), "obs", "left_anti").withColumn("track", F.col("obs"))
+    now = checkpointed(back)
+    while True:
+        further = now.select(F.col("obs").alias("track"), F.col("track").alias("_next"))
+        jumped = checkpointed(now.join(further, "track", "left").select("obs", F.coalesce("_next", "track").alias("track"), F.col("_next").isNotNull().alias("_moved")))
+        now = jumped.drop("_moved")
+        if jumped.where("_moved").isEmpty():
+            return now.unionByName(first)
+
+
+def track_paths(obs: DataFrame, edges: DataFrame, by: Sequence[str], min_points: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The points, edges and summary of all paths of ``min_points`` observations or more; a track is named by its first one.
+
+    The summary has the extent in rank and axis, the first and last center and the mean similarity of the edges.
+    """
+    by = list(by)
+    heads = path_heads(edges)
+    long_enough = heads.groupBy("track").agg(F.count(F.lit(1)).alias("n_obs")).where(F.col("n_obs") >= min_points)
+    named = heads.join(long_enough.select("track"), "track", "left_semi")
+    points = obs.join(named, "obs")
+    kept = edges.join(named.select(F.col("obs").alias("obs_a"), "track"), "obs_a")
+    likeness = kept.groupBy("track").agg(F.avg("similarity").alias("mean_similarity"))
+    at = lambda c, pick: pick(c, "rank")
+    summary = points.groupBy(*by, "track").agg(
+        F.count(F.lit(1)).alias("n_obs"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+        at("center", F.min_by).alias("center_first"), at("center", F.max_by).alias("center_last"),
+        at("axis", F.min_by).alias("axis_first"), at("axis", F.max_by).alias("axis_last")).join(likeness, "track")
+    return points, kept, summary

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import circular_difference
@@ -241,3 +241,25 @@ def keep_masks(cells: DataFrame, spots: DataFrame, pad: float = 1.0) -> DataFram
     hits = interval_join(boxes, cells, ["frame"], F.col("_q") - F.col("_hq"), F.col("_q") + F.col("_hq"), "radial", 0.25)
     inside = hits.where(circular_difference(F.col("azim"), F.col("_az")) <= F.col("_ha"))
     return cells.join(inside.select("frame", "rbin", "abin").distinct(), ["frame", "rbin", "abin"], "left_semi")
+
+
+def integrate_masked(cells: DataFrame, boxes: DataFrame, *, pad: float = 1.0, keep: bool = True,
+                     exclude_windows: Sequence[tuple[float, float]] = ()) -> DataFrame:
+    """``frame, rbin, radial, intensity, sigma, n``: patterns of the cells inside (or, without ``keep``, outside) all boxes.
+
+    ``cells`` is ``frame, rbin, abin, radial, azim, y`` and, if it has one, ``weight`` (pixels of a cell); ``boxes`` see
+    ``keep_masks``, their azimuth wraps around.  The intensity is the weighted mean of what is left and ``sigma``
+    its Poisson deviation, an observed zero getting the smallest positive one of its frame.  Bins without
+    cells, null cells and bins inside ``exclude_windows`` (in units of ``radial``) give no row.
+    """
+    usable = cells.where(F.col("y").isNotNull())
+    if exclude_windows:
+        usable = usable.where(~in_windows(F.col("radial"), exclude_windows))
+    inside = keep_masks(usable, boxes, pad)
+    left = inside if keep else usable.join(inside.select("frame", "rbin", "abin").distinct(), ["frame", "rbin", "abin"], "left_anti")
+    w = F.col("weight") if "weight" in cells.columns else F.lit(1.0)
+    sums = left.groupBy("frame", "rbin", "radial").agg(F.sum(w).alias("w"), F.sum(w * F.col("y")).alias("wy"), F.count(F.lit(1)).alias("n")).where("w > 0")
+    rows = sums.withColumn("sigma", F.when(F.col("wy") > 0, F.sqrt("wy") / F.col("w")))
+    # A frame has one row per radial bin.
+    least = F.coalesce(F.min("sigma").over(Window.partitionBy("frame")), F.lit(1.0))
+    return rows.select("frame", "rbin", "radial", (F.col("wy") / F.col("w")).alias("intensity"), F.coalesce("sigma", least).alias("sigma"), "n")

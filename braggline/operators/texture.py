@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .microstructure import solve3
+from .ordered import exact_quantiles
 
 
 def circular_mean(angle: Column, weight: Column) -> Column:
@@ -150,3 +151,76 @@ def straighten(cakes: DataFrame, fits: DataFrame, step: float, start: float) ->
 def cakes_of_frame(cakes: DataFrame, frame: int) -> DataFrame:
     """The cake of exactly this frame (no nearest fallback)."""
     return cakes.where(F.col("frame") == frame)
+
+
+# --- several rings of a cake --------------------------------------------------------------------
+
+def pick_rings(cakes: DataFrame, *, n_rings: int = 3, separation: int = 8, height: float = 5.0, prominence: float = 3.0) -> DataFrame:
+    """``frame, ring, r0, height, prominence``: the strongest isolated rings of each cake, numbered outwards from 0.
+
+    A ring is a maximum of the azimuthal mean of the positive cells (0 where a bin has none) that
+    exceeds the median of the profile by ``height`` and its surroundings by ``prominence`` robust deviations.  Of maxima
+    nearer than ``separation`` bins the higher one suppresses the other (the outer one of equal
+    ones); flat tops are no rings.  A profile is as long as the radial axis and travels as one array.
+    """
+    least = max(3, separation)
+    profile = radial_profile(cakes)
+    # Bins that no cell of a frame falls into count as zero, between the first and the last bin of the table.
+    ends = cakes.agg(F.struct(F.min("rbin").alias("a"), F.max("rbin").alias("b"), F.min("radial").alias("x"), F.max("radial").alias("y"))).scalar()
+    packed = profile.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("rbin", "y"))).alias("_m")).withColumn("_e", ends)
+    ys = F.transform(F.sequence(F.col("_e.a"), F.col("_e.b")), lambda b: F.coalesce(F.try_element_at("_m", b), F.lit(0.0)))
+    packed = packed.select("frame", "_e", ys.alias("ys"))
+    level = packed.select("frame", F.explode("ys").alias("y")).groupBy("frame").agg(F.median("y").alias("med"))
+    spread = packed.join(level, "frame").select("frame", F.explode("ys").alias("y"), "med").groupBy("frame", "med").agg((1.4826 * F.median(F.abs(F.col("y") - F.col("med")))).alias("mad"))
+    rows = packed.join(spread, "frame").withColumn("mad", F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.0))
+    at = lambda i: F.get("ys", i)
+    bins = F.sequence(F.lit(1), F.greatest(F.size("ys") - 2, F.lit(1)))
+    tops = F.filter(bins, lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) >= F.col("med") + height * F.col("mad")))
+    by_height = F.reverse(F.sort_array(F.transform(tops, lambda i: F.struct(at(i).alias("y"), i.alias("i")))))
+    isolated = F.aggregate(by_height, F.slice(by_height, 1, 0), lambda kept, p: F.when(
+        F.exists(kept, lambda q: F.abs(q["i"] - p["i"]) < least), kept).otherwise(F.concat(kept, F.array(p))))
+    one = rows.select("frame", "_e", "ys", "mad", F.explode(isolated).alias("p")).select("frame", "_e", "ys", "mad", F.col("p.y").alias("y"), F.col("p.i").alias("i"))
+    n = F.size("ys")
+    higher = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get("ys", j) > F.col("y"))
+    left = F.coalesce(F.array_max(F.filter(higher, lambda j: j < F.col("i"))) + 1, F.lit(0))
+    right = F.coalesce(F.array_min(F.filter(higher, lambda j: j > F.col("i"))) - 1, n - 1)
+    base = F.greatest(F.array_min(F.slice("ys", left + 1, F.col("i") - left + 1)), F.array_min(F.slice("ys", F.col("i") + 1, right - F.col("i") + 1)))
+    tall = one.withColumn("prominence", F.col("y") - base).where(F.col("prominence") >= prominence * F.col("mad"))
+    # At most one ring per ``least`` bins of the axis in these windows.
+    best = tall.withColumn("_n", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("y"), F.desc("i")))).where(F.col("_n") <= n_rings)
+    step = F.try_divide(F.col("_e.y") - F.col("_e.x"), F.col("_e.b") - F.col("_e.a"))
+    return best.select("frame", (F.row_number().over(Window.partitionBy("frame").orderBy("i")) - 1).cast("int").alias("ring"),
+                       (F.col("_e.x") + F.col("i") * step).alias("r0"), F.col("y").alias("height"), "prominence")
+
+
+def texture_of_rings(cakes: DataFrame, rings: DataFrame, *, halfwidth: float, min_height: float = 3.0) -> DataFrame:
+    """``texture_metrics`` of every ring of every cake, with its ``r0``."""
+    rows = ring_rows(cakes, rings.select("frame", "ring", "r0"), halfwidth=halfwidth, min_height=min_height)
+    return texture_metrics(rows, ["frame", "ring"]).join(rings.select("frame", "ring", "r0"), ["frame", "ring"])
+
+
+def waviness_of_rings(cakes: DataFrame, rings: DataFrame, *, halfwidth: float, min_height: float = 3.0) -> DataFrame:
+    """A harmonic fit for every ring: ``frame, ring, r0, A1, phi1, A2, phi2, rms, n``."""
+    rows = ring_rows(cakes, rings.select("frame", "ring", "r0"), halfwidth=halfwidth, min_height=min_height)
+    return fit_waviness(rows, ["frame", "ring"])
+
+
+def diagnose_waviness(fits: DataFrame, unit: str = "q", wavelength: float | None = None, distance: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The waviest ring of each cake, and one row of medians over the cakes with what they mean.
+
+    ``doublet_splitting`` is twice the first harmonic; with a ``wavelength`` (angstrom, for q) it becomes an angle and
+    with a ``distance`` (metres) the transverse offset of the sample in millimetres.
+    """
+    worst = fits.groupBy("frame").agg(F.max_by(F.struct("ring", "r0", "A1", "phi1", "A2", "rms"), F.struct("A1", -F.col("ring"))).alias("f")).select("frame", "f.*")
+    first = exact_quantiles(worst, "A1", [0.5]).select(F.col("n").alias("n_cakes"), F.col("q0").alias("A1_median"))
+    second = exact_quantiles(worst, "A2", [0.5]).select("q0").scalar()
+    kind = unit.strip().lower()
+    a1 = F.col("A1_median")
+    if kind.startswith("q"):
+        angle = a1 * wavelength / (2 * np.pi) if wavelength else F.lit(None).cast("double")
+    else:
+        angle = F.radians(a1) if kind == "2th_deg" else a1
+    far = F.lit(None if distance is None else float(distance)).cast("double")
+    summary = first.select("n_cakes", "A1_median", second.alias("A2_median"), (2 * a1).alias("doublet_splitting"),
+                           F.degrees(angle).alias("waviness_2theta_deg"), (angle * far * 1000).alias("offset_mm"))
+    return worst, summary

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import axis
+from ..functions import axis, eos
 from ..operators import identify as idn
 from ..operators import peaks as pk
 from ..operators import simulate as sm
@@ -78,29 +78,118 @@ def attribute_peaks(spark, folder):
     return idn.attribute_peaks(observed(spark, folder).select("frame", "obs", "d"), lines, 0.01).select("frame", "obs", "phase", "line", F.round("gap", 9).alias("gap"))
 
 
+def law_of(kind=None):
+    """The equation of a phase as a struct; ``kind`` replaces its form."""
+    return F.struct((F.col("eos_type") if kind is None else F.lit(kind)).alias("type"), F.col("k0").alias("K0"), F.col("k0p").alias("K0p"),
+                    F.col("k0pp").alias("K0pp"), F.col("p_max").alias("p_max"))
+
+
+AXIS = "struct<type:string,K0:double,K0p:double,K0pp:double,beta:double>"
+CELL = "struct<a:double,b:double,c:double,alpha:double,beta:double,gamma:double>"
+
+
+def phase_laws(spark, folder, kind=None):
+    """The library of phases with their equations; these have no axial laws."""
+    return view(spark, folder, "phases").select(
+        "phase", law_of(kind).alias("eos"), F.lit(None).cast(f"struct<a:{AXIS},b:{AXIS},c:{AXIS}>").alias("axial"), F.lit(None).cast(CELL).alias("lattice"),
+        "p_max", "alpha_v", F.lit(None).cast("double").alias("t0"), F.lit(None).cast("string").alias("assumption"))
+
+
+def phase_lines(spark, folder):
+    return view(spark, folder, "reflections").select("phase", F.col("ord").alias("line"), "d", "w", "h", "k", "l")
+
+
+def observed_peaks(spark, folder):
+    """All good peaks with their amplitude."""
+    d = axis.radial_to_d(F.col("center"), "q")
+    err = axis.radial_error_to_d_error(F.col("center"), F.col("fwhm_err"), "q")
+    return view(spark, folder, "peaks").where("flag = 0").select("frame", F.col("peak_id").alias("obs"), d.alias("d"), err.alias("d_err"), "amplitude")
+
+
+def frame_states(spark, folder):
+    return view(spark, folder, "frames").select("frame", "pressure", F.lit(2.0).alias("window"), "temperature")
+
+
+@query("predicted_d_axial", cte("peaks", "reflections", "phases", "frames") + """
+, st as (select distinct h.phase, floor(f.pressure) as p, f.temperature as t, h.k0, h.k0p, h.alpha_v from peaks p join frames f on f.frame = p.frame join phases h on h.phase = p.phase where f.pressure is not null)
+, cell as (select *, 3.0e0 + k0 / 100 as a, 3.5e0 + k0 / 120 as b, 4.0e0 + k0 / 90 as c, radians(85.0e0) as al, radians(95.0e0 + k0p) as be, radians(100.0e0) as ga,
+   pow(1 + k0p * p / k0, -1 / (3 * k0p)) as iso, pow(1 + k0p * p / k0, -1 / (3 * k0p)) as sa, pow(1 + k0p * p / (1.5 * k0), -1 / (3 * k0p)) as sb, pow(1 + k0p * p / (2.5 * k0), -1 / (3 * k0p)) as sc,
+   pow(greatest(1 + alpha_v * (t - 298), 1e-6), 1.0 / 3) as th from st)
+, m as (select c.p, c.t, c.phase, r.ord, r.d, iso, th,
+   h*h*sin(al)**2/(a*a) + k*k*sin(be)**2/(b*b) + l*l*sin(ga)**2/(c*c) + 2*h*k*(cos(al)*cos(be)-cos(ga))/(a*b) + 2*k*l*(cos(be)*cos(ga)-cos(al))/(b*c) + 2*h*l*(cos(al)*cos(ga)-cos(be))/(a*c) as s0,
+   h*h*sin(al)**2/(a*a*sa*sa) + k*k*sin(be)**2/(b*b*sb*sb) + l*l*sin(ga)**2/(c*c*sc*sc) + 2*h*k*(cos(al)*cos(be)-cos(ga))/(a*b*sa*sb) + 2*k*l*(cos(be)*cos(ga)-cos(al))/(b*c*sb*sc)
+   + 2*h*l*(cos(al)*cos(ga)-cos(be))/(a*c*sa*sc) as s1 from cell c join reflections r on r.phase = c.phase)
+select p, t, phase, ord, round(th * d * case when s0 > 1e-12 then sqrt(s0 / s1) else iso end, 6) as pred_d from m""")
+def predicted_d_axial(spark, folder):
+    from .crystal import lattice_of
+    none = F.lit(None).cast("double")
+    softer = lambda m: F.struct(F.lit("Murnaghan").alias("type"), (F.col("k0") * m).alias("K0"), F.col("k0p").alias("K0p"), none.alias("K0pp"), none.alias("beta"))
+    phases = view(spark, folder, "phases").select(
+        "phase", law_of("Murnaghan").alias("eos"), F.struct(softer(1.0).alias("a"), softer(1.5).alias("b"), softer(2.5).alias("c")).alias("axial"),
+        lattice_of(F.col("k0"), F.col("k0p")).alias("lattice"), "alpha_v")
+    present = view(spark, folder, "peaks").select("frame", "phase").distinct()
+    seen = view(spark, folder, "frames").where("pressure is not null").select("frame", F.floor("pressure").cast("double").alias("p"), "temperature")
+    states = present.join(seen, "frame").select("phase", "p", "temperature").distinct().join(phases, "phase")
+    states = states.withColumn("thermal", eos.thermal_scale(F.col("alpha_v"), F.lit(None).cast("double"), F.col("temperature")))
+    out = idn.line_positions(states, phase_lines(spark, folder))
+    return out.select("p", F.col("temperature").alias("t"), "phase", F.col("line").alias("ord"), F.round("pred_d", 6).alias("pred_d"))
+
+
+@query("identification_candidates", cte("peaks", "reflections", "phases", "frames") + """
+, kn as (select i, 5.0e0 * i as p from (select unnest(range(0, 13)) as i))
+, cu as (select r.phase, r.ord as line, i, r.d * pow(1 + k0p * least(p, case when p_max > 0 then p_max else p end) / k0, -1 / (3 * k0p)) as d from reflections r join phases h on h.phase = r.phase, kn)
+, ix as (select a.phase, a.line, a.i as bin, least(a.d, b.d) as lo, greatest(a.d, b.d) as hi from cu a join cu b on b.phase = a.phase and b.line = a.line and b.i = a.i + 1
+   union all select phase, line, -2, min(d), max(d) from cu group by 1, 2)
+, fb as (select frame, unnest(case when pressure is null then [-2] else range(greatest(0, least(floor((pressure - 2) / 5), 11))::bigint, greatest(0, least(floor((pressure + 2) / 5), 11))::bigint + 1) end) as bin from frames)
+, ob as (select distinct frame, 2 * pi() / center as d, 2 * pi() / center * fwhm_err / center as e from peaks where flag = 0)
+, v as (select o.frame, x.phase, x.bin, count(distinct x.line) as n from ob o join fb on fb.frame = o.frame join ix x on x.bin = fb.bin
+   and o.d > x.lo - 2 * sqrt(pow(0.002 * x.hi, 2) + e * e) and o.d < x.hi + 2 * sqrt(pow(0.002 * x.hi, 2) + e * e) group by 1, 2, 3 having count(distinct x.line) >= 3)
+select frame, phase, max(n) as n_lines from v group by 1, 2""")
+def identification_candidates(spark, folder):
+    curves = idn.line_curves(phase_laws(spark, folder, "Murnaghan"), phase_lines(spark, folder), 0.0, 60.0, 5.0)
+    frames = frame_states(spark, folder).withColumn("thermal", F.lit(1.0))
+    return idn.candidates(frames, observed_peaks(spark, folder), curves, 0.002, 0.0, 5.0, 3)
+
+
+@query("identification_evidence", cte("peaks", "reflections") + LINES + """
+, am as (select distinct frame, peak_id as obs, amplitude from peaks where flag = 0)
+, n as (select l.frame, l.phase, l.line, pred_d, w, min(struct_pack(g := abs(pred_d - o.d), d := o.d, e := -o.d_err)) as n from lf l join obs o on o.frame = l.frame group by 1, 2, 3, 4, 5)
+, s as (select *, sqrt(pow(0.01 * pred_d, 2) + n.e * n.e) as sigma, exp(-0.5 * pow(n.g / sqrt(pow(0.01 * pred_d, 2) + n.e * n.e), 2)) as near from n)
+, c as (select l.frame, l.phase, l.line, o.obs, abs(pred_d - o.d) as gap from lf l join obs o on o.frame = l.frame
+  where abs(pred_d - o.d) < 2 * sqrt(pow(greatest(0.01 * pred_d, 1e-9), 2) + pow(coalesce(d_err, 0), 2)))
+, m0 as (select frame, phase, unnest(""" + GREEDY.format(
+    fields="gap := gap, line := line, obs := obs", same="q.line = p[1].line or q.obs = p[1].obs") + """) as k from c group by 1, 2)
+, m as (select m0.frame, phase, k.line as line, amplitude from m0 join am on am.frame = m0.frame and am.obs = k.obs)
+, r as (select frame, min(d) as lo, max(d) as hi from obs group by 1)
+, t as (select s.*, m.amplitude, m.line is not null as matched, 2 * max(sigma) over (partition by s.frame, s.phase) as span, lo, hi from s left join m on m.frame = s.frame and m.phase = s.phase and m.line = s.line join r on r.frame = s.frame)
+, u as (select *, pred_d between lo - span and hi + span as inside from t)
+, x as (select *, max(case when inside then w end) over (partition by frame, phase) as top from u)
+, y as (select frame, phase, sum(w * near) as score, count(*) filter (matched) as n_matched, coalesce(sum(w * near) filter (inside and w >= 0.1 * top and matched) / sum(w) filter (inside and w >= 0.1 * top), 0) as recall,
+   min(pred_d) - max(span) as fr, max(pred_d) + max(span) as till, sum(w * amplitude) filter (matched) as wa, sum(w * w) filter (matched) as ww, sum(amplitude * amplitude) filter (matched) as aa from x group by 1, 2)
+, z as (select y.frame, y.phase, count(*) as n_inside from y join obs o on o.frame = y.frame and o.d between fr and till group by 1, 2)
+select y.frame, y.phase, round(score, 6) as score, n_matched, round(recall, 6) as recall, round(coalesce(least(1, n_matched / n_inside), 0), 6) as precision,
+  case when n_matched >= 3 then round(wa / (sqrt(ww) * sqrt(aa)), 6) end as intensity_corr from y left join z on z.frame = y.frame and z.phase = y.phase""")
+def identification_evidence(spark, folder):
+    lines = lines_of_frames(spark, folder).select("frame", "phase", "line", "pred_d", "w")
+    out = idn.evidence(lines, observed_peaks(spark, folder), 0.01)
+    return out.select("frame", "phase", F.round("score", 6).alias("score"), "n_matched", F.round("recall", 6).alias("recall"),
+                      F.round("precision", 6).alias("precision"), F.round("intensity_corr", 6).alias("intensity_corr"))
+
+
 @query("identify")
 def identify(spark, folder):
     return identified(spark, folder)
 
 
 def identified(spark, folder):
-    err = axis.radial_error_to_d_error(F.col("center"), F.col("fwhm_err"), "q")
-    # A frame here is a supplier's strongest peak per radial cell: as many peaks as a pattern shows.
-    cells = view(spark, folder, "peaks").where("flag = 0").groupBy(F.col("series").alias("frame"), F.floor(F.col("center") * 4)).agg(
-        F.max_by(F.struct("center", "fwhm_err", "amplitude", "flag"), F.struct("amplitude", "peak_id")).alias("p"))
-    frames = idn.observed_per_frame(cells.select("frame", "p.*"), axis.radial_to_d(F.col("center"), "q"), err)
-    frames = (frames.withColumn("pressure", F.when(F.col("frame") % 11 != 0, (F.col("frame") % 50) * 0.7))
-              .withColumn("window", F.lit(5.0)))
-    lines = view(spark, folder, "reflections").groupBy("phase").agg(F.sort_array(F.collect_list(F.struct("d", "w"))).alias("l"))
-    library = lines.join(view(spark, folder, "phases"), "phase").select(
-        "phase", F.col("l.d").alias("d0"), F.col("l.w").alias("weights"), "eos_type", "k0", "k0p", "k0pp", "p_max")
-    return idn.identify(frames, library, n_grid=40)
+    """All good peaks of all frames against the whole library."""
+    return idn.identify(frame_states(spark, folder), observed_peaks(spark, folder), phase_laws(spark, folder), phase_lines(spark, folder),
+                        rel_tol=0.002, step=2.0, n_grid=40)
 
 
 @query("identification_summary")
 def identification_summary(spark, folder):
-    found = identified(spark, folder)
-    seen = idn.present_phases(found, 0.2)
+    seen = idn.present_phases(identified(spark, folder), 0.2)
     return seen.groupBy("phase").agg(F.count(F.lit(1)).alias("n_frames"), F.avg("confidence").alias("mean_confidence"),
                                      F.median("pressure").alias("median_pressure"))
 
@@ -141,6 +230,29 @@ def bright_cells(spark, folder):
     return out.select("frame", "rbin", "abin", F.round(F.col("excess") + 1e-9, 5).alias("excess"))
 
 
+@query("integrate_masked", cte("cakes") + """
+, l as (select frame, rbin, median(y) as level, count(*) as n from cakes group by 1, 2)
+, e as (select c.*, y - level as excess from cakes c join l on c.frame = l.frame and c.rbin = l.rbin where n >= 12)
+, s as (select frame, rbin, 1.4826 * median(abs(excess)) as sigma from e group by 1, 2)
+, box as (select e.frame, e.radial as q, e.azim as az from e join s on e.frame = s.frame and e.rbin = s.rbin where excess > greatest(1.2 * sigma, 20))
+, kept as (select * from cakes c where not exists (select 1 from box b where b.frame = c.frame and abs(c.radial - b.q) <= 0.06 and abs((c.azim - b.az + 540) % 360 - 180) <= 12))
+, t as (select frame, rbin, radial, avg(y) as intensity, sqrt(sum(y)) / count(*) as sigma, count(*) as n from kept group by 1, 2, 3)
+select frame, rbin, round(intensity + 1e-9, 5) as intensity, round(sigma, 6) as sigma, n from t""")
+def integrate_masked(spark, folder):
+    cakes = view(spark, folder, "cakes")
+    bright = sp.bright_cells(cakes, min_snr=1.2, min_samples=12)
+    boxes = bright.select("frame", F.col("radial").alias("q"), "azim", F.lit(0.06).alias("q_width"), F.lit(12.0).alias("azim_width"))
+    out = sp.integrate_masked(cakes, boxes, keep=False)
+    return out.select("frame", "rbin", F.round(F.col("intensity") + 1e-9, 5).alias("intensity"), F.round("sigma", 6).alias("sigma"), "n")
+
+
+@query("spot_patterns")
+def spot_patterns(spark, folder):
+    """Patterns of what the detected spots cover."""
+    found = spots(spark, folder).select("frame", "q", "azim", "q_width", "azim_width")
+    return sp.integrate_masked(view(spark, folder, "cakes"), found)
+
+
 @query("detect_spots")
 def detect_spots(spark, folder):
     return spots(spark, folder)

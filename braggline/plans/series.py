@@ -101,6 +101,52 @@ def build_roi_tracks(spark, folder):
     return build_tracks(peaks, patterns(spark, folder).select("frame", "clean"), "clean", radial_axis(), ["series"], max_gap=2)
 
 
+EDGE_LIST = """list_reduce(list_transform(list_sort(list(struct_pack(gap := gap, u := -sim, a := a, b := b, sim := sim, shift := shift, ag := ag))), lambda p: [p]),
+  lambda kept, p: case when len(list_filter(kept, lambda q: q.a = p[1].a or q.b = p[1].b)) > 0 then kept else list_concat(kept, p) end)"""
+PATHS = """
+, o as (select obs, series, frame, max(center) as center, max(amplitude) as amp, max(fwhm) as w from observations group by 1, 2, 3)
+, r as (select *, dense_rank() over (partition by series order by frame) - 1 as rank from o)
+, p1 as (select a.series, a.rank, a.obs as a, b.obs as b, abs(b.center - a.center) as gap, least(a.amp, b.amp) / greatest(a.amp, b.amp) as sim, b.center - a.center as shift, (b.frame - a.frame)::double as ag
+   from r a join r b on b.series = a.series and b.rank = a.rank + 1 where abs(b.center - a.center) <= 1.5 * greatest(a.w, b.w, 1e-9) and least(a.amp, b.amp) / greatest(a.amp, b.amp) >= 0.5)
+, e1 as (select series, unnest(""" + EDGE_LIST + """) as k from p1 group by series, rank)
+, p2 as (select a.series, a.rank, a.obs as a, b.obs as b, abs(b.center - a.center) as gap, least(a.amp, b.amp) / greatest(a.amp, b.amp) as sim, b.center - a.center as shift, (b.frame - a.frame)::double as ag
+   from (select * from r where obs not in (select k.a from e1)) a join (select * from r where obs not in (select k.b from e1)) b on b.series = a.series and b.rank = a.rank + 2
+   where abs(b.center - a.center) <= 1.5 * greatest(a.w, b.w, 1e-9) and least(a.amp, b.amp) / greatest(a.amp, b.amp) >= 0.5)
+, e2 as (select series, unnest(""" + EDGE_LIST + """) as k from p2 group by series, rank)
+, ed as (select series, 1 as silence, k.a as a, k.b as b, k.sim as sim, k.shift as shift, k.ag as ag from e1 union all select series, 2, k.a, k.b, k.sim, k.shift, k.ag from e2)
+, pa as (select a as obs, a as track from ed where a not in (select b from ed) union all select e.b, p.track from pa p join ed e on e.a = p.obs)
+, ln as (select track, count(*) as n_obs from pa group by 1 having count(*) >= 3)
+, ke as (select pa.track, ed.* from ed join pa on pa.obs = ed.a join ln on ln.track = pa.track)
+"""
+
+
+def track_paths(spark, folder):
+    """All peaks of all series, linked by edges between neighbouring ranks; the likeness is that of the amplitudes."""
+    from ..operators import roi_tracks as rt
+    rows = observations(spark, folder).select("series", "obs", "frame", "axis", "center", F.col("fwhm").alias("width"), F.col("amplitude").alias("feature"))
+    placed = rt.ranked(rows, ["series"], "frame")
+    like = F.least("feature_a", "feature_b") / F.greatest("feature_a", "feature_b")
+    edges = rt.link_edges(placed, ["series"], like, max_gap=1, min_similarity=0.5)
+    return rt.track_paths(placed, edges, ["series"])
+
+
+@query("roi_track_edges", cte("observations").replace("with ", "with recursive ", 1) + PATHS + """
+select series, track, a as obs_a, b as obs_b, silence, round(sim, 9) as similarity, round(shift, 9) as center_shift, ag as axis_gap from ke""")
+def roi_track_edges(spark, folder):
+    kept = track_paths(spark, folder)[1]
+    return kept.select("series", "track", "obs_a", "obs_b", "silence", F.round("similarity", 9).alias("similarity"),
+                       F.round("center_shift", 9).alias("center_shift"), "axis_gap")
+
+
+@query("roi_track_summary", cte("observations").replace("with ", "with recursive ", 1) + PATHS + """
+, sm as (select track, avg(sim) as mean_similarity from ke group by 1)
+select r.series, pa.track, count(*) as n_obs, min(rank) as first_rank, max(rank) as last_rank, arg_min(center, rank) as center_first, arg_max(center, rank) as center_last,
+  min(frame)::double as axis_first, max(frame)::double as axis_last, round(any_value(mean_similarity), 8) as mean_similarity
+from pa join ln on ln.track = pa.track join r on r.obs = pa.obs join sm on sm.track = pa.track group by 1, 2""")
+def roi_track_summary(spark, folder):
+    return track_paths(spark, folder)[2].withColumn("mean_similarity", F.round("mean_similarity", 8))
+
+
 SETS = """
 with points as (select o_orderkey::string as track, l_suppkey as frame, sum(l_extendedprice) as amplitude from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)
 , sets as (select track, list(distinct frame order by frame) as items from points group by track)

@@ -150,6 +150,67 @@ def texture_metrics(spark, folder):
     return rnd(rnd(rnd(out, 8, "coverage", "texture_index", "spotty_frac"), 7, "po_amplitude"), 6, "po_phase_deg")
 
 
+PICK = """
+, pf as (select frame, rbin, coalesce(avg(case when y > 0 then y end), 0) as y from cakes group by 1, 2)
+, en as (select min(rbin) as a, max(rbin) as b from cakes)
+, gr as (select f.frame, i.i, coalesce(pf.y, 0) as y from (select distinct frame from cakes) f cross join (select unnest(range(0, b - a + 1)) as i, a from en) i left join pf on pf.frame = f.frame and pf.rbin = a + i.i)
+, md as (select frame, median(y) as med from gr group by 1)
+, ma as (select g.frame, med, case when median(abs(y - med)) > 0 then 1.4826 * median(abs(y - med)) else 1 end as mad from gr g join md on md.frame = g.frame group by 1, 2)
+, tp as (select * from (select g.*, lag(y) over w as l, lead(y) over w as r, med, mad from gr g join ma on ma.frame = g.frame window w as (partition by g.frame order by i)) t where y > l and y > r and y >= med + 1.0 * mad)
+, iso as (select frame, unnest(list_reduce(list_transform(list_reverse_sort(list(struct_pack(y := y, i := i))), lambda p: [p]),
+   lambda kept, p: case when len(list_filter(kept, lambda q: abs(q.i - p[1].i) < 4)) > 0 then kept else list_concat(kept, p) end)) as k from tp group by 1)
+, ed as (select s.frame, s.k.i as i, s.k.y as y, mad, (select coalesce(max(j.i), -1) from gr j where j.frame = s.frame and j.i < s.k.i and j.y > s.k.y) as lo,
+   (select coalesce(min(j.i), 1000000) from gr j where j.frame = s.frame and j.i > s.k.i and j.y > s.k.y) as hi from iso s join ma on ma.frame = s.frame)
+, pr as (select e.frame, e.i, e.y, mad, e.y - greatest((select min(j.y) from gr j where j.frame = e.frame and j.i > lo and j.i <= e.i), (select min(j.y) from gr j where j.frame = e.frame and j.i >= e.i and j.i < hi)) as prominence from ed e)
+, bs as (select * from (select *, row_number() over (partition by frame order by y desc, i desc) as n from pr where prominence >= 0.5 * mad) t where n <= 3)
+, rings as (select frame, (row_number() over (partition by frame order by i) - 1)::int as ring, 1.05e0 + 0.05e0 * i as r0, y as height, prominence from bs)
+"""
+
+
+def picked(spark, folder):
+    return tx.pick_rings(view(spark, folder, "cakes"), n_rings=3, separation=4, height=1.0, prominence=0.5)
+
+
+@query("pick_rings", cte("cakes") + PICK + """
+select frame, ring, round(r0, 6) as r0, round(height, 4) as height, round(prominence, 4) as prominence from rings""")
+def pick_rings(spark, folder):
+    return rnd(rnd(picked(spark, folder), 6, "r0"), 4, "height", "prominence")
+
+
+RINGS = PICK + """
+, win as (select r.frame, r.ring, azim, radial, y from cakes c join rings r on r.frame = c.frame and abs(radial - r0) <= 0.33)
+, b as (select frame, ring, azim, median(y) as base, count(*) as cells from win group by 1, 2, 3)
+, e as (select w.frame, w.ring, w.azim, cells, 1.4826 * median(abs(y - base)) as noise, max(greatest(y - base, 0)) as top, sum(greatest(y - base, 0)) as s from win w join b on w.frame = b.frame and w.ring = b.ring and w.azim = b.azim group by 1, 2, 3, 4)
+, rg as (select frame, ring, azim, case when cells >= 3 and top >= 1.5 * case when noise > 0 then noise else 1 end then s end as v from e)
+"""
+
+
+@query("texture_of_rings", cte("cakes") + RINGS + """
+, mv as (select frame, ring, median(v) as med from rg group by 1, 2)
+, f as (select r.frame, r.ring, v, med, cos(2 * radians(azim)) as c, sin(2 * radians(azim)) as s from rg r join mv on r.frame = mv.frame and r.ring = mv.ring)
+, t as (select frame, ring, count(*) as rws, count(v) as n, avg(v) as mean, stddev_pop(v) as sd, any_value(med) as med, avg(case when v is not null then case when v > 3 * med then 1.0 else 0.0 end end) as spotty,
+  sum(case when v is not null then c end) as c, sum(case when v is not null then s end) as s, sum(case when v is not null then c*c end) as cc, sum(case when v is not null then s*s end) as ss, sum(case when v is not null then c*s end) as cs,
+  sum(v) as y, sum(v*c) as yc, sum(v*s) as ys from f group by 1, 2)
+, x as (select *, n*(cc*ss-cs*cs) - c*(c*ss-cs*s) + s*(c*cs-cc*s) as det from t)
+, k as (select *, (y*(cc*ss-cs*cs) - c*(yc*ss-cs*ys) + s*(yc*cs-cc*ys)) / det as c0, (n*(yc*ss-cs*ys) - y*(c*ss-cs*s) + s*(c*ys-yc*s)) / det as c1, (n*(cc*ys-yc*cs) - c*(c*ys-yc*s) + y*(c*cs-cc*s)) / det as c2 from x)
+select k.frame, k.ring, round(r0, 6) as r0, n, round(n / rws, 8) as coverage, case when n >= 3 and mean > 0 then round(sd / mean, 7) end as texture_index, case when n >= 3 and med > 0 then round(spotty, 8) end as spotty_frac,
+  case when n >= 6 and c0 > 0 then round(sqrt(c1*c1 + c2*c2) / c0, 5) end as po_amplitude from k join rings g on g.frame = k.frame and g.ring = k.ring""")
+def texture_of_rings(spark, folder):
+    out = tx.texture_of_rings(view(spark, folder, "cakes"), picked(spark, folder), halfwidth=0.33, min_height=1.5)
+    out = out.withColumn("po_amplitude", F.when(F.col("n") >= 6, F.round("po_amplitude", 5)))
+    return rnd(rnd(rnd(out, 8, "coverage", "spotty_frac"), 7, "texture_index"), 6, "r0").drop("po_phase_deg")
+
+
+@query("waviness_of_rings")
+def waviness_of_rings(spark, folder):
+    return tx.waviness_of_rings(view(spark, folder, "cakes"), picked(spark, folder), halfwidth=0.33, min_height=1.5)
+
+
+@query("waviness_summary")
+def waviness_summary(spark, folder):
+    return tx.diagnose_waviness(waviness_of_rings(spark, folder), "q", 0.4, 0.3)[1]
+
+
 @query("fit_waviness")
 def fit_waviness(spark, folder):
     return tx.fit_waviness(ring(spark, folder))

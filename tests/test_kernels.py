@@ -8,7 +8,6 @@ import pytest
 from braggline.functions import eos
 from braggline.operators import background as bg
 from braggline.operators import correlations as co
-from braggline.operators import identify as idn
 from braggline.operators import matching
 from braggline.operators import peaks as pk
 from braggline.operators import simulate as sm
@@ -138,41 +137,6 @@ def test_window_bounds():
         co.window_bounds(0, 4, 5, 1)
 
 
-def brute_pairs(pred, obs, tol):
-    cand = sorted((abs(p - o), i, j) for i, p in enumerate(pred) for j, o in enumerate(obs) if abs(p - o) < tol)
-    used_i, used_j, out = set(), set(), []
-    for _, i, j in cand:
-        if i not in used_i and j not in used_j:
-            used_i.add(i)
-            used_j.add(j)
-            out.append((i, j))
-    return sorted(out)
-
-
-def test_one_to_one_kernel_equals_brute_force():
-    rng = np.random.default_rng(6)
-    for _ in range(50):
-        pred, obs = np.round(rng.uniform(1, 3, 8), 2), np.sort(np.round(rng.uniform(1, 3, 9), 2))
-        got = sorted(idn.one_to_one(pred, obs, np.full((8, 9), 0.2)))
-        assert got == brute_pairs(pred, obs, 0.2)
-
-
-def test_pressure_is_recovered():
-    law = ("BM3", 167.0, 5.0, 0.0)
-    d0 = np.array([2.355, 2.039, 1.442, 1.230, 1.177])
-    weight = np.array([1, 0.5, 0.3, 0.35, 0.1])
-    scale = np.cbrt(eos.invert_block(*law, np.array([42.0]))[0])
-    obs = np.sort(d0 * scale)
-    got = idn.fit_phase(obs, np.zeros(5), None, d0, weight, law, p_max=100, n_grid=200)
-    assert abs(got["pressure"] - 42) < 0.5 and got["confidence"] > 0.9 and got["n_matched"] == 5
-    far = idn.fit_phase(obs, np.zeros(5), None, d0, weight, law, p_prior=10.0, p_window=3.0)
-    assert 7 <= far["pressure"] <= 13 and far["confidence"] < got["confidence"]
-    free = idn.fit_phase(obs, np.zeros(5), None, d0, weight, law, p_prior=10.0, p_window=3.0, ignore_prior=True)
-    assert abs(free["pressure"] - 42) < 0.5
-    ambient = idn.fit_phase(obs, np.zeros(5), None, d0, weight, None)
-    assert ambient["pressure"] == 0
-
-
 def test_waviness_is_recovered():
     phi = np.arange(-180, 180, 5.0)
     r = 2 + 0.03 * np.cos(np.radians(phi - 30)) + 0.01 * np.cos(2 * np.radians(phi - 50))

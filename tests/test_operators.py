@@ -62,15 +62,25 @@ def test_interval_join_pairs_each_pair_once(spark):
     assert sorted((r.id, r.k) for r in got.collect()) == [(1, 10), (1, 11), (1, 12)]
 
 
-def test_greedy_join_equals_kernel(spark):
+def brute_pairs(pred, obs, tol):
+    cand = sorted((abs(p - o), i, j) for i, p in enumerate(pred) for j, o in enumerate(obs) if abs(p - o) < tol[i])
+    used_i, used_j, out = set(), set(), []
+    for _, i, j in cand:
+        if i not in used_i and j not in used_j:
+            used_i.add(i)
+            used_j.add(j)
+            out.append((i, j))
+    return sorted(out)
+
+
+def test_greedy_join_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     pred = pd.DataFrame({"frame": np.repeat(range(6), 8), "phase": "A", "line": list(range(8)) * 6, "pred_d": np.round(rng.uniform(1, 3, 48), 2)})
     obs = pd.DataFrame({"frame": np.repeat(range(6), 9), "obs": list(range(9)) * 6, "d": np.round(rng.uniform(1, 3, 54), 2), "d_err": 0.0})
     got = idn.match_one_to_one(spark.createDataFrame(pred), spark.createDataFrame(obs), 0.05).toPandas()
     for f in range(6):
         p, o = pred[pred["frame"] == f], obs[obs["frame"] == f]
-        tol = np.repeat((2 * np.maximum(0.05 * p["pred_d"].to_numpy(), 1e-9))[:, None], 9, axis=1)
-        want = sorted(idn.one_to_one(p["pred_d"].to_numpy(), o["d"].to_numpy(), tol))
+        want = brute_pairs(p["pred_d"].to_numpy(), o["d"].to_numpy(), 2 * 0.05 * p["pred_d"].to_numpy())
         mine = got[got["frame"] == f]
         assert sorted(zip(mine["line"], mine["obs"])) == want
 
