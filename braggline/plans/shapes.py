@@ -172,9 +172,10 @@ def picked(spark, folder):
 
 
 @query("pick_rings", cte("cakes") + PICK + """
-select frame, ring, round(r0, 6) as r0, round(height, 4) as height, round(prominence, 4) as prominence from rings""")
+select frame, ring, round(r0, 6) as r0, round(height + 1e-7, 4) as height, round(prominence + 1e-7, 4) as prominence from rings""")
 def pick_rings(spark, folder):
-    return rnd(rnd(picked(spark, folder), 6, "r0"), 4, "height", "prominence")
+    out = picked(spark, folder).withColumn("height", F.col("height") + 1e-7).withColumn("prominence", F.col("prominence") + 1e-7)
+    return rnd(rnd(out, 6, "r0"), 4, "height", "prominence")
 
 
 RINGS = PICK + """

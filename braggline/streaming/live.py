@@ -14,6 +14,8 @@ from ..operators.tracks import Linker
 from ..session import checkpointed
 
 MAX_RETRIES = 3
+#: Folder numbers from one batch to the next.
+STEPS = 8
 
 
 def settled(polls: DataFrame) -> DataFrame:
@@ -50,8 +52,10 @@ def ready_stack_frames(listing: DataFrame, previous: DataFrame) -> DataFrame:
             .select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("usable").cast("long") - 1)).alias("index")))
 
 
-def first_arrivals(arrivals: DataFrame, name: str = "display", stamp: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Each display name once, with bounded state: repeats are dropped within ``delay``."""
+def first_arrivals(arrivals: DataFrame, name: str = "display", stamp: str = "ts", delay: str | None = None) -> DataFrame:
+    """Each display name once.  Names are remembered for good, or with a ``delay`` at least that long and then forgotten."""
+    if delay is None:
+        return arrivals.dropDuplicates([name])
     return arrivals.withWatermark(stamp, delay).dropDuplicatesWithinWatermark([name])
 
 
@@ -80,7 +84,10 @@ class AppendSink:
     count of the batches before it, and rows in a batch keep the given order.  Of
     the good arrivals of one name the first in ``order`` is stored.  The arrivals of
     names without a good one are kept and tried again with the next batch, three
-    times in all; then they are given up.
+    times in all; then they are given up.  Rows without a name are set aside in ``unnamed``.
+    ``finish`` ends a run: it tries what still waits and brings the analysis up to date.
+    Folders are numbered with room between two batches for those tries, so a run that is
+    resumed afterwards overwrites none of them.
     """
 
     def __init__(self, path: str, order: str, integrate: Callable[[DataFrame], DataFrame] | None = None,
@@ -102,9 +109,45 @@ class AppendSink:
         return self.table(spark, "frames")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.append(batch, batch_id * STEPS)
+        if self.analyze is not None and (batch_id + 1) % self.analyze_every == 0:
+            self.run_analysis(batch.sparkSession)
+
+    def run_analysis(self, spark) -> None:
+        """Analyse the stored frames and note how many there were."""
+        frames = self.stored(spark)
+        self.analyze(self.path)
+        spark.createDataFrame([(frames.count() if frames is not None else 0,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/analysed")
+
+    def last_batch(self, spark) -> int:
+        tables = [t for t in (self.stored(spark), self.table(spark, "failures")) if t is not None]
+        return max((t.agg(F.max("batch")).first()[0] or 0 for t in tables), default=0)
+
+    def waiting(self, spark) -> DataFrame | None:
+        """The failed arrivals that may be tried again."""
+        failed = self.table(spark, "failures")
+        if failed is None:
+            return None
+        last = failed.where(F.col("batch") == failed.agg(F.max("batch")).scalar())
+        return last.where(F.col("_tries") < MAX_RETRIES)
+
+    def finish(self, spark) -> dict:
+        """Try what still waits until it succeeds or is given up, then analyse if frames came since; returns the counts of the run."""
+        while (rest := self.waiting(spark)) is not None and not rest.isEmpty():
+            self.append(rest.drop("batch", "_tries").limit(0), self.last_batch(spark) + 1)
+        frames, analysed = self.stored(spark), self.table(spark, "analysed")
+        n = 0 if frames is None else frames.count()
+        if self.analyze is not None and n > (0 if analysed is None else analysed.first()["n"]):
+            self.run_analysis(spark)
+        return {"n_frames": n, "n_failed": self.given_up(spark).count()}
+
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        """Store the good arrivals of a batch and of those that wait, under the number ``batch_id``."""
         from ..operators.ordered import with_rank
         spark = batch.sparkSession
-        incoming = checkpointed(self.with_waiting(batch, batch_id))
+        if not (nameless := batch.where(F.col("display").isNull())).isEmpty():
+            nameless.write.mode("overwrite").parquet(f"{self.path}/unnamed/batch={batch_id}")
+        incoming = checkpointed(self.with_waiting(batch.where(F.col("display").isNotNull()), batch_id))
         before = self.stored(spark)
         offset = 0
         if before is not None:
@@ -124,8 +167,6 @@ class AppendSink:
         ordered = with_rank(rows.withColumn("_o", F.col(self.order).cast("double")), [], ["_o", "display"], "_o", 3600.0, "frame").drop("_o")
         (ordered.withColumn("frame", F.col("frame") + offset)
          .write.mode("overwrite").parquet(f"{self.path}/frames/batch={batch_id}"))
-        if self.analyze is not None and (batch_id + 1) % self.analyze_every == 0:
-            self.analyze(self.path)
 
     def with_waiting(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """The arrivals of a batch and those that failed in the batch before and may be tried again."""
@@ -144,10 +185,22 @@ class AppendSink:
     def given_up(self, spark) -> DataFrame:
         """Names that failed three times."""
         failed = self.table(spark, "failures")
+        if failed is None:
+            return spark.createDataFrame([], "display string, tries int")
         tries = failed.where(F.col("_tries") >= MAX_RETRIES)
         return tries.groupBy("display").agg(F.max("_tries").alias("tries"))
 
 
+def step_analysis(spark, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[str], None]:
+    """An ``analyze`` for the sink: each step gets the stored frames (the first) or the step before it, and is written beside them."""
+    def run(path: str) -> None:
+        rows = spark.read.parquet(f"{path}/frames")
+        for name, step in steps.items():
+            step(rows).write.mode("overwrite").parquet(f"{path}/analysis/{name}")
+            rows = spark.read.parquet(f"{path}/analysis/{name}")
+    return run
+
+
 def run_live(stream: DataFrame, sink: AppendSink, checkpoint: str, *, once: bool = True, poll: str = "5 seconds"):
     """Start the live query; the checkpoint folder makes it resume where it stopped."""
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -85,6 +85,39 @@ def test_a_good_arrival_beats_a_failed_one_and_failures_are_tried_again(spark, t
     assert [r.display for r in sink.given_up(spark).collect()] == ["never"]
 
 
+def test_a_run_ends_with_failures_tried_and_frames_analysed(spark, tmp_path):
+    """The last batch leaves a failure that heals, one that does not, a nameless row and a late repeat; then the run is resumed."""
+    schema = "display string, t double, ok boolean"
+    calls = {"n": 0}
+
+    def integrate(rows):
+        calls["n"] += 1
+        return rows.withColumn("ok", F.col("ok") | ((F.col("display") == "slow") & (F.lit(calls["n"]) >= 3)))
+
+    path = str(tmp_path / "out")
+    analyze = live.step_analysis(spark, {"doubled": lambda f: f.withColumn("t", F.col("t") * 2), "total": lambda f: f.agg(F.sum("t").alias("t"))})
+    sink = live.AppendSink(path, "t", integrate, analyze, analyze_every=2)
+    assert sink.given_up(spark).collect() == [] and sink.finish(spark) == {"n_frames": 0, "n_failed": 0}
+    rows = [("a", 1.0, True, 0), (None, 9.0, True, 0), ("b", 2.0, True, 1), ("a", 3.0, True, 2), ("slow", 4.0, False, 2), ("never", 5.0, False, 2)]
+    df = spark.createDataFrame(rows, "display string, t double, ok boolean, _part int")
+    live.run_live(parts(spark, df, tmp_path / "in", 3), sink, str(tmp_path / "chk")).awaitTermination(120)
+    assert spark.read.parquet(f"{path}/analysis/total").first().t == 6.0
+    assert sink.finish(spark) == {"n_frames": 3, "n_failed": 1}
+    assert spark.read.parquet(f"{path}/analysis/total").first().t == 14.0
+    assert {r.display: r.frame for r in sink.stored(spark).collect()} == {"a": 0, "b": 1, "slow": 2}
+    assert sink.table(spark, "unnamed").count() == 1 and [r.display for r in sink.given_up(spark).collect()] == ["never"]
+    assert sink.finish(spark) == {"n_frames": 3, "n_failed": 1}
+    sink(spark.createDataFrame([("c", 6.0, True), ("never", 7.0, True)], schema), 3)
+    assert {r.display: r.frame for r in sink.stored(spark).collect()} == {"a": 0, "b": 1, "slow": 2, "c": 3}
+
+
+def test_names_are_not_forgotten(spark, tmp_path):
+    rows = [("x", "2024-01-01 00:00:00", 0), ("y", "2024-01-01 02:00:00", 1), ("x", "2024-01-03 00:00:00", 2)]
+    df = spark.createDataFrame(rows, "display string, ts string, _part int").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drain(spark, live.first_arrivals(parts(spark, df, tmp_path / "names", 3)), "names_kept")
+    assert sorted(r.display for r in out.collect()) == ["x", "y"]
+
+
 def test_a_broken_table_is_an_error(spark, tmp_path):
     (tmp_path / "out" / "frames").mkdir(parents=True)
     (tmp_path / "out" / "frames" / "part-0.parquet").write_bytes(b"not parquet at all")
