@@ -306,15 +306,14 @@ def fit_run(patterns: DataFrame, channel: str, axis: Sequence[float], sensitivit
 
     The range is two numbers that reach the driver; everything else stays on the workers.
     """
-    from .background import auto_fit_range
+    from .background import auto_fit_range, bin_medians
     knobs = resolve_sensitivity(sensitivity, **explicit)
     del knobs["preset"]
     low, high = fit_range if isinstance(fit_range, tuple) else (None, None)
     if fit_range == "auto":
         rows = patterns.select(F.posexplode(channel).alias("bin", "y")).where(F.col("y").isNotNull())
         # One row per bin of the detector axis.
-        medians = rows.groupBy("bin").agg(F.percentile("y", 0.5).alias("median")).withColumn(
-            "radial", F.get(F.array(*[F.lit(float(x)) for x in axis]), F.col("bin")))
+        medians = bin_medians(rows, "y", ["bin"]).withColumn("radial", F.get(F.array(*[F.lit(float(x)) for x in axis]), F.col("bin")))
         found = auto_fit_range(medians).first()
         low, high = (found["fit_min"], found["fit_max"]) if found is not None else (None, None)
     low, high = (None if v is None or v != v else float(v) for v in (low, high))

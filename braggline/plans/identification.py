@@ -8,6 +8,7 @@ from ..operators import peaks as pk
 from ..operators import simulate as sm
 from ..operators import spots as sp
 from ..operators.ordered import with_rank
+from ..session import checkpointed
 from ..sources.tables import cte, patterns, radial_axis, view
 from .registry import query
 from .series import GRID
@@ -220,6 +221,28 @@ def spots(spark, folder):
                            max_azim=60.0, max_radial=6)
 
 
+@query("fit_run")
+def fit_run(spark, folder):
+    """All patterns fitted with a preset inside the range found on the median pattern."""
+    return pk.fit_run(patterns(spark, folder).select("frame", "clean"), "clean", radial_axis())
+
+
+@query("residual_step")
+def residual_step(spark, folder):
+    """All fitted peaks, those of identified phases taken off, and what is left fitted again."""
+    base = patterns(spark, folder).select("frame", "clean")
+    fitted = pk.fit_peaks(base, "clean", radial_axis(), min_snr=3.0).where("flag = 0")
+    peaks = checkpointed(fitted.select("frame", F.col("peak").alias("obs"), axis.radial_to_d(F.col("center"), "q").alias("d"), "center", "amplitude", "fwhm", "eta"))
+    states = base.select("frame", F.lit(None).cast("double").alias("pressure"), F.lit(None).cast("double").alias("window"), F.lit(None).cast("double").alias("temperature"))
+    library, lines = phase_laws(spark, folder), phase_lines(spark, folder)
+    fixed = library.withColumn("eos", F.lit(None).cast(library.schema["eos"].dataType))
+    found = checkpointed(idn.identify(states, peaks.withColumn("d_err", F.lit(0.0)), fixed, lines, rel_tol=0.005, step=1.0, p_max=1.0, n_grid=2))
+    # The surest phase of a frame explains a peak first.
+    shown = found.join(lines.select("phase", "line", F.col("d").alias("pred_d")), "phase").select(
+        "frame", "phase", "line", "pred_d", F.lit(0).alias("phase_rank"))
+    return idn.residual_step(base, "clean", peaks, shown, found, radial_axis(), 0.005, 0.2, min_snr=3.0)[1].where("flag = 0")
+
+
 @query("bright_cells", cte("cakes") + """
 , l as (select frame, rbin, median(y) as level, count(*) as n from cakes group by 1, 2)
 , e as (select c.*, y - level as excess from cakes c join l on c.frame = l.frame and c.rbin = l.rbin where n >= 12)

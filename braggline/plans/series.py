@@ -1,5 +1,7 @@
 """Tracks, clusters, transitions and rankings."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import axis
@@ -147,6 +149,13 @@ def roi_track_summary(spark, folder):
     return track_paths(spark, folder)[2].withColumn("mean_similarity", F.round("mean_similarity", 8))
 
 
+@query("unknown_clusters")
+def unknown_clusters(spark, folder):
+    """All observations linked, clustered and summed up; the clusters are those of the tracks."""
+    summary = tr.unknown_series(observations(spark, folder), ["series"], 2 * math.pi / F.col("center"))[1]
+    return summary
+
+
 SETS = """
 with points as (select o_orderkey::string as track, l_suppkey as frame, sum(l_extendedprice) as amplitude from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)
 , sets as (select track, list(distinct frame order by frame) as items from points group by track)
