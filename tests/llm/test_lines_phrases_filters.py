@@ -128,13 +128,52 @@ def test_phrases_by_hand(spark, options):
     assert got == phrases_by_hand(rows, **options) and len(got) > 5
 
 
+@pytest.mark.parametrize("coded", [1, 7, 30])
+def test_words_named_by_hash(spark, monkeypatch, coded):
+    rows = phrase_rows()
+    monkeypatch.setattr(collocations, "CODED", coded)
+    monkeypatch.setattr(collocations, "HELD_WORDS", 5)
+    assert collected(collocations.mine(make_docs(spark, rows), min_count=4)) == phrases_by_hand(rows, min_count=4)
+
+
+def test_words_of_one_hash_get_numbers(spark, monkeypatch):
+    rows = phrase_rows()
+    monkeypatch.setattr(collocations, "CODED", 3)
+    monkeypatch.setattr(collocations, "word_hash", lambda: F.length("word").cast("long").bitwiseOR(F.lit(-(1 << 63))))
+    words = collocations.word_counts(make_docs(spark, rows))
+    ids = collocations.word_ids(words, words.agg(F.sum("f")).first()[0], 4).collect()
+    assert len({r.id for r in ids}) == len(ids) == words.where("f >= 4").count()
+    by_length = Counter(len(r.word) for r in ids if not r.coded)
+    assert max(by_length.values(), default=1) == 1
+
+
+def test_the_filter_knows_all_hashes(spark):
+    ids = spark.range(5000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), "id").alias("word"), F.lit(False).alias("coded")).withColumn("id", collocations.word_hash())
+    bits = collocations.hash_bits(ids)
+    look = collocations.Lookup("en", {}, bits)
+    assert all(look[r.word.encode()] == r.id for r in ids.collect())
+    assert int(np.unpackbits(bits).sum()) <= 5000 and sum(look[b"x%d" % i] != 0 for i in range(5000)) < 20
+
+
+def test_longest_windows_are_counted_once(spark, monkeypatch):
+    docs = make_docs(spark, phrase_rows())
+    words = collocations.word_counts(docs)
+    ids = collocations.word_ids(words, words.agg(F.sum("f")).first()[0], 10)
+    plans, original = [], collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, what: (plans.append((what, df)), original(df, what))[1])
+    collocations.phrase_counts(collocations.longest_windows(docs, ids, 3), ids, 10)
+    df = dict(plans)["phrase-ids"]
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_phrases_of_an_empty_table(no_docs):
     assert collocations.mine(no_docs).collect() == []
 
 
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000_001
-    counts = spark.createDataFrame([("en", 1, "a", big * 2), ("en", 1, "b", big * 3 + 1), ("en", 2, "a b", big), ("en", 0, "", big * 9)],
+    counts = spark.createDataFrame([("en", 1, "a", big * 2), ("en", 1, "b", big * 3 + 1), ("en", 2, "a b", big), ("en", 1, "c", big * 9)],
                                    "lang string, words int, phrase string, f long")
     (row,) = collocations.scored(counts).collect()
     assert row.score == 1_000_000 * big * big // (big * 2 * (big * 3 + 1)) and row.a == big
