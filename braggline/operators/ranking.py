@@ -147,3 +147,38 @@ def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     won = F.sum(F.col("p") * (F.col("_below") - F.col("n") / 2))
     return below.groupBy().agg(F.try_divide(won, F.sum("p") * F.sum("n")).alias("auc"),
                                F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+
+
+def labelled_matrix(patterns: DataFrame, channels: Sequence[str], axis_d: Sequence[float], grid: Sequence[float], identified: DataFrame,
+                    good: DataFrame, *, seen: float = 0.5, normalize: bool = True) -> DataFrame:
+    """``frame, channel, x, labels, n_good``: every kept pattern on the d-grid with its weak labels.
+
+    ``patterns`` is ``frame`` and a column per channel, and may have ``excluded``: such frames are left out.
+    ``identified`` is ``frame, phase, confidence, pressure``; a frame's ``labels`` are its phases in name order as
+    ``phase, present, pressure``, present from a confidence of ``seen`` on, as many as were judged on it.
+    ``n_good`` counts the rows of ``good`` (``frame``).  Patterns stay where they are; only labels and counts are shuffled to them.
+    """
+    kept = patterns.where(~F.coalesce("excluded", F.lit(False))) if "excluded" in patterns.columns else patterns
+    label = F.struct("phase", (F.col("confidence") >= seen).alias("present"), "pressure")
+    labels = identified.groupBy("frame").agg(F.sort_array(F.collect_set(label)).alias("labels"))
+    counts = good.groupBy("frame").agg(F.count(F.lit(1)).alias("n_good"))
+    none = F.array().cast(labels.schema["labels"].dataType)
+    rows = kept.select("frame", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("y")) for c in channels])).alias("c"))
+    made = rows.select("frame", "c.channel", resample_to_d(F.col("c.y"), axis_d, grid, normalize=normalize).alias("x"))
+    return made.join(labels, "frame", "left").join(counts, "frame", "left").select(
+        "frame", "channel", "x", F.coalesce("labels", none).alias("labels"), F.coalesce("n_good", F.lit(0)).alias("n_good"))
+
+
+def with_split(rows: DataFrame, shares: dict[str, float], key: str = "frame", seed: str = "split") -> DataFrame:
+    """Add ``split``: a name of ``shares`` by a hash of the key, so all rows of a key and all reruns agree."""
+    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
+    whole, until, split = sum(shares.values()), 0.0, None
+    for name, share in shares.items():
+        until += share / whole
+        split = F.when(spot < until, name) if split is None else split.when(spot < until, name)
+    return rows.withColumn("split", F.coalesce(split, F.lit(name)))
+
+
+def write_matrix(rows: DataFrame, path: str, shares: dict[str, float] | None = None) -> None:
+    """Write a labelled matrix as Parquet, a folder per split and channel."""
+    with_split(rows, shares or {"train": 0.8, "valid": 0.1, "test": 0.1}).write.partitionBy("split", "channel").parquet(path)

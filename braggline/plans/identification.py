@@ -183,9 +183,9 @@ def identify(spark, folder):
 
 
 def identified(spark, folder):
-    """All good peaks of all frames against the whole library."""
+    """All good peaks of all frames against the whole library; a phase needs four lines."""
     return idn.identify(frame_states(spark, folder), observed_peaks(spark, folder), phase_laws(spark, folder), phase_lines(spark, folder),
-                        rel_tol=0.002, step=2.0, n_grid=40)
+                        rel_tol=0.002, step=2.0, n_grid=40, min_matched=4)
 
 
 @query("identification_summary")
@@ -224,7 +224,7 @@ def spots(spark, folder):
 @query("fit_run")
 def fit_run(spark, folder):
     """All patterns fitted with a preset inside the range found on the median pattern."""
-    return pk.fit_run(patterns(spark, folder).select("frame", "clean"), "clean", radial_axis())
+    return pk.fit_run(patterns(spark, folder).select("frame", "clean"), "clean", radial_axis(), min_snr=3.0)
 
 
 @query("residual_step")

@@ -300,6 +300,33 @@ def library(spark, folder):
     return packed.select("phase", F.col("l.d").alias("d0"), F.col("l.w").alias("weights"))
 
 
+MATRIX = """
+, dd as (select frame, 'masked' as channel, 2 * pi() / radial as d, coalesce(masked, 0) as y from bins union all select frame, 'clean', 2 * pi() / radial, coalesce(clean, 0) from bins)
+, g as (select i, 1.55 + 0.025 * i as x from (select unnest(range(0, 180)) as i))
+, seg as (select frame, channel, d as d0, lead(d) over w as d1, y as y0, lead(y) over w as y1 from dd window w as (partition by frame, channel order by d))
+, v as (select s.frame, channel, i, greatest(0, y0 + (y1 - y0) * (x - d0) / (d1 - d0)) as y from g join seg s on x >= d0 and x < d1)
+, t as (select frame, channel, sum(y) as total from v group by 1, 2)
+, idf as (select frame, 'band' || floor(center)::bigint as phase, avg(width) * 10 as confidence, max(center) as pressure from pattern_peaks group by 1, 2)
+, lb as (select frame, string_agg(phase, ',' order by phase) filter (confidence >= 1.0) as present, count(*) as n_labels, max(pressure) as top from idf group by 1)
+, gp as (select frame, count(*) as n_good from pattern_peaks where flag = 0 group by 1)
+select t.frame, t.channel, round(total, 5) as total, coalesce(present, '') as present, coalesce(n_labels, 0)::int as n_labels, top, coalesce(n_good, 0) as n_good
+from t left join lb on lb.frame = t.frame left join gp on gp.frame = t.frame where t.frame % 13 <> 0
+"""
+
+
+@query("labelled_matrix", cte("bins", "pattern_peaks") + MATRIX)
+def labelled_matrix(spark, folder):
+    peaks = view(spark, folder, "pattern_peaks")
+    bands = peaks.groupBy("frame", F.concat(F.lit("band"), F.floor("center").cast("string")).alias("phase")).agg(
+        (F.avg("width") * 10).alias("confidence"), F.max("center").alias("pressure"))
+    rows = patterns(spark, folder).withColumn("excluded", F.col("frame") % 13 == 0)
+    axis_d = [2 * math.pi / q for q in radial_axis()]
+    out = rk.labelled_matrix(rows, ["masked", "clean"], axis_d, GRID, bands, peaks.where("flag = 0"), seen=1.0, normalize=False)
+    return out.select("frame", "channel", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"),
+                      F.array_join(F.transform(F.filter("labels", lambda x: x["present"]), lambda x: x["phase"]), ",").alias("present"),
+                      F.size("labels").alias("n_labels"), F.array_max(F.transform("labels", lambda x: x["pressure"])).alias("top"), "n_good")
+
+
 @query("frame_features", cte("bins") + """
 , dd as (select frame, 2 * pi() / radial as d, greatest(coalesce(masked, 0), -1e9) as y from bins)
 , g as (select i, 1.55 + 0.025 * i as x from (select unnest(range(0, 180)) as i))

@@ -163,3 +163,21 @@ def test_greedy_pairs_of_a_chain(spark):
             used |= {left, right}
             want.append(float(i))
     assert got == want
+
+
+def test_labelled_matrix(spark, tmp_path):
+    from braggline.operators import ranking
+    axis_d, grid = [4.0, 3.0, 2.0, 1.0], [1.5, 2.5, 3.5, 9.0]
+    rows = spark.createDataFrame([(1, [0.0, 2.0, 4.0, 8.0], [1.0, 1.0, 1.0, 1.0], False), (2, [1.0, None, 1.0, 1.0], None, False), (3, [1.0] * 4, [1.0] * 4, True)],
+                                 "frame long, a array<double>, b array<double>, excluded boolean")
+    known = spark.createDataFrame([(1, "Re", 0.4, 2.0), (1, "Au", 0.5, 1.0), (3, "Au", 0.9, 1.0)], "frame long, phase string, confidence double, pressure double")
+    good = spark.createDataFrame([(1,), (1,)], "frame long")
+    out = ranking.labelled_matrix(rows, ["a", "b"], axis_d, grid, known, good).cache()
+    by = {(r.frame, r.channel): r for r in out.collect()}
+    assert set(by) == {(1, "a"), (1, "b"), (2, "a"), (2, "b")}
+    assert by[1, "a"].x == [1.0, 0.5, pytest.approx(1 / 6), 0.0] and by[1, "a"].n_good == 2 and by[2, "a"].n_good == 0 and by[2, "a"].labels == []
+    assert [(x.phase, x.present, x.pressure) for x in by[1, "b"].labels] == [("Au", True, 1.0), ("Re", False, 2.0)]
+    many = spark.range(4000).select(F.col("id").alias("frame"), F.lit("a").alias("channel"))
+    ranking.write_matrix(many, str(tmp_path / "m"))
+    n = {r.split: r["count"] for r in spark.read.parquet(str(tmp_path / "m")).groupBy("split").count().collect()}
+    assert sum(n.values()) == 4000 and abs(n["train"] - 3200) < 120 and abs(n["test"] - 400) < 80
