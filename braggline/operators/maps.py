@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import with_island, with_previous
+from .joins import nearest_join
+from .ordered import with_island, with_previous, with_rank
 
 
 def grid_position(index: Column, line: int, *, order: str = "horizontal", serpentine: bool = True) -> Column:
@@ -55,3 +56,36 @@ def coordinate_grid(positions: DataFrame, chunk: float) -> DataFrame:
                                             (F.count(F.lit(1)) - 1).alias("collisions"))
 
 
+
+
+def value_map(positions: DataFrame, values: DataFrame, chunk: float, fill: bool = True) -> DataFrame:
+    """``row, col, value, n, filled``: a scalar of the frames on every cell of the grid that their positions imply.
+
+    ``values`` is ``frame, value``.  Frames that share a cell are averaged (``n`` of them with a value); cells
+    without a value take that of the nearest cell of their row, the left one of two as near, and are
+    marked ``filled``; a row without any value, or ``fill`` off, leaves them null.  The result has a row per cell.
+    """
+    usable = positions.where(F.col("pos_x").isNotNull() & F.col("pos_y").isNotNull())
+    placed = cluster_lines(cluster_lines(usable, "pos_x", chunk, name="col"), "pos_y", chunk, name="row")
+    seen = placed.join(values.select("frame", "value"), "frame").where(F.col("value").isNotNull())
+    held = seen.groupBy("row", "col").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    ends = placed.agg(F.max("col")).scalar()
+    cells = placed.select("row").distinct().withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), ends)))
+    grid = cells.join(held, ["row", "col"], "left")
+    if not fill:
+        return grid.select("row", "col", "value", F.coalesce("n", F.lit(0)).alias("n"), F.lit(False).alias("filled"))
+    near = nearest_join(grid.where(F.col("n").isNull()).select("row", "col"), held.select("row", F.col("col").alias("at")), ["row"], "col", "at", 64.0)
+    lent = near.join(held.select("row", F.col("col").alias("nearest"), "value"), ["row", "nearest"], "left").select(
+        "row", "col", "value", F.lit(0).cast("long").alias("n"), F.col("value").isNotNull().alias("filled"))
+    return grid.where(F.col("n").isNotNull()).select("row", "col", "value", "n", F.lit(False).alias("filled")).unionByName(lent)
+
+
+def pattern_image(bins: DataFrame, frames: DataFrame, value: str = "clean", variable: str = "frame") -> DataFrame:
+    """``rank, x, bin, radial, value``: the patterns side by side along a series variable, frames without it left out.
+
+    ``frames`` is ``frame`` and the variable.  ``rank`` counts the frames in the variable's order, ties by frame;
+    null samples stay, so every frame of the image has all its bins.
+    """
+    known = frames.where(F.col(variable).isNotNull()).select("frame", F.col(variable).cast("double").alias("x")).distinct()
+    order = with_rank(known, [], ["x", "frame"], "x", 64.0, "rank")
+    return bins.join(order, "frame").select("rank", "x", "bin", "radial", F.col(value).alias("value"))

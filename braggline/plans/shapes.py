@@ -76,6 +76,32 @@ def coordinate_grid(spark, folder):
     return maps.coordinate_grid(view(spark, folder, "positions"), 4.0)
 
 
+@query("value_map", cte("positions") + GRID + """
+, pl as (select frame, yl.line as "row", xl.line as col from positions join xl on pos_x = xl.v join yl on pos_y = yl.v)
+, vl as (select user_id as frame, avg(value) as value from events where event_type <> 'click' group by 1)
+, hd as (select "row", col, avg(value) as value, count(*) as n from pl join vl on vl.frame = pl.frame where value is not null group by 1, 2)
+, ce as (select "row", unnest(range(0, (select max(col) + 1 from pl))) as col from (select distinct "row" from pl) t)
+, ne as (select c."row", c.col, arg_min(h.value, struct_pack(g := abs(h.col - c.col), c := h.col)) as value from ce c left join hd h on h."row" = c."row" group by 1, 2)
+select c."row", c.col, round(coalesce(h.value, ne.value), 6) as value, coalesce(h.n, 0) as n, h.n is null and ne.value is not null as filled
+from ce c left join hd h on h."row" = c."row" and h.col = c.col join ne on ne."row" = c."row" and ne.col = c.col""")
+def value_map(spark, folder):
+    from ..sources.tables import base
+    values = base(spark, folder, "events").where("event_type <> 'click'").groupBy(F.col("user_id").alias("frame")).agg(F.avg("value").alias("value"))
+    return rnd(maps.value_map(view(spark, folder, "positions"), values, 4.0), 6, "value")
+
+
+@query("pattern_image", cte("bins", "frames") + """
+, pr as (select frame, pressure as x from frames where pressure is not null)
+, rk as (select p.frame, x, row_number() over (order by x, p.frame) - 1 as rank from pr p join (select distinct frame from bins) b on b.frame = p.frame)
+select rank, x, bin::int as bin, round(masked, 6) as value from bins b join rk on rk.frame = b.frame""")
+def pattern_image(spark, folder):
+    from ..sources.tables import bins
+    rows = bins(spark, folder, "masked")
+    frames = view(spark, folder, "frames").join(rows.select("frame").distinct(), "frame", "left_semi")
+    out = maps.pattern_image(rows, frames, "masked", "pressure")
+    return out.select("rank", "x", "bin", F.round("value", 6).alias("value"))
+
+
 def good_in_q(spark, folder):
     c, w, e = F.col("center"), F.col("fwhm"), F.col("fwhm_err")
     return view(spark, folder, "peaks").where("flag = 0 and fwhm > 0").select(

@@ -181,3 +181,23 @@ def test_labelled_matrix(spark, tmp_path):
     ranking.write_matrix(many, str(tmp_path / "m"))
     n = {r.split: r["count"] for r in spark.read.parquet(str(tmp_path / "m")).groupBy("split").count().collect()}
     assert sum(n.values()) == 4000 and abs(n["train"] - 3200) < 120 and abs(n["test"] - 400) < 80
+
+
+def test_values_on_an_irregular_grid(spark):
+    from braggline.operators import maps
+    spots_ = [(1, 0.0, 0.0), (2, 1.001, 0.0), (3, 3.0, 0.001), (4, 0.001, 1.0), (5, 0.002, 1.001), (6, 3.0, 2.0), (7, None, 1.0)]
+    at = spark.createDataFrame(spots_, "frame long, pos_x double, pos_y double")
+    values = spark.createDataFrame([(1, 10.0), (2, None), (3, 30.0), (4, 4.0), (5, 6.0), (7, 9.0)], "frame long, value double")
+    got = {(r.row, r.col): (r.value, r.n, r.filled) for r in maps.value_map(at, values, 4.0).collect()}
+    assert got == {(0, 0): (10.0, 1, False), (0, 1): (10.0, 0, True), (0, 2): (30.0, 1, False), (1, 0): (5.0, 2, False), (1, 1): (5.0, 0, True),
+                   (1, 2): (5.0, 0, True), (2, 0): (None, 0, False), (2, 1): (None, 0, False), (2, 2): (None, 0, False)}
+    bare = {(r.row, r.col): r.value for r in maps.value_map(at, values, 4.0, fill=False).collect()}
+    assert sum(v is not None for v in bare.values()) == 3 and len(bare) == 9
+
+
+def test_pattern_image_follows_the_variable(spark):
+    from braggline.operators import maps
+    rows = spark.createDataFrame([(f, b, 1.0 + b, float(10 * f + b)) for f in (1, 2, 3, 4) for b in range(2)], "frame long, bin int, radial double, clean double")
+    frames = spark.createDataFrame([(1, 5.0), (2, 1.0), (3, None), (4, 1.0)], "frame long, pressure double")
+    got = sorted((r.rank, r.x, r.bin, r.value) for r in maps.pattern_image(rows, frames, variable="pressure").collect())
+    assert got == [(0, 1.0, 0, 20.0), (0, 1.0, 1, 21.0), (1, 1.0, 0, 40.0), (1, 1.0, 1, 41.0), (2, 5.0, 0, 10.0), (2, 5.0, 1, 11.0)]
