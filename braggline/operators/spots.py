@@ -60,7 +60,9 @@ def blob_rows(cells: pd.DataFrame, n_azim: int, bin_a: float, bin_r: float, min_
     """Spots of one cake: sums over the labelled cells, positions told from each blob's brightest cell."""
     if cells.empty:
         return []
-    cells = cells.reset_index(drop=True).assign(blob=label_blobs(cells["abin"].to_numpy(), cells["rbin"].to_numpy(), n_azim))
+    # The order of the cells decides ties and labels, so a task that runs again names the same spots.
+    cells = cells.sort_values(["abin", "rbin"]).reset_index(drop=True)
+    cells = cells.assign(blob=label_blobs(cells["abin"].to_numpy(), cells["rbin"].to_numpy(), n_azim))
     top = cells.loc[cells.groupby("blob")["excess"].idxmax()].set_index("blob")
     half = n_azim // 2
     cells["turn"] = bin_a * ((cells["abin"] - cells["blob"].map(top["abin"]) + half) % n_azim - half)
@@ -87,14 +89,9 @@ def blob_rows(cells: pd.DataFrame, n_azim: int, bin_a: float, bin_r: float, min_
     return list(kept.itertuples(index=False, name=None))
 
 
-def detect_spots(cakes: DataFrame, *, n_azim: int, bin_a: float, bin_r: float, min_pixels: int = 2,
-                 max_azim: float = 45.0, max_radial: int = 30, exclude_windows: Sequence[tuple[float, float]] = (),
-                 exclude_peaks: DataFrame | None = None, fwhm_mult: float = 2.0, **thresholds) -> DataFrame:
-    """Blobs of bright cells per frame; one cake is bounded by the detector.
-
-    ``exclude_peaks`` is ``frame, center, fwhm`` of powder rings; a spot whose
-    brightest cell lies on one is dropped by an interval anti-join.
-    """
+def blob_spots(cakes: DataFrame, *, n_azim: int, bin_a: float, bin_r: float, min_pixels: int = 2,
+               max_azim: float = 45.0, max_radial: int = 30, exclude_windows: Sequence[tuple[float, float]] = (), **thresholds) -> DataFrame:
+    """Blobs of bright cells per frame, with ``q_peak`` of the brightest cell; one cake is bounded by the detector."""
     def one(key, cells: pd.DataFrame) -> pd.DataFrame:
         rows = blob_rows(cells, n_azim, bin_a, bin_r, min_pixels, max_azim, max_radial)
         return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(sorted(rows, key=lambda r: -r[2]))],
@@ -103,8 +100,16 @@ def detect_spots(cakes: DataFrame, *, n_azim: int, bin_a: float, bin_r: float, m
     kinds = ", ".join(f"{c} {'int' if c == 'n_pixels' else 'double'}" for c in SPOT_COLUMNS)
     spots = bright_cells(cakes, **thresholds).groupBy("frame").applyInPandas(
         one, f"frame bigint, spot int, {kinds}, q_peak double")
-    if exclude_windows:
-        spots = spots.where(~in_windows(F.col("q_peak"), exclude_windows))
+    return spots.where(~in_windows(F.col("q_peak"), exclude_windows)) if exclude_windows else spots
+
+
+def detect_spots(cakes: DataFrame, *, bin_r: float, exclude_peaks: DataFrame | None = None, fwhm_mult: float = 2.0, **options) -> DataFrame:
+    """Spots of every frame, see ``blob_spots``.
+
+    ``exclude_peaks`` is ``frame, center, fwhm`` of powder rings; a spot whose
+    brightest cell lies on one is dropped by an interval anti-join.
+    """
+    spots = blob_spots(cakes, bin_r=bin_r, **options)
     if exclude_peaks is not None:
         half = F.greatest(fwhm_mult * F.col("fwhm"), F.lit(bin_r))
         on_ring = interval_join(exclude_peaks.select("frame", "center", "fwhm"), spots.select("frame", "spot", "q_peak"),
@@ -154,15 +159,25 @@ def consolidate(spots: DataFrame, by: Sequence[str], *, q_tol: float, azim_tol:
 
 
 def merged_spots(assigned: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per merged spot: weighted centroid, spread, brightest frame."""
+    """One row per merged spot: weighted centroid, spreads about it, brightest frame.
+
+    The spreads are moments about the centroid, from a second aggregate on the same keys;
+    a difference of two large sums would lose the narrow ones.
+    """
+    keys = [*by, "merged"]
     w = F.col("intensity")
     angle = F.radians("azim")
-    return (assigned.groupBy(*by, "merged").agg(
-        (F.sum(w * F.col("q")) / F.sum(w)).alias("q"),
-        F.degrees(F.atan2(F.sum(w * F.sin(angle)), F.sum(w * F.cos(angle)))).alias("azim"),
-        F.sqrt(F.greatest(F.sum(w * F.col("q") ** 2) / F.sum(w) - F.pow(F.sum(w * F.col("q")) / F.sum(w), 2), F.lit(0.0))).alias("q_width"),
+    rows = assigned.withColumn("_key", F.struct(*keys))
+    centre = rows.groupBy("_key").agg(
+        (F.sum(w * F.col("q")) / F.sum(w)).alias("_q"),
+        F.degrees(F.atan2(F.sum(w * F.sin(angle)), F.sum(w * F.cos(angle)))).alias("_azim"))
+    off_q, off_azim = F.col("q") - F.col("_q"), circular_difference(F.col("azim"), F.col("_azim"))
+    return (rows.join(centre, "_key").groupBy("_key").agg(
+        F.first("_q").alias("q"), F.first("_azim").alias("azim"),
+        F.sqrt(F.sum(w * off_q * off_q) / F.sum(w)).alias("q_width"), F.sqrt(F.sum(w * off_azim * off_azim) / F.sum(w)).alias("azim_width"),
         F.max(w).alias("intensity"), F.sum("area").alias("area"), F.count_distinct("frame").alias("n_frames"),
-        F.max_by("frame", w).alias("best_frame")))
+        F.max_by("frame", F.struct(w, -F.col("frame"))).alias("best_frame"))
+        .select(*[F.col(f"_key.{k}").alias(k) for k in keys], "q", "azim", "q_width", "azim_width", "intensity", "area", "n_frames", "best_frame"))
 
 
 def link_spots(spots: DataFrame, by: Sequence[str], *, max_gap: int = 3, min_points: int = 3, q_rel: float = 0.05,

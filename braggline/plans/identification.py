@@ -276,11 +276,6 @@ def spot_patterns(spark, folder):
     return sp.integrate_masked(view(spark, folder, "cakes"), found)
 
 
-@query("detect_spots")
-def detect_spots(spark, folder):
-    return spots(spark, folder)
-
-
 def merged(spark, folder):
     found = spots(spark, folder).withColumn("id", F.concat_ws("-", "frame", "spot")).withColumn("ladder", F.floor(F.col("frame") / 10))
     return sp.consolidate(found.select("ladder", "frame", "id", "q", "azim", "intensity", "area"), ["ladder"], q_tol=0.02)
