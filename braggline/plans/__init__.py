@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fractions", "metadata", "signal", "crystal", "correlations", "shapes", "series", "identification", "spot_tracks", "live", "exports")
+MODULES = ("fractions", "metadata", "signal", "crystal", "correlations", "shapes", "series", "identification", "spot_tracks", "live", "ingest", "exports")
 
 
 def _load():

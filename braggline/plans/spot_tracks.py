@@ -52,7 +52,7 @@ def run(spark, folder):
     """The spot tables of all cakes; the run is the frames that have one."""
     cakes = view(spark, folder, "cakes")
     frames = states(spark, folder).join(cakes.select("frame").distinct(), "frame", "left_semi")
-    return st.track_spots(cakes, frames, view(spark, folder, "peaks"), link_q_rel=0.1, link_azim_tol=25.0, **DETECTION)
+    return st.track_spots(cakes, frames, view(spark, folder, "peaks"), link_q_rel=0.1, link_azim_tol=25.0, max_gap=10, min_points=2, **DETECTION)
 
 
 @query("detect_spots", BLOBS + """
