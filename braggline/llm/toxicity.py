@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, slices, texts, unit_hash
+from .common import id_crc, slices, texts, unit_hash, written
 
 GRAMS = (5, 7)
 BUCKETS = 1 << 18
@@ -115,8 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     """Learn from labelled rows for which ``learn`` (a column over the id ``doc_id``) holds.
 
     Of each class the ``sample`` ids of smallest hash are used, as far as ``sample_grams``
-    n-grams go; the classes take turns, so a bound that cuts leaves both alike.  An id labelled more than
-    once is toxic if one of its labels says so; null labels are none.
+    n-grams go; the classes take turns, so a bound that cuts leaves both alike.  The bound holds
+    before anything meets in the learning task.  An id labelled more than once is toxic if one of its
+    labels says so; null labels are none.  An id with several rows teaches once, by the text whose
+    n-grams come first in byte order.
     """
     known = (labels.select(F.col(key).alias("doc_id"), F.col(label).alias("toxic")).where(learn).where("doc_id is not null and toxic is not null")
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("draw", unit_hash("toxicity", F.col("doc_id").cast("string"))))
@@ -132,18 +134,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic"), batch.column("place")], ["grams", "toxic", "place"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, toxic, room = [], [], sample_grams
+        held, toxic = [], []
         for batch in batches:
-            for raw, y in zip(batch.column("grams").to_pylist(), batch.column("toxic").to_pylist()):
-                room -= len(raw) // 4
-                if room < 0:
-                    break
-                held.append(np.frombuffer(raw, "<i4"))
-                toxic.append(y)
+            held += [np.frombuffer(raw, "<i4") for raw in batch.column("grams").to_pylist()]
+            toxic += batch.column("toxic").to_pylist()
         weight, offset = fit(held, np.array(toxic, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([weight.astype("<f4").tobytes()], pa.binary()), pa.array([offset])], ["weight", "offset"])
 
-    model = (texts_of.mapInArrow(features, "grams binary, toxic int, place int").repartition(1).sortWithinPartitions("place", "toxic")
+    # The repeats of an id are folded in their tasks, then one text of each is left.
+    found = texts_of.mapInArrow(features, "grams binary, toxic int, place int").groupBy("toxic", "place").agg(F.min("grams").alias("grams"))
+    found = written(found, "toxicity-features")
+    # At most 2 * sample rows of three numbers stand in this window.
+    turn = Window.orderBy("place", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = (found.select("toxic", "place", (F.octet_length("grams") / 4).cast("bigint").alias("size"))
+            .withColumn("upto", F.sum("size").over(turn)).where(F.col("upto") <= sample_grams).select("toxic", "place"))
+    model = (found.join(F.broadcast(fits), ["toxic", "place"]).select("grams", "toxic", "place").repartition(1).sortWithinPartitions("place", "toxic")
              .mapInArrow(learned, "weight binary, offset double")).first()
     if model is None:  # no labelled text at all
         return fit([], np.zeros(0, np.int64))

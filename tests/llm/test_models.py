@@ -119,6 +119,19 @@ def test_bounded_sample_teaches_both_classes(spark):
     assert len(taught) == 8 and sum(i < 14 for i in taught) == 4
 
 
+def test_repeats_of_a_sampled_id_teach_once(spark):
+    rows = [(i, f"{'vile slur' if i % 2 else 'kind words'} number {i} and more of it", "en", "web") for i in range(24)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id bigint, toxic int")
+    once = toxicity.train(make_docs(spark, rows), labels, F.lit(True))
+    # A third of all rows repeat one id.
+    repeated = toxicity.train(make_docs(spark, rows + [rows[3]] * 12), labels, F.lit(True))
+    np.testing.assert_array_equal(once[0], repeated[0])
+    assert once[1] == repeated[1]
+    # Whole texts are left out once the next one passes the bound; nothing is left below the first.
+    none, offset = toxicity.train(make_docs(spark, rows), labels, F.lit(True), sample_grams=5)
+    assert not none.any() and np.isfinite(offset)
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (8, 0), (8, None), (None, 1), (5, 0), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd_docs, labels, F.lit(True))
