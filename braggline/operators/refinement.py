@@ -28,24 +28,21 @@ def match_groups(histograms: DataFrame, groups: DataFrame) -> DataFrame:
     """Group whose longest alias occurs in the histogram name.
 
     Containment becomes an equi-join by spelling out the substrings of the
-    (short) histogram key.  Two groups tied at the longest alias set
-    ``ambiguous``.
+    (short) histogram key, of the lengths that aliases have.  Two groups tied at the
+    longest alias set ``ambiguous``.  Names and groups grow with the series, so no side is broadcast.
     """
+    aliases = group_aliases(groups)
     key = name_key(F.col("name"))
-    size = F.length("_key")
-    pieces = (histograms.select("name", key.alias("_key"))
-              .withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(size - MIN_ALIAS + 1, F.lit(1)))))
-              .withColumn("_len", F.explode(F.sequence(F.lit(MIN_ALIAS),
-                                                       F.greatest(size - F.col("_at") + 1, F.lit(MIN_ALIAS)))))
-              .select("name", F.substr("_key", "_at", "_len").alias("alias")).distinct())
-    hits = (pieces.join(group_aliases(groups), "alias")
-            .groupBy("name", "group_id").agg(F.max(F.length("alias")).alias("length")))
-    best = hits.groupBy("name").agg(F.max(F.struct("length", "group_id")).alias("_best"),
-                                    F.max("length").alias("_length"))
-    ties = (hits.join(best, "name").where(F.col("length") == F.col("_length"))
-            .groupBy("name").agg(F.count(F.lit(1)).alias("_ties")))
-    return (best.join(ties, "name")
-            .select("name", F.col("_best.group_id").alias("group_id"), (F.col("_ties") > 1).alias("ambiguous")))
+    lengths = aliases.select(F.length("alias").alias("n")).distinct().agg(F.collect_set("n")).scalar()
+    pieces = (histograms.select("name").distinct().select("name", key.alias("_key"))
+              .withColumn("_lens", lengths)
+              .select("name", "_key", F.explode(F.filter("_lens", lambda n: n <= F.length("_key"))).alias("_len"))
+              .select("name", "_key", "_len", F.explode(F.sequence(F.lit(1), F.length("_key") - F.col("_len") + 1)).alias("_at"))
+              .select("name", F.substr("_key", "_at", "_len").alias("alias")))
+    hits = pieces.join(aliases.hint("merge"), "alias").groupBy("name", "group_id").agg(F.max(F.length("alias")).alias("length"))
+    ranked = hits.groupBy("name", "length").agg(F.max("group_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    best = ranked.groupBy("name").agg(F.max(F.struct("length", "group_id", "n")).alias("_best"))
+    return best.select("name", F.col("_best.group_id").alias("group_id"), (F.col("_best.n") > 1).alias("ambiguous"))
 
 
 def frame_results(histograms: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -57,14 +54,15 @@ def frame_results(histograms: DataFrame, groups: DataFrame, members: DataFrame)
     """
     mapped = match_groups(histograms, groups)
     sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    by_group = (histograms.join(mapped.where(~F.col("ambiguous")), "name")
-                .join(sizes, "group_id").join(members, "group_id").drop("ambiguous"))
+    # Estimates of exploded and aggregated sides come out too small, so the joins are told not to broadcast.
+    by_group = (histograms.join(mapped.where(~F.col("ambiguous")).hint("merge"), "name")
+                .join(sizes.hint("merge"), "group_id").join(members.hint("merge"), "group_id").drop("ambiguous"))
     number = F.regexp_extract(F.col("name"), r"(?i)frame[^0-9]*(\d+)", 1).try_cast("long")
-    rest = (histograms.join(mapped.select("name"), "name", "left_anti")
+    rest = (histograms.join(mapped.select("name").hint("merge"), "name", "left_anti")
             .withColumn("frame", number).where(F.col("frame").isNotNull())
             .withColumn("group_size", F.lit(1).cast("long")))
     clear = by_group.drop("group_id").unionByName(rest).withColumn("ambiguous", F.lit(False))
-    tied = histograms.join(mapped.where("ambiguous").select("name", "ambiguous"), "name")
+    tied = histograms.join(mapped.where("ambiguous").select("name", "ambiguous").hint("merge"), "name")
     return clear.unionByName(tied, allowMissingColumns=True)
 
 
