@@ -27,3 +27,29 @@ def test_groups_of_names(spark):
     assert got == [("alpha-1", 10, 1, False), ("beta one", None, None, True), ("frame 7", 7, 1, False), ("run alpha-12", 20, 2, False), ("run alpha-12", 21, 2, False)]
     empty = refinement.frame_results(histograms, groups.limit(0), members)
     assert [(r.name, r.frame) for r in empty.collect()] == [("frame 7", 7)]
+
+
+def test_lines_alike_on_all_frames_are_not_copied_to_them(spark):
+    from pyspark.sql import functions as F
+    from braggline.operators import identify as idn
+    seen = spark.range(400).select(
+        (F.col("id") % 40).alias("frame"), F.concat(F.lit("o"), "id").alias("obs"), (1 + F.rand(1) * 1.5).alias("d"),
+        F.when(F.col("id") % 7 != 0, F.rand(2) * 0.03).alias("d_err"), (F.rand(3) * 9).alias("amplitude")).localCheckpoint()
+    lines = spark.range(60).select(F.concat(F.lit("p"), F.col("id") % 3).alias("phase"), F.col("id").alias("line"), (0.8 + F.col("id") * 0.03).alias("pred_d"),
+                                   (0.1 + F.rand(4)).alias("w"))
+    lines = lines.withColumn("phase_rank", F.when(F.col("phase") == "p1", 0).otherwise(1)).localCheckpoint()
+    present = spark.range(90).select((F.col("id") % 45).alias("frame"), F.concat(F.lit("p"), (F.col("id") * 5 % 7) % 4).alias("phase"))
+    own = present.distinct().join(lines, "phase")
+    narrow = lambda rows, *more: rows.select(*[c for c in ("frame", "phase") if c in rows.columns], "line", "pred_d", *more)
+
+    def same(packed, long):
+        order = sorted(long.columns)
+        rounded = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*order).collect()), key=repr)
+        got = rounded(packed)
+        assert got and got == rounded(long)
+    plain = seen.drop("amplitude")
+    same(idn.band_candidates(narrow(lines), plain, 0.01, present=present), idn.band_candidates(narrow(own), plain, 0.01))
+    same(idn.match_one_to_one(narrow(lines), plain, 0.01, present), idn.match_one_to_one(narrow(own), plain, 0.01))
+    same(idn.attribute_peaks(seen.select("frame", "obs", "d"), narrow(lines, "phase_rank"), 0.01, present),
+         idn.attribute_peaks(seen.select("frame", "obs", "d"), narrow(own, "phase_rank"), 0.01))
+    same(idn.evidence(narrow(lines, "w"), seen, 0.01, present), idn.evidence(narrow(own, "w"), seen, 0.01))
