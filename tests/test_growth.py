@@ -53,3 +53,20 @@ def test_lines_alike_on_all_frames_are_not_copied_to_them(spark):
     same(idn.attribute_peaks(seen.select("frame", "obs", "d"), narrow(lines, "phase_rank"), 0.01, present),
          idn.attribute_peaks(seen.select("frame", "obs", "d"), narrow(own, "phase_rank"), 0.01))
     same(idn.evidence(narrow(lines, "w"), seen, 0.01, present), idn.evidence(narrow(own, "w"), seen, 0.01))
+
+
+def test_anchors_are_correlated_in_blocks(spark, monkeypatch):
+    import numpy as np
+    from braggline.operators import correlations as co
+    monkeypatch.setattr(co, "BLOCK_FRAMES", 4, raising=False)
+    rng = np.random.default_rng(3)
+    made = {(w, f): rng.normal(size=5).tolist() for w in (0, 1) for f in range(11)}
+    made[0, 2], made[1, 3] = None, [1.0] * 5
+    rows = spark.createDataFrame([(w, f, v) for (w, f), v in made.items()], "window int, frame long, profile array<double>")
+    out = co.anchor_correlations(rows, rows.where("frame % 5 = 0").select("frame"))
+    assert "CoGroup" in plan(out)
+    got = {(r.window, r.anchor, r.frame): r.direct for r in out.collect()}
+    assert set(got) == {(w, a, f) for w in (0, 1) for a in (0, 5, 10) for f in range(11) if f != a}
+    for (w, a, f), value in got.items():
+        void = made[w, f] is None or (w, f) == (1, 3)
+        assert value is None if void else value == pytest.approx(np.corrcoef(made[w, a], made[w, f])[0, 1], abs=1e-12)
