@@ -70,3 +70,29 @@ def test_anchors_are_correlated_in_blocks(spark, monkeypatch):
     for (w, a, f), value in got.items():
         void = made[w, f] is None or (w, f) == (1, 3)
         assert value is None if void else value == pytest.approx(np.corrcoef(made[w, a], made[w, f])[0, 1], abs=1e-12)
+
+
+def test_pressure_search_takes_blocks_of_pairs_on_all_cores(spark, monkeypatch):
+    import numpy as np
+    from braggline.operators import identify as idn
+    monkeypatch.setattr(idn, "BLOCK_VALUES", 12, raising=False)
+    rng = np.random.default_rng(5)
+    curve, weight = np.array([1.0, 1.3, 1.7])[:, None] * (1 - 0.004 * np.arange(11)), np.array([1.0, 0.7, 0.4])
+    curves = spark.createDataFrame([("a", float(w), c.tolist()) for w, c in zip(weight, curve)], "phase string, w double, curve array<double>")
+    seen = {f: np.sort(rng.uniform(0.9, 1.8, 1 + f % 4)) for f in range(30)}
+    observed = spark.createDataFrame([(f, float(d), 0.002 if d > 1.4 else None) for f, row in seen.items() for d in row], "frame long, d double, d_err double")
+    pairs = spark.createDataFrame([(f, "a", 2.0, 2.0 if f % 5 == 0 else 2.0 + f / 4, 1.0 + f * 1e-4) for f in seen], "frame long, phase string, low double, high double, thermal double")
+    out = idn.fit_pressures(pairs, observed, curves, 0.004, 0.0, 1.0, 30)
+    assert out.rdd.getNumPartitions() > 1
+
+    def plain(f, p):
+        at = min(int(p), 9)
+        pred = (curve[:, at] + (p - at) * (curve[:, at + 1] - curve[:, at])) * (1.0 + f * 1e-4)
+        near = [min(seen[f], key=lambda d: (abs(d - x), d)) for x in pred]
+        return sum(w * np.exp(-0.5 * ((x - d) / np.hypot(0.004 * x, 0.002 if d > 1.4 else 0.0)) ** 2) for w, x, d in zip(weight, pred, near))
+    got = {r.frame: r.p for r in out.collect()}
+    assert set(got) == set(seen)
+    for f, p in got.items():
+        high = 2.0 if f % 5 == 0 else 2.0 + f / 4
+        assert 2.0 <= p <= high
+        assert plain(f, p) >= max(plain(f, q) for q in np.linspace(2.0, high, 30)) - 1e-12
