@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import circular_difference
-from .joins import interval_join, sorted_stream
+from .joins import interval_join, sorted_stream, spread
 from .matching import in_windows
 from .ordered import with_island
 from .tracks import local_slope_center
@@ -33,36 +33,43 @@ def bright_cells(cakes: DataFrame, *, min_snr: float = 6.0, min_intensity: float
     return excess.join(noise, column).where(F.col("excess") > F.greatest(min_snr * F.col("sigma"), F.lit(min_intensity)))
 
 
-def label_blobs(a: np.ndarray, r: np.ndarray, n_azim: int) -> np.ndarray:
-    """Component label of each cell, 8-connected, azimuth wrapping round."""
-    index = {cell: k for k, cell in enumerate(zip(a.tolist(), r.tolist()))}
-    label = np.full(a.size, -1)
-    wrap = n_azim > 2
-    for seed in range(a.size):
-        if label[seed] >= 0:
-            continue
-        label[seed], todo = seed, [seed]
-        while todo:
-            k = todo.pop()
-            for da in (-1, 0, 1):
-                at = a[k] + da
-                at = at % n_azim if wrap else at
-                for dr in (-1, 0, 1):
-                    other = index.get((at, r[k] + dr))
-                    if other is not None and label[other] < 0:
-                        label[other] = seed
-                        todo.append(other)
-    return label
+def label_blobs(a: np.ndarray, r: np.ndarray, n_azim: int, frame: np.ndarray | None = None) -> np.ndarray:
+    """Component label of each cell, its first cell, 8-connected inside its frame, azimuth wrapping round."""
+    if not a.size:
+        return np.zeros(0, int)
+    a, r = a.astype(np.int64), r.astype(np.int64) - r.min() + 1
+    of = np.zeros(a.size, np.int64) if frame is None else np.unique(frame, return_inverse=True)[1]
+    rows, columns = max(n_azim, a.max() + 1) + 1, r.max() + 2
+    key = lambda at, ring: (of * rows + at) * columns + ring
+    cells = key(a, r)
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    one, two = [], []
+    for da, dr in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
+        beside = key((a + da) % n_azim if n_azim > 2 else a + da, r + dr)
+        place = np.minimum(np.searchsorted(cells, beside), a.size - 1)
+        met = np.flatnonzero(cells[place] == beside)
+        one.append(met)
+        two.append(order[place[met]])
+    one, two = np.concatenate(one), np.concatenate(two)
+    label = np.arange(a.size)
+    while True:
+        low = np.minimum(label[one], label[two])
+        now = label.copy()
+        np.minimum.at(now, one, low)
+        np.minimum.at(now, two, low)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
 
 
 def blob_rows(cells: pd.DataFrame, n_azim: int, bin_a: float, bin_r: float, min_pixels: int, max_azim: float,
-              max_radial: int) -> list[tuple]:
-    """Spots of one cake: sums over the labelled cells, positions told from each blob's brightest cell."""
-    if cells.empty:
-        return []
+              max_radial: int) -> pd.DataFrame:
+    """Spots of whole cakes: sums over the labelled cells, positions told from each blob's brightest cell, numbered by falling peak."""
     # The order of the cells decides ties and labels, so a task that runs again names the same spots.
-    cells = cells.sort_values(["abin", "rbin"]).reset_index(drop=True)
-    cells = cells.assign(blob=label_blobs(cells["abin"].to_numpy(), cells["rbin"].to_numpy(), n_azim))
+    cells = cells.sort_values(["frame", "abin", "rbin"]).reset_index(drop=True)
+    cells = cells.assign(blob=label_blobs(cells["abin"].to_numpy(), cells["rbin"].to_numpy(), n_azim, cells["frame"].to_numpy()))
     top = cells.loc[cells.groupby("blob")["excess"].idxmax()].set_index("blob")
     half = n_azim // 2
     cells["turn"] = bin_a * ((cells["abin"] - cells["blob"].map(top["abin"]) + half) % n_azim - half)
@@ -81,25 +88,36 @@ def blob_rows(cells: pd.DataFrame, n_azim: int, bin_a: float, bin_r: float, min_
     angle = np.radians(cells["azim"])
     by = cells.groupby("blob")
     out = pd.DataFrame({
-        "q": mean(cells["radial"]), "azim": np.degrees(np.arctan2(mean(np.sin(angle)), mean(np.cos(angle)))), "peak": top["excess"], "sum": by["excess"].sum(),
-        "snr": (top["excess"] / top["sigma"].where(top["sigma"] > 0)).fillna(math.inf), "q_width": width(cells["radial"], bin_r), "azim_width": width(cells["turn"], bin_a),
-        "n": by.size(), "q_peak": top["radial"]})
+        "frame": top["frame"], "q": mean(cells["radial"]), "azim": np.degrees(np.arctan2(mean(np.sin(angle)), mean(np.cos(angle)))),
+        "intensity": top["excess"], "area": by["excess"].sum(), "snr": (top["excess"] / top["sigma"].where(top["sigma"] > 0)).fillna(math.inf),
+        "q_width": width(cells["radial"], bin_r), "azim_width": width(cells["turn"], bin_a), "n_pixels": by.size(), "q_peak": top["radial"]})
     spans = (by["rbin"].max() - by["rbin"].min() + 1 <= max_radial) & (by["turn"].max() - by["turn"].min() + bin_a <= max_azim)
-    kept = out[(out["n"] >= min_pixels) & spans]
-    return list(kept.itertuples(index=False, name=None))
+    kept = out[(out["n_pixels"] >= min_pixels) & spans]
+    kept = kept.iloc[np.lexsort((kept.index, -kept["intensity"], kept["frame"]))]
+    return kept.assign(spot=kept.groupby("frame").cumcount())[["frame", "spot", *SPOT_COLUMNS, "q_peak"]]
 
 
 def blob_spots(cakes: DataFrame, *, n_azim: int, bin_a: float, bin_r: float, min_pixels: int = 2,
                max_azim: float = 45.0, max_radial: int = 30, exclude_windows: Sequence[tuple[float, float]] = (), **thresholds) -> DataFrame:
-    """Blobs of bright cells per frame, with ``q_peak`` of the brightest cell; one cake is bounded by the detector."""
-    def one(key, cells: pd.DataFrame) -> pd.DataFrame:
-        rows = blob_rows(cells, n_azim, bin_a, bin_r, min_pixels, max_azim, max_radial)
-        return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(sorted(rows, key=lambda r: -r[2]))],
-                            columns=["frame", "spot", *SPOT_COLUMNS, "q_peak"])
+    """Blobs of bright cells per frame, with ``q_peak`` of the brightest cell.
+
+    Cells are streamed in order of their frame and the whole cakes of a batch are taken together;
+    only the last one, bounded by the detector, waits for the next batch.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for cells in batches:
+            cells = cells if waiting is None else pd.concat([waiting, cells], ignore_index=True)
+            whole = cells["frame"] != cells["frame"].iloc[-1] if len(cells) else []
+            waiting = cells[~whole] if len(cells) else None
+            if len(cells) and whole.any():
+                yield blob_rows(cells[whole], n_azim, bin_a, bin_r, min_pixels, max_azim, max_radial)
+        if waiting is not None:
+            yield blob_rows(waiting, n_azim, bin_a, bin_r, min_pixels, max_azim, max_radial)
 
     kinds = ", ".join(f"{c} {'int' if c == 'n_pixels' else 'double'}" for c in SPOT_COLUMNS)
-    spots = bright_cells(cakes, **thresholds).groupBy("frame").applyInPandas(
-        one, f"frame bigint, spot int, {kinds}, q_peak double")
+    bright = bright_cells(cakes, **thresholds).select("frame", "abin", "rbin", "azim", "radial", "excess", "sigma")
+    spots = spread(bright, "frame").sortWithinPartitions("frame").mapInPandas(run, f"frame bigint, spot int, {kinds}, q_peak double")
     return spots.where(~in_windows(F.col("q_peak"), exclude_windows)) if exclude_windows else spots
 
 

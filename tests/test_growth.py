@@ -96,3 +96,38 @@ def test_pressure_search_takes_blocks_of_pairs_on_all_cores(spark, monkeypatch):
         high = 2.0 if f % 5 == 0 else 2.0 + f / 4
         assert 2.0 <= p <= high
         assert plain(f, p) >= max(plain(f, q) for q in np.linspace(2.0, high, 30)) - 1e-12
+
+
+def test_cakes_of_a_batch_are_taken_together(spark, monkeypatch):
+    import numpy as np
+    from braggline.operators import spots as sp
+    rng = np.random.default_rng(8)
+    rows = [(f, int(a), -180.0 + 10 * int(a), int(r), 1 + 0.05 * int(r), float(rng.uniform(50, 60) + (500 if rng.random() < 0.12 else 0)))
+            for f in range(40) for a in range(36) for r in range(12)]
+    cakes = spark.createDataFrame(rows, "frame long, abin int, azim double, rbin int, radial double, y double")
+    options = dict(min_snr=6.0, min_intensity=20.0, min_samples=12)
+    found = sp.blob_spots(cakes, n_azim=36, bin_a=10.0, bin_r=0.05, max_azim=60.0, max_radial=6, **options)
+    assert found.rdd.getNumPartitions() > 1 and "MapInPandas" in plan(found)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.frame, []).append((r.spot, r.n_pixels, round(r.area, 6), round(r.intensity, 6)))
+    bright = {}
+    for r in sp.bright_cells(cakes, **options).collect():
+        bright.setdefault(r.frame, {})[r.abin, r.rbin] = r.excess
+    for frame, cells in bright.items():
+        left, want = dict(cells), []
+        while left:
+            todo = [min(left)]
+            blob = {todo[0]: left.pop(todo[0])}
+            while todo:
+                a, r = todo.pop()
+                for other in [((a + i) % 36, r + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if other in left:
+                        blob[other] = left.pop(other)
+                        todo.append(other)
+            top = max(blob, key=lambda c: (blob[c], [-x for x in c]))
+            turns = [(a - top[0] + 18) % 36 - 18 for a, _ in blob]
+            rings = [r for _, r in blob]
+            if len(blob) > 1 and max(rings) - min(rings) < 6 and 10 * (max(turns) - min(turns)) + 10 <= 60:
+                want.append((len(blob), round(sum(blob.values()), 6), round(max(blob.values()), 6)))
+        assert sorted(got.get(frame, [])) == [(i, *w) for i, w in enumerate(sorted(want, key=lambda w: -w[2]))]
