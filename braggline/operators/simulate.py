@@ -6,12 +6,17 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .joins import spread, task_count
 from .ranking import simulate
 
+#: Salts per task that samples are dealt to.
+SALTS = 8
+
 
 @dataclass(frozen=True)
 class Augment:
@@ -83,16 +88,37 @@ def augmented(rng: np.random.Generator, grid, centers, weights, cfg: Augment) ->
     return y / y.max() if y.max() > 0 else y
 
 
-def augmented_patterns(samples: DataFrame, grid: Sequence[float], seed: int = 0, cfg: Augment = Augment()) -> DataFrame:
-    """Add ``pattern`` to rows of ``id, centers, weights``; repeatable for any partitioning."""
-    target = np.asarray(grid, float)
+def augmented_patterns(samples: DataFrame, shapes: DataFrame, grid: Sequence[float], seed: int = 0, cfg: Augment = Augment()) -> DataFrame:
+    """``id, phase, pattern`` for rows of ``id, phase``; repeatable for any partitioning.
 
-    @F.pandas_udf("array<double>")
-    def kernel(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, centers, weights in batches:
-            yield pd.Series([augmented(np.random.default_rng([seed, int(i)]), target, np.asarray(c, float),
-                                       np.asarray(w, float), cfg).tolist() for i, c, w in zip(ids, centers, weights)], dtype=object)
-    return samples.withColumn("pattern", kernel("id", "centers", "weights"))
+    ``shapes`` is ``phase, centers, weights``.  Samples are dealt to salts by a hash of their id, each of which gets the
+    shapes once; a salt is streamed phase by phase with one shape in memory, so no lines travel with
+    a sample and a phase that most samples share is spread over all tasks.
+    """
+    target = np.asarray(grid, float)
+    salts = SALTS * task_count(samples.sparkSession)
+    none = F.lit(None).cast("array<double>")
+    rows = samples.select(F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"), "phase", F.lit(1).alias("_kind"), "id", none.alias("centers"), none.alias("weights"))
+    lines = shapes.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "phase", F.lit(0).alias("_kind"),
+                          F.lit(None).cast(samples.schema["id"].dataType).alias("id"), F.col("centers").cast("array<double>").alias("centers"), F.col("weights").cast("array<double>").alias("weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = centers = weights = None
+        for batch in batches:
+            kept, made = [], []
+            for i, (salt, phase, kind, one) in enumerate(zip(*[batch[c].to_pylist() for c in ("_salt", "phase", "_kind", "id")])):
+                if kind == 0:
+                    now, centers, weights = (salt, phase), *[np.asarray(batch[c][i].as_py(), float) for c in ("centers", "weights")]
+                elif (salt, phase) == now:
+                    kept.append(i)
+                    made.append(augmented(np.random.default_rng([seed, one]), target, centers, weights, cfg))
+            flat = np.concatenate(made) if made else np.zeros(0)
+            places = pa.array(np.arange(len(made) + 1) * target.size, pa.int32())
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["phase"].take(at), pa.ListArray.from_arrays(places, pa.array(flat))], names=["id", "phase", "pattern"])
+
+    schema = T.StructType([samples.schema["id"], samples.schema["phase"], T.StructField("pattern", T.ArrayType(T.DoubleType()))])
+    return spread(rows.unionByName(lines), "_salt").sortWithinPartitions("_salt", "phase", "_kind").mapInArrow(run, schema)
 
 
 def scoring_pairs(samples: DataFrame, library: DataFrame, wrong_offset: float = 10.0) -> DataFrame:

@@ -328,10 +328,10 @@ def scoring_pairs(spark, folder):
 @query("augmented_patterns")
 def augmented_patterns(spark, folder):
     lines = view(spark, folder, "reflections").groupBy("phase").agg(F.sort_array(F.collect_list(F.struct("d", "w"))).alias("l"))
-    samples = (view(spark, folder, "frames").select(F.col("frame").alias("id")).join(
-        mixtures(spark, folder).groupBy("id").agg(F.min("phase").alias("phase")), "id").join(lines, "phase")
-        .select("id", "phase", F.col("l.d").alias("centers"), F.col("l.w").alias("weights")))
-    out = sm.augmented_patterns(samples, GRID, seed=7)
+    samples = view(spark, folder, "frames").select(F.col("frame").alias("id")).join(
+        mixtures(spark, folder).groupBy("id").agg(F.min("phase").alias("phase")), "id").select("id", "phase")
+    shapes = lines.select("phase", F.col("l.d").alias("centers"), F.col("l.w").alias("weights"))
+    out = sm.augmented_patterns(samples, shapes, GRID, seed=7)
     return out.select("id", "phase", F.aggregate("pattern", F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max("pattern").alias("peak"))
 
 

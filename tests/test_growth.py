@@ -131,3 +131,19 @@ def test_cakes_of_a_batch_are_taken_together(spark, monkeypatch):
             if len(blob) > 1 and max(rings) - min(rings) < 6 and 10 * (max(turns) - min(turns)) + 10 <= 60:
                 want.append((len(blob), round(sum(blob.values()), 6), round(max(blob.values()), 6)))
         assert sorted(got.get(frame, [])) == [(i, *w) for i, w in enumerate(sorted(want, key=lambda w: -w[2]))]
+
+
+def test_augmented_patterns_are_spread_whatever_their_phase(spark):
+    import numpy as np
+    from braggline.operators import simulate as sm
+    grid = np.linspace(1.5, 3.0, 40)
+    shapes = {"a": ([1.6, 2.2, 2.9], [1.0, 0.5, 0.2]), "b": ([1.8, 2.5], [0.3, 1.0])}
+    samples = spark.createDataFrame([(i, "b" if i % 50 == 0 else "c" if i == 7 else "a") for i in range(200)], "id long, phase string")
+    lines = spark.createDataFrame([(p, c, w) for p, (c, w) in shapes.items()], "phase string, centers array<double>, weights array<double>")
+    out = sm.augmented_patterns(samples, lines, grid, seed=3)
+    assert out.rdd.getNumPartitions() > 1
+    got = {r.id: (r.phase, r.pattern) for r in out.collect()}
+    assert set(got) == set(range(200)) - {7}
+    for i, (phase, pattern) in got.items():
+        centers, weights = (np.asarray(v) for v in shapes[phase])
+        assert pattern == sm.augmented(np.random.default_rng([3, i]), grid, centers, weights, sm.Augment()).tolist()
