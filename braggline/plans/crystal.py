@@ -322,7 +322,9 @@ def nearest_line(spark, folder):
     obs = view(spark, folder, "peaks").where("phase <> ''").select(
         "peak_id", "phase", axis.radial_to_d(F.col("center"), "q").alias("d"))
     lines = view(spark, folder, "reflections").select("phase", F.col("d").alias("line_d"))
-    out = nearest_join(obs, lines, ["phase"], "d", "line_d", 0.5)
+    # Peaks at one place have one nearest line, so a place is looked up once however many peaks lie there.
+    places = nearest_join(obs.select("phase", "d").distinct(), lines, ["phase"], "d", "line_d", 0.05)
+    out = obs.join(places, ["phase", "d"])
     return out.select("peak_id", "phase", F.round("d", 9).alias("d"), F.round("gap", 9).alias("gap")).distinct()
 
 

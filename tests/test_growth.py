@@ -147,3 +147,12 @@ def test_augmented_patterns_are_spread_whatever_their_phase(spark):
     for i, (phase, pattern) in got.items():
         centers, weights = (np.asarray(v) for v in shapes[phase])
         assert pattern == sm.augmented(np.random.default_rng([3, i]), grid, centers, weights, sm.Augment()).tolist()
+
+
+def test_nearest_line_orders_places_not_peaks(spark, monkeypatch):
+    from braggline.operators import joins
+    given = []
+    real = joins.nearest_join
+    monkeypatch.setattr(joins, "nearest_join", lambda left, *rest, **more: given.append(left) or real(left, *rest, **more))
+    QUERIES["nearest_line"](spark, FOLDER)
+    assert given[0].columns == ["phase", "d"] and given[0].count() == given[0].distinct().count()
