@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metadata as md
+from .joins import spread
 from .ordered import with_previous, with_rank
 
 VALUE_KEYS = ("pressure", "pressure_sigma", "temperature", "pos_x", "pos_y")
@@ -165,8 +166,11 @@ def order_frames(frames: DataFrame, by: Sequence[str], axis: str, width: float)
 
 
 def expand_sources(files: DataFrame) -> DataFrame:
-    """One row per frame out of ``file, dataset, n_frames`` container rows."""
-    return (files.where(F.col("n_frames") > 0)
+    """One row per frame out of ``file, dataset, n_frames`` container rows.
+
+    A container is short and becomes a row per frame, so a task gets few of them whatever their bytes.
+    """
+    return (spread(files.where(F.col("n_frames") > 0), "file")
             .withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1)))
             .withColumn("source", F.concat("file", F.lit("::"), "dataset", F.lit("#"),
                                            F.lpad(F.col("index").cast("string"), 6, "0"))))

@@ -159,10 +159,12 @@ union all select filename, null, null, null, false, string_split(filename, '/')[
 def parse_frame_spec(spark, folder):
     src = (op.expand_sources(stacks(spark, folder)).select("source")
            .unionByName(view(spark, folder, "frames").select(F.col("filename").alias("source"))))
-    spec, stacked = md.parse_stack_spec(F.col("source")), md.is_stack_spec(F.col("source"))
-    return src.select("source", *[F.when(stacked, spec[c]).alias(c) for c in ("file", "dataset", "index")],
-                      stacked.alias("is_stack"),
-                      md.display_name(F.col("source"), "data").alias("display"))
+    # Each part is parsed once, in a column of its own.
+    parsed = md.parse_stack_spec(F.col("source"))
+    src = src.select("source", md.is_stack_spec(F.col("source")).alias("is_stack"), *[parsed[c].alias(f"_{c}") for c in ("file", "dataset", "index")])
+    spec, stacked = {c: F.col(f"_{c}") for c in ("file", "dataset", "index")}, F.col("is_stack")
+    return src.select("source", *[F.when(stacked, spec[c]).alias(c) for c in ("file", "dataset", "index")], "is_stack",
+                      md.display_name(F.col("source"), "data", spec, stacked).alias("display"))
 
 
 def stacks(spark, folder):

@@ -156,3 +156,12 @@ def test_nearest_line_orders_places_not_peaks(spark, monkeypatch):
     monkeypatch.setattr(joins, "nearest_join", lambda left, *rest, **more: given.append(left) or real(left, *rest, **more))
     QUERIES["nearest_line"](spark, FOLDER)
     assert given[0].columns == ["phase", "d"] and given[0].count() == given[0].distinct().count()
+
+
+def test_containers_are_spread_before_their_frames_are_listed(spark):
+    from pyspark.sql import functions as F
+    from braggline.operators import metadata as md
+    files = spark.range(40).coalesce(1).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("d").alias("dataset"), (F.col("id") % 4).alias("n_frames"))
+    out = md.expand_sources(files)
+    assert out.rdd.getNumPartitions() > 1
+    assert sorted(r.source for r in out.collect()) == sorted(f"f{i}::d#{k:06d}" for i in range(40) for k in range(i % 4))
