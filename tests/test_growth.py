@@ -165,3 +165,21 @@ def test_containers_are_spread_before_their_frames_are_listed(spark):
     out = md.expand_sources(files)
     assert out.rdd.getNumPartitions() > 1
     assert sorted(r.source for r in out.collect()) == sorted(f"f{i}::d#{k:06d}" for i in range(40) for k in range(i % 4))
+
+
+def test_windows_of_a_frame_meet_without_a_join(spark):
+    assert "Join" not in plan(QUERIES["within_frame_acf"](spark, FOLDER))
+
+
+def test_window_kernels_hold_few_rows_at_once():
+    import numpy as np
+    import pandas as pd
+    from braggline.operators import background as bg
+    from braggline.operators import correlations as co
+    rows = pd.Series(list(np.random.default_rng(0).normal(size=(2 * bg.KERNEL_ROWS + 5, 12))))
+    made = list(co.autocorrelation.func(iter([rows])))
+    assert [len(part) for part in made] == [bg.KERNEL_ROWS, bg.KERNEL_ROWS, 5]
+    both = list(co.pearson.func(iter([(rows, rows[::-1].reset_index(drop=True))])))
+    assert [len(part) for part in both] == [bg.KERNEL_ROWS, bg.KERNEL_ROWS, 5]
+    want = co.pearson_rows(np.stack(rows), np.stack(rows)[::-1])
+    np.testing.assert_array_equal(pd.concat(both).to_numpy(float), want)
