@@ -183,3 +183,17 @@ def test_window_kernels_hold_few_rows_at_once():
     assert [len(part) for part in both] == [bg.KERNEL_ROWS, bg.KERNEL_ROWS, 5]
     want = co.pearson_rows(np.stack(rows), np.stack(rows)[::-1])
     np.testing.assert_array_equal(pd.concat(both).to_numpy(float), want)
+
+
+def test_roi_features_without_profiles(spark):
+    from pyspark.sql import functions as F
+    from braggline.operators import correlations as co
+    assert "Window" not in plan(QUERIES["roi_features"](spark, FOLDER))
+    axis = [1 + 0.05 * i for i in range(20)]
+    values = F.transform(F.sequence(F.lit(1), F.when(F.col("id") % 5 == 0, 25).otherwise(20)), lambda i: F.when(
+        (F.col("id") % 3 != 0) | (i % 7 != 0), F.sin(F.col("id") * i)))
+    rows = spark.range(1300).select("id", (0.95 + F.col("id") % 37 * 0.03).alias("c"), (0.01 + F.col("id") % 11 * 0.02).alias("h"), F.when(F.col("id") % 101 != 0, values).alias("v"))
+    args = [F.col("c"), F.col("h"), F.col("v"), axis]
+    got = rows.select("id", co.roi_features(*args).alias("one"), co.roi_feature(co.roi_profiles(*args)).alias("two")).collect()
+    assert len(got) == 1300 and any(r.one is None for r in got) and sum(r.one is not None for r in got) > 1000
+    assert all(r.one == r.two for r in got)
