@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +19,29 @@ from .ordered import exact_quantiles, median_and_mad, with_island, with_previous
 LINK_FIELDS = ("position", "axis", "center", "amplitude", "fwhm")
 
 
+#: Observations of one series that are streamed in one piece; longer series are first cut where nothing can link.
+SERIES_ROWS = 1_000_000
+
+
+def local_slope(points: Sequence[tuple[float, float]]) -> float:
+    """Slope over the last four (axis, center) points; 0 where they tell none."""
+    recent = [(x, y) for x, y in points[-4:] if math.isfinite(x) and math.isfinite(y)]
+    n = len(recent)
+    if n < 2:
+        return 0.0
+    mx, my = sum(x for x, _ in recent) / n, sum(y for _, y in recent) / n
+    spread = cross = 0.0
+    for x, y in recent:
+        spread += (x - mx) * (x - mx)
+        cross += (x - mx) * (y - my)
+    return cross / spread if spread > 0 else 0.0
+
+
 def local_slope_center(points: list[tuple[float, float]], now: float) -> float:
     """Extrapolate the center from the slope over the last four (axis, center) points."""
     last_axis, last = points[-1]
-    recent = [(x, y) for x, y in points[-4:] if math.isfinite(x) and math.isfinite(y)]
-    if len(recent) < 2:
-        return last
-    x, y = np.array(recent).T
-    dx = x - x.mean()
-    spread = float(dx @ dx)
-    if spread <= 0 or x.max() <= x.min():
-        return last
-    return last + float(dx @ (y - y.mean())) / spread * (now - last_axis)
+    slope = local_slope(points)
+    return last + slope * (now - last_axis) if slope else last
 
 
 class Linker:
@@ -42,96 +53,146 @@ class Linker:
         self.predict, self.similarity, self.min_similarity = predict, similarity, min_similarity
         self.open: list[dict] = []
 
-    def advance(self, position: int, axis: float, rows: list[dict]) -> list[str]:
-        """Link the rows of one position and return the track id of each."""
+    def expected(self, track: dict, axis: float) -> float:
+        """Where the track is looked for; its slope changes with its points only."""
+        last_axis, last = track["points"][-1]
+        if not self.predict:
+            return last
+        if "slope" not in track:
+            track["slope"] = local_slope(track["points"])
+        return last + track["slope"] * (axis - last_axis) if track["slope"] else last
+
+    def pairs(self, axis: float, rows: list[dict]) -> list[tuple[float, int, int]]:
+        """Open tracks and rows within tolerance, closest first."""
+        near = []
+        sides = [(ri, row["center"], max(row["fwhm"], 1e-9)) for ri, row in enumerate(rows)]
+        for ti, t in enumerate(self.open):
+            expected, wide = self.expected(t, axis), t["fwhm"]
+            for ri, center, width in sides:
+                gap = abs(center - expected)
+                if gap <= self.tolerance * (wide if wide > width else width):
+                    near.append((gap, ti, ri))
+        near.sort()
+        return near
+
+    def assign(self, position: int, axis: float, rows: list[dict]) -> list[dict]:
+        """Link the rows of one position and return the track of each."""
         self.open = [t for t in self.open if position - t["position"] <= self.max_gap + 1
                      and not (self.max_axis_gap is not None and abs(axis - t["points"][-1][0]) > self.max_axis_gap)]
-        pairs = []
-        for ti, t in enumerate(self.open):
-            expected = local_slope_center(t["points"], axis) if self.predict else t["points"][-1][1]
-            for ri, row in enumerate(rows):
-                gap = abs(row["center"] - expected)
-                if gap <= self.tolerance * max(t["fwhm"], row["fwhm"], 1e-9):
-                    pairs.append((gap, ti, ri))
         taken: dict[int, int] = {}
         used: set[int] = set()
-        for _, tied in groupby(sorted(pairs), key=lambda pair: pair[0]):
-            # The evidence is only scored for pairs that are still free.
-            still = [(0.0, ti, ri) for _, ti, ri in tied if ti not in used and ri not in taken]
+        near = self.pairs(axis, rows) if self.open else []
+        for _, tied in groupby(near, key=lambda pair: pair[0]) if self.similarity is not None else [(0.0, near)] if near else []:
+            still = tied
             if self.similarity is not None:
-                scored = [(-self.similarity(self.open[ti]["row"], rows[ri]), ti, ri) for _, ti, ri in still]
+                # The evidence is only scored for pairs that are still free.
+                free = [(ti, ri) for _, ti, ri in tied if ti not in used and ri not in taken]
+                scored = [(-self.similarity(self.open[ti]["row"], rows[ri]), ti, ri) for ti, ri in free]
                 still = sorted(c for c in scored if math.isfinite(c[0]) and -c[0] >= self.min_similarity)
             for _, ti, ri in still:
                 if ti not in used and ri not in taken:
                     taken[ri] = ti
                     used.add(ti)
-        ids = []
+        tracks = []
         for ri, row in enumerate(rows):
             if ri in taken:
                 t = self.open[taken[ri]]
+                t["points"] = [*t["points"][-3:], (axis, row["center"])]
+                t.pop("slope", None)
             else:
-                t = {"id": row["obs"], "points": []}
+                t = {"id": row["obs"], "points": [(axis, row["center"])]}
                 self.open.append(t)
             t.update(position=position, fwhm=row["fwhm"], row=row if self.similarity else None)
-            t["points"] = [*t["points"][-3:], (axis, row["center"])]
-            ids.append(t["id"])
-        return ids
+            tracks.append(t)
+        return tracks
+
+    def advance(self, position: int, axis: float, rows: list[dict]) -> list[str]:
+        """``assign`` with the id of each track."""
+        return [t["id"] for t in self.assign(position, axis, rows)]
 
 
 def link_tracks(obs: DataFrame, by: Sequence[str], *, link_tol: float = 1.5, max_gap: int = 2,
                 min_points: int = 3, max_axis_gap: float | None = None, predict: bool = False,
                 similarity: Callable | None = None, min_similarity: float = 0.0,
-                extra: Sequence[str] = (), chunk: float = 1.0) -> DataFrame:
+                extra: Sequence[str] = (), attached: DataFrame | None = None, chunk: float = 1.0,
+                series_rows: int = SERIES_ROWS) -> DataFrame:
     """Chain observations into tracks, closest pair first, one to one per position.
 
     ``obs`` carries ``obs`` (an id), ``position`` (place of the frame in its
-    series), ``axis``, ``center``, ``amplitude`` and ``fwhm``.  Observations
+    series), ``axis``, ``center``, ``amplitude`` and ``fwhm``; ``extra`` columns, and those that ``attached`` has
+    beside ``position``, are there for ``similarity``.  A series is streamed in order with its open tracks in memory,
+    and a track is held back until it has ``min_points``.
+
+    A series of more than ``series_rows`` observations is cut first.  Observations
     further apart than the widest tolerance never share a track, and neither do
-    those with a longer silence than ``max_gap``; the series is cut there first.
+    those with a longer silence than ``max_gap``.
     With a predictor only the silences cut it, because a prediction may leave its
-    neighbourhood.  A piece is streamed in order with its open tracks in memory.
+    neighbourhood.
     """
     by = list(by)
-    keys = [*by]
     rows = obs.select(*by, "obs", *LINK_FIELDS, *extra)
+    stream = lambda some, keys: linked_stream(
+        some if attached is None else some.join(attached, "position"), by, keys, rows.schema, min_points,
+        lambda: Linker(link_tol, max_gap, max_axis_gap, predict, similarity, min_similarity))
+    # At most one key per ``series_rows`` observations.
+    long = checkpointed(obs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > series_rows).select(*by))
+    if long.isEmpty():
+        return stream(rows, by)
+    keys, hot = [*by], rows.join(long, by, "left_semi")
     if not predict:
         reach = obs.select(F.max("fwhm") * link_tol).scalar()
-        rows = with_island(rows, by, ["center", "obs"], "center", chunk, F.greatest(reach, F.lit(1e-9)), "_band")
+        hot = with_island(hot, by, ["center", "obs"], "center", chunk, F.greatest(reach, F.lit(1e-9)), "_band")
         keys.append("_band")
-    rows = with_island(rows, keys, ["position", "obs"], "position", 256.0, float(max_gap + 1), "_run")
-    keys.append("_run")
-    schema = T.StructType([*[rows.schema[k] for k in by], T.StructField("track", T.StringType()), rows.schema["obs"],
-                           *[rows.schema[c] for c in LINK_FIELDS]])
+    hot = with_island(hot, keys, ["position", "obs"], "position", 256.0, float(max_gap + 1), "_run")
+    cut = stream(hot, [*keys, "_run"])
+    return stream(rows.join(long, by, "left_anti"), by).unionByName(cut)
+
+
+def linked_stream(rows: DataFrame, by: list[str], keys: list[str], fields: T.StructType, min_points: int, linker_of: Callable[[], Linker]) -> DataFrame:
+    """The points of all tracks of ``min_points`` or more; each key of ``keys`` is streamed by position with a linker of its own."""
+    schema = T.StructType([*[fields[k] for k in by], T.StructField("track", T.StringType()), fields["obs"],
+                           *[fields[c] for c in LINK_FIELDS]])
     columns = schema.names
+    names = [c for c in rows.columns if c not in keys]
+    n_by = len(by)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         linker, key_now, waiting = None, None, []
 
-        def flush() -> list[tuple]:
+        def flush(out: list[tuple]) -> None:
             if not waiting:
-                return []
+                return
             first = waiting[0]
-            ids = linker.advance(first["position"], first["axis"], waiting)
-            return [(*[r[k] for k in by], i, r["obs"], *[r[c] for c in LINK_FIELDS]) for i, r in zip(ids, waiting)]
+            for t, r in zip(linker.assign(first["position"], first["axis"], waiting), waiting):
+                row = (*key_now[:n_by], t["id"], r["obs"], r["position"], r["axis"], r["center"], r["amplitude"], r["fwhm"])
+                held = t.setdefault("held", [])
+                # A track that is long enough holds nothing back any more.
+                if held is None:
+                    out.append(row)
+                elif len(held) + 1 >= min_points:
+                    out += [*held, row]
+                    t["held"] = None
+                else:
+                    held.append(row)
 
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                key = tuple(row[k] for k in keys)
+            out: list[tuple] = []
+            of = [pdf[k].astype(object).where(pdf[k].notna(), None).tolist() if pdf[k].hasnans else pdf[k].tolist() for k in keys]
+            for key, values in zip(zip(*of) if of else [()] * len(pdf), zip(*[pdf[c].tolist() for c in names])):
+                row = dict(zip(names, values))
                 if key != key_now:
-                    out += flush()
-                    linker, key_now, waiting = Linker(link_tol, max_gap, max_axis_gap, predict,
-                                                      similarity, min_similarity), key, []
+                    flush(out)
+                    linker, key_now, waiting = linker_of(), key, []
                 elif waiting and row["position"] != waiting[0]["position"]:
-                    out += flush()
+                    flush(out)
                     waiting = []
                 waiting.append(row)
             yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(flush(), columns=columns)
+        out = []
+        flush(out)
+        yield pd.DataFrame(out, columns=columns)
 
-    linked = sorted_stream(rows, keys, ["position", "obs"], step, schema)
-    long_enough = linked.groupBy(*by, "track").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
-    return linked.join(long_enough.select(*by, "track"), [*by, "track"], "left_semi")
+    return sorted_stream(rows, keys, ["position", "obs"], step, schema)
 
 
 def track_summary(points: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
@@ -150,25 +211,51 @@ def track_edges(points: DataFrame, by: Sequence[str] = ("series",), chunk: float
         (F.col("center") - F.col("prev_center")).alias("shift"))
 
 
+#: Sets up to this size are joined on pairs of their rarest items.
+PAIR_SIZE = 8
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct sets with Jaccard similarity of at least ``threshold``.
 
     ``sets`` is ``id, items``.  Two such sets share one of their rarest items,
     so only those are joined; sizes must agree within the threshold.  A common
-    item appears in a prefix only where a set has nothing rarer.
+    item appears in a prefix only where a set has nothing rarer.  Where both have at most ``PAIR_SIZE`` items
+    and must share two, they share two of a prefix one item longer, and such pairs of items are far rarer than items.
     """
     frequency = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("f"))
     ranked = (sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).join(frequency, "item")
               .groupBy("id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "item"))),
                                                   lambda s: s["item"]).alias("items")))
-    keep = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = ranked.withColumn("item", F.explode(F.slice("items", F.lit(1), keep)))
-    # One join key per size the partner may have keeps unequal sizes apart in hot items.
-    size = F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / threshold + 1e-9).cast("int")))
-    small = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"), "item", size.alias("nb"))
-    large = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"), "item")
+    n = F.col("n")
+    least, most = lambda n: math.ceil(threshold * n - 1e-9), lambda n: math.floor(n / threshold + 1e-9)
+    shared = lambda a, b: math.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+    paired = lambda a, b: b <= PAIR_SIZE and shared(a, b) >= 2
+
+    def of_short(n: int, small: bool) -> list[tuple[int, int, int]]:
+        """Sizes and places of the one or two items of each key of a set of ``n``."""
+        sizes = [(n, m) for m in range(n, most(n) + 1)] if small else [(m, n) for m in range(max(least(n), 1), n + 1)]
+        pairs = [(a * (PAIR_SIZE + 1) + b, i, j) for a, b in sizes if paired(a, b)
+                 for j in range(n - shared(a, b) + 2) for i in range(j)]
+        single = {b for a, b in sizes if not paired(a, b)}
+        return pairs + [(-b, i, -1) for b in sorted(single) for i in range(n - least(n) + 1)]
+
+    def keys(small: bool) -> Column:
+        shape = "array<struct<s:bigint,i:int,j:int>>"
+        short = F.from_json(F.lit(json.dumps([[dict(zip("sij", k)) for k in of_short(n, small)] for n in range(PAIR_SIZE + 1)])), f"array<{shape}>")
+        places = F.sequence(F.lit(0), n - F.ceil(threshold * n - 1e-9).cast("int"))
+        sizes = F.sequence(n, F.floor(n / threshold + 1e-9).cast("int")) if small else F.array(n)
+        long = F.flatten(F.transform(sizes, lambda m: F.transform(places, lambda i: F.struct(
+            (-m).cast("bigint").alias("s"), i.alias("i"), F.lit(-1).alias("j")))))
+        return F.explode(F.when(n <= PAIR_SIZE, F.get(short, n)).otherwise(long))
+
+    # A key is a hash of sizes and items; what a collision brings together is settled by the sets.
+    key = F.xxhash64("_k.s", F.get("items", F.col("_k.i")), F.get("items", F.col("_k.j")))
+    keyed = lambda small: ranked.withColumn("_k", keys(small)).withColumn("_key", key)
+    small = keyed(True).select("_key", F.col("id").alias("a"), n.alias("na"), F.col("items").alias("ia"))
+    large = keyed(False).select("_key", F.col("id").alias("b"), n.alias("nb"), F.col("items").alias("ib"))
     # The sets travel with the keys, so a pair is settled where it meets and few pairs are shuffled.
-    met = small.join(large, ["item", "nb"]).where((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
+    met = small.join(large, "_key").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     both = F.size(F.array_intersect("ia", "ib"))
     scored = met.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold).distinct()

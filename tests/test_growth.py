@@ -197,3 +197,40 @@ def test_roi_features_without_profiles(spark):
     got = rows.select("id", co.roi_features(*args).alias("one"), co.roi_feature(co.roi_profiles(*args)).alias("two")).collect()
     assert len(got) == 1300 and any(r.one is None for r in got) and sum(r.one is not None for r in got) > 1000
     assert all(r.one == r.two for r in got)
+
+
+@pytest.mark.parametrize("predict", [False, True])
+def test_long_series_link_as_short_ones(spark, predict):
+    from pyspark.sql import functions as F
+    from braggline.operators import tracks
+    rows = spark.range(900).select(
+        F.concat(F.lit("o"), "id").alias("obs"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("series"), F.floor(F.rand(1) * 90 + F.floor(F.rand(2) * 3) * 200).alias("position"),
+        (1 + F.rand(3) * 2).alias("center"), F.rand(4).alias("amplitude"), (0.02 + F.rand(5) * 0.05).alias("fwhm")).withColumn("axis", F.col("position").cast("double")).localCheckpoint()
+    link = lambda n: sorted(tuple(r) for r in tracks.link_tracks(rows.where("series > 0"), ["series"], predict=predict, series_rows=n).collect())
+    whole = link(10_000)
+    assert whole and whole == link(0)
+    # Short series are neither cut nor counted again after the linking; a null series is one of its own.
+    linked = tracks.link_tracks(rows, ["series"], predict=predict)
+    assert "Window" not in plan(linked) and "Join" not in plan(linked)
+    counts = linked.groupBy("series", "track").count().collect()
+    assert {r["series"] for r in counts} == {None, 1, 2} and min(r["count"] for r in counts) >= 3
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
+def test_similar_sets_short_and_long(spark, threshold):
+    import numpy as np
+    from braggline.operators import tracks
+    rng = np.random.default_rng(7)
+    sets = {frozenset(rng.choice(11, rng.integers(1, 12), replace=False).tolist()) for _ in range(160)}
+    named = {f"s{i:03d}": s for i, s in enumerate(sorted(sets, key=sorted))}
+    got = tracks.similar_sets(spark.createDataFrame([(k, sorted(v)) for k, v in named.items()], "id string, items array<long>"), threshold)
+    # Of two sets of one size the smaller id comes first, else the smaller set.
+    want = {(a, b): len(x & y) / len(x | y) for a, x in named.items() for b, y in named.items()
+            if (len(x), a) < (len(y), b) and len(x & y) / len(x | y) >= threshold}
+    assert {(r.a, r.b): r.jaccard for r in got.collect()} == want
+
+
+def test_short_sets_meet_on_pairs_of_items(spark):
+    from braggline.operators import tracks
+    sets = spark.createDataFrame([("a", [1, 2, 3]), ("b", [1, 2, 4])], "id string, items array<long>")
+    assert "xxhash64" in plan(tracks.similar_sets(sets, 0.5)) and tracks.similar_sets(sets, 0.5).count() == 1
