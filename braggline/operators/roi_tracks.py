@@ -32,13 +32,15 @@ def mutual_similarity(axis: Sequence[float]):
 def build_tracks(peaks: DataFrame, patterns: DataFrame, channel: str, axis: Sequence[float],
                  by: Sequence[str], *, min_similarity: float = MIN_SIMILARITY, **options) -> DataFrame:
     """Link peaks by position, gated by mutual ROI similarity; 0 switches the gate off."""
-    rows = (peaks.join(patterns.select("frame", F.col(channel).alias("profile")), "frame")
-            .select(*by, F.concat_ws("/", "peak_id", F.col("slot").cast("string")).alias("obs"),
-                    F.col("frame").alias("position"), F.col("frame").cast("double").alias("axis"), "center",
-                    F.coalesce("area", F.lit(0.0)).alias("amplitude"), F.col("width").alias("fwhm"), "half_width", "profile"))
-    gate = mutual_similarity(axis) if min_similarity > 0 else None
-    return link_tracks(rows, by, similarity=gate, min_similarity=min_similarity,
-                       extra=("half_width", "profile"), **options)
+    rows = peaks.join(patterns.select("frame").distinct(), "frame", "left_semi").select(
+        *by, F.concat_ws("/", "peak_id", F.col("slot").cast("string")).alias("obs"),
+        F.col("frame").alias("position"), F.col("frame").cast("double").alias("axis"), "center",
+        F.coalesce("area", F.lit(0.0)).alias("amplitude"), F.col("width").alias("fwhm"), "half_width")
+    if not min_similarity > 0:
+        return link_tracks(rows, by, **options)
+    # The patterns are long and join their peaks last.
+    profiles = patterns.select(F.col("frame").alias("position"), F.col(channel).alias("profile"))
+    return link_tracks(rows, by, similarity=mutual_similarity(axis), min_similarity=min_similarity, extra=["half_width"], attached=profiles, **options)
 
 
 # --- tracks as paths of edges ------------------------------------------------------------------
