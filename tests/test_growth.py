@@ -234,3 +234,21 @@ def test_short_sets_meet_on_pairs_of_items(spark):
     from braggline.operators import tracks
     sets = spark.createDataFrame([("a", [1, 2, 3]), ("b", [1, 2, 4])], "id string, items array<long>")
     assert "xxhash64" in plan(tracks.similar_sets(sets, 0.5)) and tracks.similar_sets(sets, 0.5).count() == 1
+
+
+def test_location_matches_of_crowded_places(spark):
+    import numpy as np
+    from braggline.operators import correlations as co
+    rng = np.random.default_rng(3)
+    # One frame holds most peaks of a few places; others are rare.
+    rows = [(f"p{i:04d}", int(rng.choice([1, 1, 1, 1, 2, 3, 4])), float(np.round(1 + rng.choice([0.0, 0.002, 0.003, 0.0041, 0.01, rng.uniform(0, 0.02)]), 4))) for i in range(300)]
+    peaks = spark.createDataFrame(rows, "peak_id string, frame long, center double")
+    few = co.few_places(peaks, 2).groupBy("center").count().collect()
+    assert max(r["count"] for r in few) <= 4
+    for top in (1, 2, 3):
+        got = {(r.peak_id, r.rank): (r.frame, r.match_id, r.match_frame, round(r.gap, 12)) for r in co.top_location_matches(peaks, 0.004, top).collect()}
+        want = {}
+        for pid, frame, center in rows:
+            near = sorted((abs(center - c), p, f) for p, f, c in rows if f != frame and abs(center - c) < 0.004)[:top]
+            want |= {(pid, k + 1): (frame, p, f, round(g, 12)) for k, (g, p, f) in enumerate(near)}
+        assert got == want
