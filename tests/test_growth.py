@@ -265,3 +265,63 @@ def test_tasks_of_candidates_grow_with_the_peaks(spark, monkeypatch):
     many = QUERIES["identification_candidates"](spark, folder)
     assert f", {-(-peaks // (peaks // 19))}), REPARTITION_BY_NUM" in plan(many)
     assert want and rows(many) == want
+
+
+def frames_of_a_fading_line(n, seed):
+    """A strong line that drifts, and one that falls below detection after six frames but stays fittable."""
+    import numpy as np
+    x, rng = np.linspace(1.0, 4.0, 90), np.random.default_rng(seed)
+    shape = lambda c, a: a * np.exp(-np.log(2) * (2 * (x - c) / 0.2) ** 2)
+    rows = [shape(2.0 + 0.002 * i, 30.0) + shape(3.2, 20.0 if i < 6 else 1.35) + rng.normal(0, 0.25, x.size) for i in range(n)]
+    return x, [r.tolist() for r in rows]
+
+
+def series_frame_by_frame(rows, x, predict, **knobs):
+    """The plain loop: ``rows`` are (path, place, frame, pattern)."""
+    import numpy as np
+    from braggline.operators import peaks as pk
+    now, history, out = None, [], set()
+    for path, place, frame, y in sorted(rows, key=lambda r: (repr(r[0]), *r[1:])):
+        if repr(path) != now:
+            now, history = repr(path), []
+        fits = pk.fit_row(x, np.array(y), seeds=pk.predicted_seeds(history if predict else history[-1:], place) if history else None, **knobs)
+        good = np.array([(f["center"], f["fwhm"]) for f in fits if f["flag"] == 0]).reshape(-1, 2)
+        history = [*history[-1:], (place, good[:, 0], good[:, 1])] if len(good) else history
+        out |= {(frame, i, *f.values()) for i, f in enumerate(fits)}
+    return out
+
+
+@pytest.mark.parametrize("predict", [False, True])
+def test_runs_of_a_series_meet_as_if_fitted_frame_by_frame(spark, monkeypatch, predict):
+    x, faded = frames_of_a_fading_line(40, 1)
+    rows = [("a", float(i // 2), 100 + i, y) for i, y in enumerate(faded)]
+    rows += [(None, float(i), 200 + i, y) for i, y in enumerate(frames_of_a_fading_line(9, 2)[1])]
+    rows += [(f"alone{i}", 1.0, 300 + i, y) for i, y in enumerate(faded[-4:])]
+    want = series_frame_by_frame(rows, x, predict, min_snr=5.0)
+    table = spark.createDataFrame(rows[::-1], "path string, place double, frame long, clean array<double>")
+    from braggline.operators import peaks as pk
+    # Runs that know nothing of what came before miss the faded line.
+    cold = {r[:2] for y in [faded[30]] for r in series_frame_by_frame([("a", 0.0, 130, y)], x, predict, min_snr=5.0)}
+    assert cold < {r[:2] for r in want if r[0] == 130}
+    dealt = type(table).repartitionById
+    for run_frames, share in ((3, 1), (4, 3), (1000, 1)):
+        # A task may be dealt several blocks.
+        monkeypatch.setattr(type(table), "repartitionById", lambda df, n, key, share=share: dealt(df, -(-n // share), key))
+        got = pk.fit_series(table, "clean", x.tolist(), "path", ["place"], predict, run_frames=run_frames, min_snr=5.0)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_one_long_path_is_fitted_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+    from braggline.operators import peaks as pk
+    x, rows = frames_of_a_fading_line(1100, 3)
+    table = spark.createDataFrame([("a", i, y) for i, y in enumerate(rows)], "path string, frame long, clean array<double>")
+    got = pk.fit_series(table, "clean", x.tolist(), "path", ["frame"], min_snr=8.0)
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_series_without_frames(spark):
+    from braggline.operators import peaks as pk
+    table = spark.createDataFrame([], "path string, frame long, clean array<double>")
+    got = pk.fit_series(table, "clean", [1.0, 2.0, 3.0], "path", ["frame"])
+    assert got.collect() == [] and got.columns[:3] == ["frame", "peak", "center"]
