@@ -31,14 +31,17 @@ def with_chunk(df: DataFrame, value: str, width: float) -> DataFrame:
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str,
-                  width: float, columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
+                  width: float, columns: Sequence[str], prefix: str = "prev_", once: bool = False) -> DataFrame:
     """Add ``prev_<col>`` of the row before, in ``order`` within ``by``.
 
-    ``value`` is the leading order column; ``width`` its chunk width.
+    ``value`` is the leading order column; ``width`` its chunk width.  With ``once`` the rows are shuffled
+    once, for the chunks' last rows and the windows alike, if ``columns`` has all columns of the row.
     """
     df, by = grouped(df, list(by))
     order = list(order)
     chunked = with_chunk(df, value, width)
+    if once:
+        chunked = chunked.repartition(*by, CHUNK)
     key = F.struct(*[F.col(c) for c in order])
     payload = F.struct(*[F.col(c) for c in columns])
     last = (chunked.groupBy(*by, CHUNK).agg(F.max_by(payload, key).alias("_last"))

@@ -325,3 +325,24 @@ def test_series_without_frames(spark):
     table = spark.createDataFrame([], "path string, frame long, clean array<double>")
     got = pk.fit_series(table, "clean", [1.0, 2.0, 3.0], "path", ["frame"])
     assert got.collect() == [] and got.columns[:3] == ["frame", "peak", "center"]
+
+
+def test_roi_similarities_of_many_pairs(spark):
+    import numpy as np
+    from braggline.operators import correlations as co
+    axis, rng = np.linspace(1.0, 4.0, 40), np.random.default_rng(6)
+    rows = {f: [rng.normal(size=40) + 1 for _ in range(1 + f % 2)] for f in range(6)}
+    rows[3][0][17] = np.nan
+    listed = [[None if np.isnan(v) else float(v) for v in r] for r in rows[3]]
+    made = [(i, f, float(rng.uniform(1, 4)), float(rng.uniform(0.05, 0.4)), 1, float(rng.uniform(1, 4)), float(rng.uniform(0.05, 0.4)), len(rows[f]),
+             [*listed, None] if f == 3 else [r.tolist() for r in rows[f]]) for i in range(90) for f in [int(rng.integers(0, 6))]]
+    pairs = spark.createDataFrame(made, "id int, frame int, center_a double, half_a double, of_a int, center_b double, half_b double, of_b int, rows array<array<double>>")
+    got = {r.id: r for r in co.roi_similarity(pairs, axis).collect()}
+    for i, f, ca, ha, a, cb, hb, b, _ in made:
+        one, two = rows[f][a - 1], rows[f][b - 1]
+        want = [co.directional_iou(axis, p, q, (c - h, c + h), (d - g, d + g)) for p, q, c, h, d, g in ((one, two, ca, ha, cb, hb), (two, one, cb, hb, ca, ha))]
+        for value, score in zip((got[i].forward, got[i].backward), want):
+            assert value is None if np.isnan(score) else value == pytest.approx(score, abs=1e-12)
+    assert any(r.mutual for r in got.values()) and any(r.forward is None for r in got.values())
+    text = plan(QUERIES["roi_similarity"](spark, FOLDER))
+    assert "prev_clean" not in text and "ArrowEvalPython" in text
