@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .correlations import directional_iou
+from .correlations import directional_ious, filled_rows
 from .joins import greedy_pairs, interval_join
 from .ordered import with_rank
 from .tracks import link_tracks
@@ -17,30 +17,48 @@ from .tracks import link_tracks
 MIN_SIMILARITY = 0.2
 
 
-def mutual_similarity(axis: Sequence[float]):
-    """Geometric mean of the two directional ROI similarities of two peak rows."""
+def mutual_similarity(axis: Sequence[float], least: float = 0.0):
+    """Geometric means of the two directional ROI similarities of pairs of peak rows, see ``Linker``.
+
+    What one direction keeps below ``least`` whatever the other says is 0.
+    """
     x = np.asarray(axis, float)
 
-    def score(a: dict, b: dict) -> float:
-        pa, pb = np.asarray(a["profile"], float), np.asarray(b["profile"], float)
-        sa = (a["center"] - a["half_width"], a["center"] + a["half_width"])
-        sb = (b["center"] - b["half_width"], b["center"] + b["half_width"])
-        return float(np.sqrt(directional_iou(x, pa, pb, sa, sb) * directional_iou(x, pb, pa, sb, sa)))
+    def score(before: list[dict], rows: list[dict]):
+        profiles: dict[int, tuple[int, np.ndarray]] = {}
+
+        def sides(peaks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            # The peaks of one position share the profile.
+            which = [profiles.setdefault(id(p["profile"]), (len(profiles), p["profile"]))[0] for p in peaks]
+            center, half = (np.array([p[c] for p in peaks], float) for c in ("center", "half_width"))
+            return np.array(which, int), center - half, center + half
+
+        (pa, a0, a1), (pb, b0, b1) = sides(before), sides(rows)
+        block = filled_rows(np.array([np.full(x.size, np.nan) if p is None else np.asarray(p, float) for _, p in profiles.values()]), x)
+
+        def of_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = directional_ious(x, block, pa[i], block, pb[j], a0[i], a1[i], b0[j], b1[j])
+            some = np.flatnonzero(out >= least ** 2 * (1 - 1e-9))
+            out[out < least ** 2 * (1 - 1e-9)] = 0.0
+            i, j = i[some], j[some]
+            out[some] = np.sqrt(out[some] * directional_ious(x, block, pb[j], block, pa[i], b0[j], b1[j], a0[i], a1[i]))
+            return out
+        return of_pairs
     return score
 
 
 def build_tracks(peaks: DataFrame, patterns: DataFrame, channel: str, axis: Sequence[float],
                  by: Sequence[str], *, min_similarity: float = MIN_SIMILARITY, **options) -> DataFrame:
-    """Link peaks by position, gated by mutual ROI similarity; 0 switches the gate off."""
-    rows = peaks.join(patterns.select("frame").distinct(), "frame", "left_semi").select(
+    """Link the peaks of frames with a pattern by position, gated by mutual ROI similarity; 0 switches the gate off."""
+    rows = peaks.select(
         *by, F.concat_ws("/", "peak_id", F.col("slot").cast("string")).alias("obs"),
         F.col("frame").alias("position"), F.col("frame").cast("double").alias("axis"), "center",
         F.coalesce("area", F.lit(0.0)).alias("amplitude"), F.col("width").alias("fwhm"), "half_width")
-    if not min_similarity > 0:
-        return link_tracks(rows, by, **options)
-    # The patterns are long and join their peaks last.
     profiles = patterns.select(F.col("frame").alias("position"), F.col(channel).alias("profile"))
-    return link_tracks(rows, by, similarity=mutual_similarity(axis), min_similarity=min_similarity, extra=["half_width"], attached=profiles, **options)
+    if not min_similarity > 0:
+        return link_tracks(rows.join(profiles.select("position").distinct(), "position", "left_semi"), by, **options)
+    # A pattern is sent once to the peaks of its frame.
+    return link_tracks(rows, by, similarity=mutual_similarity(axis, min_similarity), min_similarity=min_similarity, extra=["half_width"], attached=profiles, **options)
 
 
 # --- tracks as paths of edges ------------------------------------------------------------------

@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator, Sequence
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,18 @@ def local_slope_center(points: list[tuple[float, float]], now: float) -> float:
     return last + slope * (now - last_axis) if slope else last
 
 
+#: Pairs of open tracks and rows that are not worth arrays.
+FEW_PAIRS = 64
+#: Pairs whose similarities are computed at once, closest first; those that others have made needless are not.
+SCORED_PAIRS = 512
+
+
 class Linker:
-    """Open tracks of one key; fed one position at a time, in order."""
+    """Open tracks of one key; fed one position at a time, in order.
+
+    ``similarity(before, rows)`` gets the last rows of the open tracks and the rows of a position and returns a function of
+    two arrays of numbers: how alike the pairs of ``before[i]`` and ``rows[j]`` are.  An unknown one links nothing.
+    """
 
     def __init__(self, tolerance: float, max_gap: int, max_axis_gap: float | None, predict: bool,
                  similarity: Callable | None, min_similarity: float):
@@ -62,8 +72,8 @@ class Linker:
             track["slope"] = local_slope(track["points"])
         return last + track["slope"] * (axis - last_axis) if track["slope"] else last
 
-    def pairs(self, axis: float, rows: list[dict]) -> list[tuple[float, int, int]]:
-        """Open tracks and rows within tolerance, closest first."""
+    def few_pairs(self, axis: float, rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Gaps, tracks and rows of all pairs within tolerance."""
         near = []
         sides = [(ri, row["center"], max(row["fwhm"], 1e-9)) for ri, row in enumerate(rows)]
         for ti, t in enumerate(self.open):
@@ -72,30 +82,63 @@ class Linker:
                 gap = abs(center - expected)
                 if gap <= self.tolerance * (wide if wide > width else width):
                     near.append((gap, ti, ri))
-        near.sort()
-        return near
+        if near:
+            near.sort()
+            yield tuple(np.array(c) for c in zip(*near))
+
+    def many_pairs(self, axis: float, rows: list[dict], used: np.ndarray, taken: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``few_pairs`` by growing gap, without those that were ``used`` or ``taken`` meanwhile; equal gaps come together."""
+        expected, wide = (np.array(v, float) for v in zip(*[(self.expected(t, axis), t["fwhm"]) for t in self.open]))
+        center, width = (np.array([row[c] for row in rows], float) for c in ("center", "fwhm"))
+        width = np.maximum(width, 1e-9)
+        # No gap is wider; nearest tracks and rows are looked up in order of center first, then further ones.
+        widest = self.tolerance * np.nanmax([0.0, np.fmax.reduce(wide), np.fmax.reduce(width)])
+        low = -1.0
+        for high in [*(widest * 2.0 ** -k for k in range(7, 0, -1)), math.inf]:
+            reach = min(high, widest) * (1 + 1e-9) + 1e-9
+            mine, theirs = np.flatnonzero(~used), np.flatnonzero(taken < 0)
+            theirs = theirs[np.argsort(center[theirs], kind="stable")]
+            first = np.searchsorted(center[theirs], expected[mine] - reach)
+            count = np.maximum(np.searchsorted(center[theirs], expected[mine] + reach, side="right") - first, 0)
+            at = np.repeat(np.arange(mine.size), count)
+            ti, ri = mine[at], theirs[np.arange(at.size) - (count.cumsum() - count)[at] + first[at]]
+            gap = np.abs(center[ri] - expected[ti])
+            near = (gap > low) & (gap <= high) & (gap <= self.tolerance * np.where(wide[ti] > width[ri], wide[ti], width[ri]))
+            gap, ti, ri = gap[near], ti[near], ri[near]
+            order = np.argsort(gap, kind="stable")
+            gap, ti, ri = gap[order], ti[order], ri[order]
+            while gap.size:
+                free = ~used[ti] & (taken[ri] < 0)
+                gap, ti, ri = gap[free], ti[free], ri[free]
+                if gap.size:
+                    end = np.searchsorted(gap, gap[min(gap.size, SCORED_PAIRS) - 1], side="right")
+                    yield gap[:end], ti[:end], ri[:end]
+                    gap, ti, ri = gap[end:], ti[end:], ri[end:]
+            low = high
 
     def assign(self, position: int, axis: float, rows: list[dict]) -> list[dict]:
         """Link the rows of one position and return the track of each."""
         self.open = [t for t in self.open if position - t["position"] <= self.max_gap + 1
                      and not (self.max_axis_gap is not None and abs(axis - t["points"][-1][0]) > self.max_axis_gap)]
-        taken: dict[int, int] = {}
-        used: set[int] = set()
-        near = self.pairs(axis, rows) if self.open else []
-        for _, tied in groupby(near, key=lambda pair: pair[0]) if self.similarity is not None else [(0.0, near)] if near else []:
-            still = tied
-            if self.similarity is not None:
-                # The evidence is only scored for pairs that are still free.
-                free = [(ti, ri) for _, ti, ri in tied if ti not in used and ri not in taken]
-                scored = [(-self.similarity(self.open[ti]["row"], rows[ri]), ti, ri) for ti, ri in free]
-                still = sorted(c for c in scored if math.isfinite(c[0]) and -c[0] >= self.min_similarity)
-            for _, ti, ri in still:
-                if ti not in used and ri not in taken:
-                    taken[ri] = ti
-                    used.add(ti)
+        used, taken = np.zeros(len(self.open), bool), np.full(len(rows), -1)
+        likeness = self.similarity([t["row"] for t in self.open], rows) if self.similarity is not None and self.open else None
+        few = len(self.open) * len(rows) <= FEW_PAIRS
+        for gap, ti, ri in self.few_pairs(axis, rows) if few else self.many_pairs(axis, rows, used, taken):
+            # Closest first; where the gaps are equal the more similar first.
+            unlike = np.zeros(len(gap))
+            if likeness is not None:
+                like = likeness(ti, ri)
+                with np.errstate(invalid="ignore"):
+                    good = np.isfinite(like) & (like >= self.min_similarity)
+                gap, ti, ri, unlike = gap[good], ti[good], ri[good], -like[good]
+            order = np.lexsort((ri, ti, unlike, gap))
+            for t, r in zip(ti[order].tolist(), ri[order].tolist()):
+                if not used[t] and taken[r] < 0:
+                    taken[r], used[t] = t, True
+        taken = taken.tolist()
         tracks = []
         for ri, row in enumerate(rows):
-            if ri in taken:
+            if taken[ri] >= 0:
                 t = self.open[taken[ri]]
                 t["points"] = [*t["points"][-3:], (axis, row["center"])]
                 t.pop("slope", None)
@@ -120,7 +163,8 @@ def link_tracks(obs: DataFrame, by: Sequence[str], *, link_tol: float = 1.5, max
 
     ``obs`` carries ``obs`` (an id), ``position`` (place of the frame in its
     series), ``axis``, ``center``, ``amplitude`` and ``fwhm``; ``extra`` columns, and those that ``attached`` has
-    beside ``position``, are there for ``similarity``.  A series is streamed in order with its open tracks in memory,
+    beside ``position``, are there for ``similarity`` (see ``Linker``).  A row of ``attached`` is sent once to each series that has
+    its position, and observations without one are left out.  A series is streamed in order with its open tracks in memory,
     and a track is held back until it has ``min_points``.
 
     A series of more than ``series_rows`` observations is cut first.  Observations
@@ -132,8 +176,7 @@ def link_tracks(obs: DataFrame, by: Sequence[str], *, link_tol: float = 1.5, max
     by = list(by)
     rows = obs.select(*by, "obs", *LINK_FIELDS, *extra)
     stream = lambda some, keys: linked_stream(
-        some if attached is None else some.join(attached, "position"), by, keys, rows.schema, min_points,
-        lambda: Linker(link_tol, max_gap, max_axis_gap, predict, similarity, min_similarity))
+        some, by, keys, rows.schema, min_points, lambda: Linker(link_tol, max_gap, max_axis_gap, predict, similarity, min_similarity), attached)
     # At most one key per ``series_rows`` observations.
     long = checkpointed(obs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > series_rows).select(*by))
     if long.isEmpty():
@@ -148,16 +191,26 @@ def link_tracks(obs: DataFrame, by: Sequence[str], *, link_tol: float = 1.5, max
     return stream(rows.join(long, by, "left_anti"), by).unionByName(cut)
 
 
-def linked_stream(rows: DataFrame, by: list[str], keys: list[str], fields: T.StructType, min_points: int, linker_of: Callable[[], Linker]) -> DataFrame:
-    """The points of all tracks of ``min_points`` or more; each key of ``keys`` is streamed by position with a linker of its own."""
+def linked_stream(rows: DataFrame, by: list[str], keys: list[str], fields: T.StructType, min_points: int, linker_of: Callable[[], Linker],
+                  attached: DataFrame | None = None) -> DataFrame:
+    """The points of all tracks of ``min_points`` or more; each key of ``keys`` is streamed by position with a linker of its own.
+
+    The rows of ``attached`` come ahead of the observations of their position, one for each key.
+    """
     schema = T.StructType([*[fields[k] for k in by], T.StructField("track", T.StringType()), fields["obs"],
                            *[fields[c] for c in LINK_FIELDS]])
     columns = schema.names
+    order, more = ["position", "obs"], []
+    if attached is not None:
+        more, order = [c for c in attached.columns if c != "position"], ["position", "_side", "obs"]
+        rows = rows.where("position is not null")
+        places = rows.select(*keys, "position").distinct().join(attached, "position").withColumn("_side", F.lit(0))
+        rows = rows.withColumn("_side", F.lit(1)).unionByName(places, allowMissingColumns=True)
     names = [c for c in rows.columns if c not in keys]
     n_by = len(by)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        linker, key_now, waiting = None, None, []
+        linker, key_now, place, waiting, parts = None, None, None, [], []
 
         def flush(out: list[tuple]) -> None:
             if not waiting:
@@ -180,19 +233,23 @@ def linked_stream(rows: DataFrame, by: list[str], keys: list[str], fields: T.Str
             of = [pdf[k].astype(object).where(pdf[k].notna(), None).tolist() if pdf[k].hasnans else pdf[k].tolist() for k in keys]
             for key, values in zip(zip(*of) if of else [()] * len(pdf), zip(*[pdf[c].tolist() for c in names])):
                 row = dict(zip(names, values))
-                if key != key_now:
+                if key != key_now or row["position"] != place:
                     flush(out)
-                    linker, key_now, waiting = linker_of(), key, []
-                elif waiting and row["position"] != waiting[0]["position"]:
-                    flush(out)
-                    waiting = []
-                waiting.append(row)
+                    place, waiting, parts = row["position"], [], []
+                    if key != key_now:
+                        linker, key_now = linker_of(), key
+                if not more:
+                    waiting.append(row)
+                elif row["_side"] == 0:
+                    parts.append({c: row[c] for c in more})
+                else:
+                    waiting += [row | part for part in parts]
             yield pd.DataFrame(out, columns=columns)
         out = []
         flush(out)
         yield pd.DataFrame(out, columns=columns)
 
-    return sorted_stream(rows, keys, ["position", "obs"], step, schema)
+    return sorted_stream(rows, keys, order, step, schema)
 
 
 def track_summary(points: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:

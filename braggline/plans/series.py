@@ -95,11 +95,9 @@ def link_tracks_predicted(spark, folder):
 @query("build_roi_tracks")
 def build_roi_tracks(spark, folder):
     from ..operators.roi_tracks import build_tracks
-    # The strongest peak of each radial cell, as a fitted pattern would have.
-    cell = view(spark, folder, "pattern_peaks").groupBy("frame", F.floor(F.col("center") * 8).alias("cell")).agg(
-        F.max_by(F.struct("peak_id", "center", "width", "area", "flag"), F.struct("area", "peak_id")).alias("p"))
-    strongest = cell.select("frame", "p.*").withColumn("series", F.floor(F.col("frame") / 50))
-    peaks = co.prepare_peaks(strongest, 1.0, 4.15, 0.05)
+    # All good peaks of a frame; copies of a peak are told apart by their slots.
+    rows = view(spark, folder, "pattern_peaks").select("frame", "peak_id", "center", "width", "area", "flag")
+    peaks = co.prepare_peaks(rows.withColumn("series", F.floor(F.col("frame") / 50)), 1.0, 4.15, 0.05)
     return build_tracks(peaks, patterns(spark, folder).select("frame", "clean"), "clean", radial_axis(), ["series"], max_gap=2)
 
 

@@ -327,6 +327,54 @@ def test_series_without_frames(spark):
     assert got.collect() == [] and got.columns[:3] == ["frame", "peak", "center"]
 
 
+def test_roi_tracks_take_every_good_peak(spark, monkeypatch):
+    from braggline.operators import roi_tracks
+    from braggline.sources.tables import view
+    given = []
+    monkeypatch.setattr(roi_tracks, "build_tracks", lambda peaks, *rest, **more: given.append(peaks) or peaks)
+    QUERIES["build_roi_tracks"](spark, FOLDER)
+    good = view(spark, FOLDER, "pattern_peaks").where("flag = 0 and center between 1.0 and 4.15")
+    assert given[0].count() == good.count() > 0
+
+
+@pytest.mark.parametrize("scored", [1, 7, 512])
+def test_crowded_positions_link_as_sparse_ones(monkeypatch, scored):
+    import numpy as np
+    from braggline.operators import roi_tracks, tracks
+    rng, axis = np.random.default_rng(4), np.linspace(1.0, 4.0, 40)
+    frames = []
+    for f in range(5):
+        profile = rng.normal(size=axis.size)
+        profile[rng.integers(0, axis.size, f)] = np.nan
+        frames.append([{"obs": f"{f}-{i}", "center": float(np.round(rng.uniform(1, 4), 2)), "fwhm": float(rng.choice([0.05, 0.1])), "half_width": 0.1, "profile": profile} for i in range(50)])
+    alike = roi_tracks.mutual_similarity(axis, 0.2)
+
+    def linked(few):
+        monkeypatch.setattr(tracks, "FEW_PAIRS", few)
+        monkeypatch.setattr(tracks, "SCORED_PAIRS", scored)
+        linker = tracks.Linker(1.5, 1, None, False, alike, 0.2)
+        return [linker.advance(f, float(f), rows) for f, rows in enumerate(frames)]
+    whole = linked(10**9)
+    assert whole == linked(0)
+    assert sum(t != r["obs"] for ids, rows in zip(whole, frames) for t, r in zip(ids, rows)) > 20
+
+
+def test_attached_rows_are_sent_once_to_their_position(spark):
+    from pyspark.sql import functions as F
+    from braggline.operators import tracks
+    rows = spark.range(60).select(F.concat(F.lit("o"), "id").alias("obs"), F.when(F.col("id") % 2 == 0, 1).alias("series"), F.floor(F.col("id") / 12).alias("position"),
+                                  (F.col("id") % 12).cast("double").alias("center"), F.lit(1.0).alias("amplitude"), F.lit(0.1).alias("fwhm"))
+    rows = rows.withColumn("axis", F.col("position").cast("double"))
+    notes = spark.createDataFrame([(p, [float(p)]) for p in (0, 1, 2, 4)], "position long, note array<double>")
+
+    def alike(before, now):
+        assert all(r["note"][0] == r["position"] for r in [*before, *now])
+        return lambda i, j: i * 0 + 1.0
+    linked = tracks.link_tracks(rows, ["series"], similarity=alike, min_similarity=0.5, attached=notes).collect()
+    # Position 3 has no note; the others make twelve tracks of four points.
+    assert len(linked) == 48 and {r.position for r in linked} == {0, 1, 2, 4} and len({r.track for r in linked}) == 12
+
+
 def test_roi_similarities_of_many_pairs(spark):
     import numpy as np
     from braggline.operators import correlations as co
