@@ -29,10 +29,6 @@ def library_lines(spark, folder):
     return view(spark, folder, "reflections").select("phase", F.col("ord").alias("line"), F.col("d").alias("pred_d"), "w")
 
 
-def lines_of_frames(spark, folder):
-    return present_phases(spark, folder).join(library_lines(spark, folder), "phase")
-
-
 LINES = """
 , obs as (select distinct frame, peak_id as obs, 2 * pi() / center as d, 2 * pi() / center * fwhm_err / center as d_err from peaks where flag = 0)
 , lf as (select p.frame, p.phase, ord as line, d as pred_d, w from (select distinct frame, phase from peaks where phase <> '') p join reflections r on p.phase = r.phase)
@@ -43,8 +39,10 @@ LINES = """
 , g as (select l.frame, l.phase, l.line, pred_d, w, min(abs(pred_d - o.d)) as gap from lf l left join obs o on o.frame = l.frame group by 1, 2, 3, 4, 5)
 select frame, phase, round(sum(w * coalesce(exp(-0.5 * pow(gap / (0.01 * pred_d), 2)), 0)), 6) as score from g group by 1, 2""")
 def nearest_score(spark, folder):
-    lines = lines_of_frames(spark, folder).select("frame", "phase", "pred_d", "w")
-    out = idn.nearest_score(lines, observed(spark, folder).select("frame", "d"), 0.01)
+    d = axis.radial_to_d(F.col("center"), "q")
+    # Each peak is read once, for its place and for the phase it names.
+    rows = view(spark, folder, "peaks").select("frame", F.when(F.col("flag") == 0, d).alias("d"), F.when(F.col("phase") != "", F.col("phase")).alias("phase"))
+    out = idn.nearest_score(library_lines(spark, folder).select("phase", "pred_d", "w"), rows, 0.01)
     return out.select("frame", "phase", F.round("score", 6).alias("score"))
 
 

@@ -394,3 +394,25 @@ def test_roi_similarities_of_many_pairs(spark):
     assert any(r.mutual for r in got.values()) and any(r.forward is None for r in got.values())
     text = plan(QUERIES["roi_similarity"](spark, FOLDER))
     assert "prev_clean" not in text and "ArrowEvalPython" in text
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_scores_of_lines_held_in_tasks(spark, monkeypatch, held):
+    import math
+    from braggline.operators import identify as idn
+    monkeypatch.setattr(idn, "HELD_LINES", held)
+    lines = [("a", 1.0, 2.0), ("a", 1.5, 0.5), ("a", None, 3.0), ("b", 2.0, None), ("c", 1.2, 1.0), ("c", 1.4, None), (None, 1.0, 1.0)]
+    many = {2: [1.0 + 0.013 * i for i in range(60)]}
+    seen = {1: [1.01, 1.49], 3: [1.0, 1.0, 2.5], 4: []} | many
+    named = {1: ["a", "b", "x"], 2: ["a", "c", "c"], 3: ["c"], 4: ["a"], 5: ["a"]}
+    rows = [(f, d, None) for f, ds in seen.items() for d in ds] + [(f, None, p) for f, ps in named.items() for p in ps] + [(6, 1.0, None)]
+    out = idn.nearest_score(spark.createDataFrame(lines, "phase string, pred_d double, w double"), spark.createDataFrame(rows, "frame long, d double, phase string"), 0.01)
+    want = {}
+    for f, phases in named.items():
+        for p in set(phases):
+            of = [(d, w) for q, d, w in lines if q == p]
+            near = lambda d: 0.0 if d is None or not seen.get(f) else math.exp(-0.5 * (min(abs(d - o) for o in seen[f]) / (0.01 * d)) ** 2)  # noqa: E731, B023
+            if of:
+                want[f, p] = None if all(w is None for _, w in of) else pytest.approx(sum(w * near(d) for d, w in of if w is not None), abs=1e-12)
+    assert {(r.frame, r.phase): r.score for r in out.collect()} == want
+    assert ("MapInArrow" in plan(out)) == (held > 0)
