@@ -77,7 +77,12 @@ def predict_center(spark, folder):
 
 
 def observations(spark, folder):
-    rows = view(spark, folder, "observations").groupBy("obs", "series", "frame").agg(
+    return folded(view(spark, folder, "observations"))
+
+
+def folded(rows):
+    """One row per observation, series and frame."""
+    rows = rows.groupBy("obs", "series", "frame").agg(
         F.max("center").alias("center"), F.max("amplitude").alias("amplitude"), F.max("fwhm").alias("fwhm"))
     return rows.withColumn("position", F.col("frame")).withColumn("axis", F.col("frame").cast("double"))
 
@@ -123,11 +128,18 @@ PATHS = """
 def track_paths(spark, folder):
     """All peaks of all series, linked by edges between neighbouring ranks; the likeness is that of the amplitudes."""
     from ..operators import roi_tracks as rt
-    rows = observations(spark, folder).select("series", "obs", "frame", "axis", "center", F.col("fwhm").alias("width"), F.col("amplitude").alias("feature"))
-    placed = rt.ranked(rows, ["series"], "frame")
-    like = F.least("feature_a", "feature_b") / F.greatest("feature_a", "feature_b")
-    edges = rt.link_edges(placed, ["series"], like, max_gap=1, min_similarity=0.5)
-    return rt.track_paths(placed, edges, ["series"])
+    like = F.try_divide(F.least("feature_a", "feature_b"), F.greatest("feature_a", "feature_b"))
+
+    def paths(rows, whole):
+        rows = folded(rows).select("series", "obs", "frame", "axis", "center", F.col("fwhm").alias("width"), F.col("amplitude").alias("feature"))
+        placed = rt.ranked(rows, ["series"], "frame", whole)
+        edges = rt.link_edges(placed, ["series"], like, max_gap=1, min_similarity=0.5, whole=whole)
+        return rt.track_paths(placed, edges, ["series"], whole=whole)
+
+    # Short series are shuffled once and stay in their task from here on.
+    short, long = rt.by_length(view(spark, folder, "observations"), ["series"])
+    found = paths(short.repartition("series"), True)
+    return found if long is None else tuple(a.unionByName(b, allowMissingColumns=True) for a, b in zip(found, paths(long, False)))
 
 
 @query("roi_track_edges", cte("observations").replace("with ", "with recursive ", 1) + PATHS + """

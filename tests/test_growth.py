@@ -416,3 +416,39 @@ def test_scores_of_lines_held_in_tasks(spark, monkeypatch, held):
                 want[f, p] = None if all(w is None for _, w in of) else pytest.approx(sum(w * near(d) for d, w in of if w is not None), abs=1e-12)
     assert {(r.frame, r.phase): r.score for r in out.collect()} == want
     assert ("MapInArrow" in plan(out)) == (held > 0)
+
+
+@pytest.mark.parametrize("max_gap", [0, 2])
+def test_paths_of_whole_series(spark, max_gap):
+    from pyspark.sql import functions as F
+    from braggline.operators import roi_tracks as rt
+    rows = spark.range(700).select(
+        F.concat(F.lit("o"), F.when(F.col("id") != 333, F.col("id")).otherwise(3)).alias("obs"), F.when((F.col("id") % 9 > 0) | (F.col("id") < 4), F.col("id") % 3).alias("series"), F.floor(F.rand(1) * 40).alias("frame"),
+        F.round(1 + F.rand(2) * 2, 2).alias("center"), F.when(F.col("id") % 31 > 0, 0.02 + F.rand(3) * 0.05).alias("width"), (0.1 + F.round(F.rand(4), 1)).alias("feature"))
+    rows = rows.withColumn("axis", F.col("frame").cast("double")).localCheckpoint()
+    like = F.least("feature_a", "feature_b") / F.greatest("feature_a", "feature_b")
+
+    def found(whole):
+        placed = rt.ranked(rows, ["series"], "frame", whole)
+        edges = rt.link_edges(placed, ["series"], like, max_gap=max_gap, min_similarity=0.3, whole=whole)
+        points, kept, summary = rt.track_paths(placed, edges, ["series"], whole=whole)
+        tell = lambda df, *names: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect()), key=repr)
+        return (tell(points, "series", "track", "obs", "rank"), tell(kept, "series", "track", "obs_a", "obs_b", "silence", "similarity", "center_shift", "axis_gap"),
+                tell(summary, *sorted(summary.columns)))
+    got = found(True)
+    assert all(len(part) > 10 for part in got) and got == found(False)
+
+
+def test_paths_of_short_series_need_no_rounds(spark, monkeypatch):
+    from braggline.operators import joins, roi_tracks as rt
+    from braggline.plans import series
+    rounds = []
+    real = joins.greedy_pairs
+    monkeypatch.setattr(rt, "greedy_pairs", lambda *a: rounds.append(1) or real(*a))
+    want = sorted(tuple(r) for r in series.roi_track_summary(spark, FOLDER).collect())
+    assert want and not rounds
+    # Longer series, and those with nameless observations, are linked round by round.
+    given = rt.by_length.__defaults__
+    monkeypatch.setattr(rt.by_length, "__defaults__", (610,))
+    mixed = sorted(tuple(r) for r in series.roi_track_summary(spark, FOLDER).collect())
+    assert rounds and mixed == want and given != (610,)
