@@ -452,3 +452,18 @@ def test_paths_of_short_series_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(rt.by_length, "__defaults__", (610,))
     mixed = sorted(tuple(r) for r in series.roi_track_summary(spark, FOLDER).collect())
     assert rounds and mixed == want and given != (610,)
+
+
+def test_correlations_of_a_block_are_told_in_parts(spark, monkeypatch):
+    import numpy as np
+    from braggline.operators import correlations as co
+    assert co.TOLD_FRAMES < co.BLOCK_FRAMES >= 2048
+    rng = np.random.default_rng(9)
+    made = {f: rng.normal(size=6 if f % 4 else 5).tolist() for f in range(70)}
+    made[7] = None
+    rows = spark.createDataFrame([(0, f, v) for f, v in made.items()], "window int, frame long, profile array<double>")
+    got = {(r.anchor, r.frame): r.direct for r in co.anchor_correlations(rows, rows.where("frame in (7, 8, 9, 10)").select("frame")).collect()}
+    assert set(got) == {(a, f) for a in (7, 8, 9, 10) for f in made if f != a}
+    for (a, f), value in got.items():
+        apart = made[a] is None or made[f] is None or len(made[a]) != len(made[f])
+        assert value is None if apart else value == pytest.approx(np.corrcoef(made[a], made[f])[0, 1], abs=1e-12)
